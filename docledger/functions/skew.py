@@ -9,9 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docledger.session import ensure_checkpoint_dir
+
 PIECE = "_piece"
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate that several branches read to the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def piece_of(col: str, width: int = 100_000) -> Column:
     return F.floor(F.col(col) / F.lit(width))
 

@@ -119,3 +119,15 @@ def date_value(col: Column) -> Column:
 def formula_safe(col: Column) -> Column:
     """Prefix an apostrophe when a spreadsheet would read the cell as a formula."""
     return F.when(F.regexp_replace(col, r"(?U)^\s+", "").rlike(r"^[=+\-@]"), F.concat(F.lit("'"), col)).otherwise(col)
+
+
+def ascii_lower(col: Column) -> Column:
+    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def like(col: Column, keyword: str, wildcards: bool = True) -> Column:
+    """Case-insensitive for ASCII only; `%` and `_` in the keyword are wildcards unless switched off."""
+    low = F.translate(F.lit(keyword), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    if not wildcards or not set(keyword) & set("%_"):
+        return F.contains(ascii_lower(col), low)
+    return F.like(ascii_lower(col), F.concat(F.lit("%"), low, F.lit("%")), F.lit("\x01"))
