@@ -50,15 +50,13 @@ def conform(spark, sf):
     return S.conform(B.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), shape, {"site": "", "enabled": 1})
 
 
-@query("src_json_feed", """SELECT CAST(o_custkey AS BIGINT) AS source_id, CAST(rn - 1 AS BIGINT) AS pos, 'p/' || o_orderkey AS url, o_orderpriority AS title FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= 3""")
+@query("src_json_feed", """SELECT doc_id AS source_id, i - 1 AS pos, 'p/' || length(line) AS url, line AS title FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE i <= 20""")
 def json_feed(spark, sf):
-    o = B.table(spark, sf, "orders")
-    feeds = o.groupBy(F.col("o_custkey").alias("source_id")).agg(F.to_json(F.transform(
-        F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))),
-        lambda r: F.struct(F.concat(F.lit("p/"), r["o_orderkey"]).alias("URL"), r["o_orderpriority"].alias("TITLE")))).alias("body")) \
-        .withColumn("max_pages", F.lit(1)).withColumn("list_url", F.lit("https://h/list"))
-    return S.feed_rows(feeds, rows_per_page=3).select("source_id", F.col("pos").cast("long").alias("pos"), "url", "title")
+    items = F.transform(F.split("text", "\n"), lambda l: F.struct(F.concat(F.lit("p/"), F.length(l)).alias("URL"), l.alias("TITLE")))
+    feeds = B.table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.lit("https://h/list").alias("list_url"),
+                                                   F.lit(1).alias("max_pages"), F.to_json(items).alias("body"))
+    return S.feed_rows(feeds).select("source_id", F.col("pos").cast("long").alias("pos"), "url", "title")
 
 
 @query("lib_filter_region_category", f"{P} SELECT {LIST_SQL} FROM latest WHERE review_status <> 'rejected' AND region = 'ASIA' AND (category LIKE '%guarantee%' OR category_names LIKE '%guarantee%')")
@@ -82,11 +80,11 @@ def keyword_search(spark, sf):
     return L.filter_policies(B.policies(spark, sf), B.attachments(spark, sf), "BY 7").select(*LIST_COLUMNS)
 
 
-@query("lib_keyword_search_text", f"WITH {B.DOCS_SQL} SELECT id, title FROM docs WHERE title ILIKE '%the_e and%' OR content ILIKE '%the_e and%'")
+@query("lib_keyword_search_text", f"WITH {B.DOCS_SQL} SELECT id, title FROM docs WHERE title ILIKE '%and th_t%' OR content ILIKE '%and th_t%'")
 def keyword_search_text(spark, sf):
     d = B.docs(spark, sf)
     none = B.attachments(spark, sf).select(F.col("policy_id"), "parsed_text").where(F.lit(False))
-    return L.keyword_search(d, none, "The_e and").select("id", "title")
+    return L.keyword_search(d, none, "And th_t").select("id", "title")
 
 
 @query("lib_attachment_excerpt", f"""{PA}, hit AS (SELECT policy_id, name, parsed_text, greatest(position('by 7' IN lower(parsed_text)) - 1, 0) AS p FROM attachments WHERE parsed_text ILIKE '%by 7%'

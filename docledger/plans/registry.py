@@ -15,7 +15,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-MODULES = ("identity", "library",
+MODULES = ("identity", "library", "classify", "materials",
 )
 
 
