@@ -11,7 +11,7 @@ PA = "WITH " + B.POLICIES_SQL + ", " + B.ATTACHMENTS_SQL
 FILES_SQL = """files AS (SELECT '/store/' || p_partkey AS local_path, CASE WHEN p_size > 5 THEN sha256(CAST(p_partkey AS VARCHAR)) ELSE 'changed' END AS sha256 FROM part)"""
 QUALITY_SQL = FILES_SQL + """, quality AS (SELECT a.*, a.sha256 <> '' AND coalesce(f.sha256 = a.sha256, false) AS download_ok,
   a.sha256 <> '' AND coalesce(f.sha256 = a.sha256, false) AND parsed_text <> '' AND parse_status = 'ok' AS parse_complete FROM attachments a LEFT JOIN files f USING (local_path))"""
-LINKS_SQL = "links AS (SELECT id AS policy_id, CAST(substr(policy_key, 2) AS BIGINT) % 150 AS fetch_id FROM policies)"
+LINKS_SQL = "links AS (SELECT id AS policy_id, CAST(substr(policy_key, 2) AS BIGINT) AS fetch_id FROM policies)"
 ATT_SQL = f"{PA}, {QUALITY_SQL}, {LINKS_SQL}, {B.ATTEMPTS_SQL}, newest AS (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY fetch_id, url ORDER BY id DESC) = 1)"
 
 
@@ -26,7 +26,7 @@ def _quality(spark, sf):
 
 
 def _links(spark, sf):
-    return B.policies(spark, sf).select(F.col("id").alias("policy_id"), (F.expr("CAST(substr(policy_key, 2) AS BIGINT)") % 150).alias("fetch_id"))
+    return B.policies(spark, sf).select(F.col("id").alias("policy_id"), F.expr("CAST(substr(policy_key, 2) AS BIGINT)").alias("fetch_id"))
 
 
 @query("mat_attachment_quality", f"{PA}, {QUALITY_SQL} SELECT id, policy_id, download_ok, parse_complete FROM quality")
@@ -109,12 +109,7 @@ _GAPS_SQL = f"""{ATT_SQL}, g AS (SELECT p.*, parse_error <> '' OR EXISTS (SELECT
 
 
 def _gaps(spark, sf):
-    # attempts of fetches that ended in a download error; links of one fetch to a quarter of the customers
-    attempts = B.attempts(spark, sf).where("fetch_id < 20")
-    return M.material_gaps(B.policies(spark, sf), _quality(spark, sf), _links(spark, sf), attempts)
-
-
-_GAPS_SQL = _GAPS_SQL.replace("newest AS (SELECT * FROM attempts QUALIFY", "newest AS (SELECT * FROM attempts WHERE fetch_id < 20 QUALIFY")
+    return M.material_gaps(B.policies(spark, sf), _quality(spark, sf), _links(spark, sf), B.attempts(spark, sf))
 
 
 @query("mat_material_gaps", f"{_GAPS_SQL} SELECT id, material_gap FROM g")
