@@ -151,7 +151,7 @@ class _Tree(HTMLParser):
             self.open[-1].children.append(data)
 
 
-PARTS = T.StructType.fromDDL("body STRING, located BOOLEAN, custom BOOLEAN, number STRING")
+PARTS = T.StructType().add("body", "string").add("located", "boolean").add("custom", "boolean").add("number", "string")
 
 
 def page_parts(selectors: tuple, number_pattern: str, dropped: tuple):

@@ -247,10 +247,10 @@ def signature(spark, sf):
 
 
 @query("ext_explode_attachments", """WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS o FROM pages)
-  SELECT page_id, '附件' || page_id AS name, o || '/files/' || page_id || '.PDF' AS url, 'pdf' AS fmt FROM p UNION ALL SELECT page_id, '附 件.docx', o || '/dl?x=1&fileName=%E9%99%84%20%E4%BB%B6.docx', 'docx' FROM p
+  SELECT page_id, '附件' || page_id AS name, o || '/files/' || page_id || '.PDF' AS url, 'pdf' AS fmt FROM p UNION ALL SELECT page_id, '附 件.docx', o || '/dl?x=1&fileName=%E9%99%84%20%E4%BB%B6.docx&v=2', 'docx' FROM p
   UNION ALL SELECT page_id, '表.xls', o || '/x/1', 'xls' FROM p UNION ALL SELECT page_id, '下载.zip', o || '/g?id=' || page_id, 'zip' FROM p""")
 def explode_attachments(spark, sf):
-    more = F.concat(F.lit("<a href='/files/"), "page_id", F.lit(".PDF'>附件"), "page_id", F.lit("</a><a href='/dl?x=1&amp;fileName=%E9%99%84%20%E4%BB%B6.docx'></a><a href='#' onclick=\"downloadFj('表.xls','/x/1');\">b</a><a href='/g?id="),
+    more = F.concat(F.lit("<a href='/files/"), "page_id", F.lit(".PDF'>附件"), "page_id", F.lit("</a><a href='/dl?x=1&amp;fileName=%E9%99%84%20%E4%BB%B6.docx&amp;v=2'></a><a href='#' onclick=\"downloadFj('表.xls','/x/1');\">b</a><a href='/g?id="),
                     "page_id", F.lit("'>下载.zip</a><a href='/files/"), "page_id", F.lit(".PDF'>again</a><a href='javascript:void(0)'>x.pdf</a>"))
     p = _pages(spark, sf).withColumn("html", F.concat("html", more))
     ids = _pages(spark, sf).select("page_id", "page_url")
