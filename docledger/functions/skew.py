@@ -109,3 +109,12 @@ def listed(df: DataFrame, keys: list[str], order: list[Column], piece: Column, f
     parts = numbered(df, keys, order, piece, "_n").withColumn("part", F.floor((F.col("_n") - 1) / size))
     packed = parts.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("_n", *fields))).alias("_l"))
     return packed.withColumn(out, F.transform("_l", lambda s: F.struct(*[s[f].alias(f) for f in fields]))).drop("_l")
+
+
+def joined(df: DataFrame, keys: list[str], order: list[Column], piece: Column, text: str, sep: str, out: str,
+           size: int = 1000) -> DataFrame:
+    """Texts of a key joined in order, first within parts of `size` rows, then part by part."""
+    parts = listed(df, keys, order, piece, [text], "_t", size)
+    parts = parts.select(*keys, F.struct("part", F.array_join(F.transform("_t", lambda s: s[text]), sep).alias("t")).alias("_p"))
+    packed = parts.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_l"))
+    return packed.withColumn(out, F.array_join(F.transform("_l", lambda p: p["t"]), sep)).drop("_l")

@@ -169,3 +169,55 @@ def attempts(spark, sf) -> DataFrame:
         F.when(kind == "error", F.when(value < 5, "HTTP 404").when(value < 15, "附件下载失败")
                .when(value < 30, "需要 playwright").otherwise("read timeout"))
         .when(kind == "signup", "未命中，不收录").otherwise("").alias("error"), F.col("seen_at").alias("checked_at"))
+
+
+# ---- approval documents ----------------------------------------------------------------------
+# One approval letter per order, written from the order, its customer and its line items.
+
+APPROVAL_SQL = """ap AS (SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN '项目建议书' WHEN 'O' THEN '可行性研究报告' ELSE '初步设计' END AS matter, o_orderpriority AS prio, o_totalprice AS price,
+   year(o_orderdate) AS y, year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' AS day, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS cust, c_mktsegment AS seg
+   FROM orders JOIN customer ON o_custkey = c_custkey),
+items AS (SELECT l_orderkey AS doc_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS ord, l_returnflag AS f, CAST(l_quantity AS BIGINT) AS q, l_suppkey AS s,
+   CASE l_returnflag WHEN 'A' THEN '总建筑面积' || CAST(l_quantity AS BIGINT) || '平方米，' WHEN 'N' THEN '新建泵站' || l_suppkey || '号管线长度约' || CAST(l_quantity AS BIGINT) || '公里，' ELSE '栽植乔木' || CAST(l_quantity AS BIGINT) || '株，' END AS text FROM lineitem),
+raw_lines AS (
+  SELECT doc_id, 1 AS page, 1 AS k, '发改投资' || CASE prio WHEN '5-LOW' THEN '[' || y || ']' ELSE '〔' || y || '〕' END || doc_id || '号' AS text FROM ap
+  UNION ALL SELECT doc_id, 1, 2, '关于' || seg || '工程' || matter || '的批复' FROM ap
+  UNION ALL SELECT doc_id, 1, 3, '西湖区建设局：' FROM ap
+  UNION ALL SELECT doc_id, 1, 4, '项目代码为2024-' || cust || '-04-01-' || cust || '。' FROM ap
+  UNION ALL SELECT doc_id, 2, 1, CASE prio WHEN '1-URGENT' THEN '一、总体要求：' WHEN '2-HIGH' THEN '一、工程任务和规模' ELSE '一、建设内容及规模：' END FROM ap
+  UNION ALL SELECT doc_id, 3, 1, '二、建设地点：位于' || seg || '。' FROM ap
+  UNION ALL SELECT doc_id, 3, 2, CASE prio WHEN '3-MEDIUM' THEN '三、投资总概算为' ELSE '三、项目投资估算为' END || CAST(floor(price) AS BIGINT) || '万元。' FROM ap
+  UNION ALL SELECT doc_id, 3, 3, CASE prio WHEN '4-NOT SPECIFIED' THEN '运营资金全部由区级安排。' ELSE '建设资金由区财政统筹。' END FROM ap
+  UNION ALL SELECT doc_id, 3, 4, '四、实施周期24个月。请据此开展工作。' FROM ap
+  UNION ALL SELECT doc_id, 3, 5, '西湖区建设局' || day || '印发' FROM ap
+  UNION ALL SELECT doc_id, 2, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY ord), text FROM items WHERE doc_id IN (SELECT doc_id FROM ap)),
+numbered AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS n, text FROM raw_lines),
+lines AS (SELECT doc_id, 'p' || page || '-l' || n AS id, page, n, text, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page, n) - length(text) AS start, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page, n) AS end_ FROM numbered),
+texts AS (SELECT doc_id, string_agg(text, '' ORDER BY page, n) AS text FROM lines GROUP BY 1)"""
+
+
+def approval_raw_lines(spark, sf) -> DataFrame:
+    """Text lines as a PDF decoder would deliver them, page numbers and watermarks included."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    s, prio = F.col("o_orderstatus"), F.col("o_orderpriority")
+    cat = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    matter = F.when(s == "F", "项目建议书").when(s == "O", "可行性研究报告").otherwise("初步设计")
+    y, cust, seg = F.year("o_orderdate"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"), F.col("c_mktsegment")
+    day = cat(y, "年", F.month("o_orderdate"), "月", F.dayofmonth("o_orderdate"), "日")
+    key = F.col("o_orderkey")
+    letter = [
+        (1, 1, cat("发改投资", F.when(prio == "5-LOW", cat("[", y, "]")).otherwise(cat("〔", y, "〕")), key, "号")), (1, 2, cat("关于", seg, "工程", matter, " 的批复")),
+        (1, 3, F.lit("西湖区建设局：")), (1, 4, cat("项目代码为2024-", cust, "-04-01-", cust, "。")), (1, 5, F.lit("浙江政务服务网")), (1, 6, F.lit("—1—")),
+        (2, 1, F.when(prio == "1-URGENT", "一、总体要求：").when(prio == "2-HIGH", "一、工程任务和规模").otherwise("一、建设内容及规模：")),
+        (3, 1, cat("二、建设地点：位于", seg, "。")), (3, 2, cat(F.when(prio == "3-MEDIUM", "三、投资总概算为").otherwise("三、项目投资估算为"), F.floor("o_totalprice"), "万元。")),
+        (3, 3, F.when(prio == "4-NOT SPECIFIED", "运营资金全部由区级安排。").otherwise("建设资金由区财政统筹。")), (3, 4, F.lit("四、实施周期24个月。请据此开展工作。")), (3, 5, cat("西湖区建设局", day, "印发"))]
+    rows = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(float(k * 20 if k < 6 else 780)).alias("y"), t.alias("text")) for p, k, t in letter])
+    own = o.select(key.alias("doc_id"), F.explode(rows).alias("r")).select("doc_id", "r.page", "r.y", F.lit(0.0).alias("x"), "r.text")
+    q, flag = F.col("l_quantity").cast("long"), F.col("l_returnflag")
+    text = F.when(flag == "A", cat("总建筑面积", q, "平方米，")).when(flag == "N", cat("新建泵站", F.col("l_suppkey"), "号管线长度约", q, "公里，")).otherwise(cat("栽植乔木", q, "株，"))
+    # on one band from left to right, below the heading
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(2).alias("page"), F.lit(300.0).alias("y"),
+                                                (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("double").alias("x"), text.alias("text"))
+    items = items.join(o.select(key.alias("doc_id")), "doc_id", "left_semi")
+    both = own.unionByName(items)
+    return both.select("doc_id", "page", "text", F.array("x", "y", F.lit(500.0), F.col("y") + 12).alias("bbox"), F.lit(800.0).alias("page_height"), F.lit("text").alias("method"))

@@ -15,7 +15,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-MODULES = ("identity", "library", "classify", "materials", "operations", "evaluation", "pages",
+MODULES = ("identity", "library", "classify", "materials", "operations", "evaluation", "pages", "quantities", "approval",
 )
 
 
