@@ -7,6 +7,8 @@ spread over as many tasks as it has pieces. Keys and pieces must not be NULL.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docledger.session import ensure_checkpoint_dir
@@ -15,9 +17,15 @@ PIECE = "_piece"
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Write a narrow intermediate that several branches read to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write an intermediate that several branches read as a table in the shared checkpoint folder.
+
+    It is computed once, cuts the lineage, survives lost executors, and is read back column by column.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def piece_of(col: str, width: int = 100_000) -> Column:
@@ -112,9 +120,16 @@ def listed(df: DataFrame, keys: list[str], order: list[Column], piece: Column, f
 
 
 def joined(df: DataFrame, keys: list[str], order: list[Column], piece: Column, text: str, sep: str, out: str,
-           size: int = 1000) -> DataFrame:
-    """Texts of a key joined in order, first within parts of `size` rows, then part by part."""
-    parts = listed(df, keys, order, piece, [text], "_t", size)
-    parts = parts.select(*keys, F.struct("part", F.array_join(F.transform("_t", lambda s: s[text]), sep).alias("t")).alias("_p"))
-    packed = parts.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_l"))
-    return packed.withColumn(out, F.array_join(F.transform("_l", lambda p: p["t"]), sep)).drop("_l")
+           size: int | None = None) -> DataFrame:
+    """Texts of a key joined in ascending order: first within each piece, then piece by piece.
+
+    With `size`, rows are numbered first and parts hold at most that many; use it where the pieces
+    do not bound the amount of text by themselves.
+    """
+    if size is not None:
+        df, piece, order = numbered(df, keys, order, piece, "_n"), F.floor(F.col("_n") / size), [F.col("_n")]
+    item = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(text).alias("t"))
+    rows = df.select(*keys, piece.alias(PIECE), item.alias("_i"))
+    parts = rows.groupBy(*keys, PIECE).agg(F.array_join(F.transform(F.sort_array(F.collect_list("_i")), lambda s: s["t"]), sep).alias("t"))
+    packed = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(PIECE, "t"))).alias("_l"))
+    return packed.select(*keys, F.array_join(F.transform("_l", lambda p: p["t"]), sep).alias(out))

@@ -35,8 +35,10 @@ MODEL_PROTECTED = ("发文字号", "项目代码", "印发日期", "印发机关
 
 def found(text: Column, pattern: str, side: str) -> Column:
     """STRUCT<value, start, end> of group 1 of the first match, NULL without one."""
-    whole, value = F.regexp_extract(text, pattern, 0), F.regexp_extract(text, pattern, 1)
-    at = F.regexp_instr(text, F.lit(pattern)) - 1
+    # one search of the text; the patterns look at nothing outside their match, so the first
+    # occurrence of the matched text is the match
+    whole = F.regexp_extract(text, pattern, 0)
+    value, at = F.regexp_extract(whole, pattern, 1), F.instr(text, whole) - 1
     start = (at if side == "start" else at + F.length(whole) - F.length(value)).cast("long")
     return F.when(whole != "", F.struct(value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end")))
 
@@ -128,7 +130,7 @@ def refine_header_mark(mark: Column, office: Column) -> Column:
     """STRUCT<value, kind>: trim to the last occurrence of the office's core name; a mismatch is flagged, not rewritten (APR-17)."""
     core = F.regexp_replace(office, "(?:办公室|秘书科|综合科|机要科)$", "")
     keep = (X.text(office) == "") | (F.length(core) < 5) | (mark == F.concat(core, F.lit("文件")))
-    tail = F.concat(core, F.substring_index(mark, core, -1))
+    tail = F.concat(core, F.call_function("substring_index", mark, core, F.lit(-1)))
     value = F.when(keep | ~F.contains(mark, core), mark).otherwise(tail)
     kind = F.when(keep, "").when(F.contains(mark, core), "trimmed").otherwise("mismatch")
     return F.struct(value.alias("value"), kind.alias("kind"))

@@ -43,7 +43,7 @@ def line_offsets(lines: DataFrame) -> DataFrame:
 
 def document_text(lines: DataFrame) -> DataFrame:
     """The joined text of each document: doc_id, text."""
-    return skew.joined(lines, ["doc_id"], _order(), _piece(), "text", "", "text_") .withColumnRenamed("text_", "text")
+    return skew.joined(lines, ["doc_id"], _order(), _piece(), "text", "", "text")
 
 
 def _buckets(start: Column, end: Column) -> Column:

@@ -16,7 +16,7 @@ def analysis_text(docs: DataFrame, attachments: DataFrame, fan: int = 1000) -> D
     with_text = attachments.where(X.text("parsed_text") != "").select(
         F.col("policy_id").alias("id"), F.col("id").alias("aid"),
         F.concat(F.lit("[附件：") , X.text("name"), F.lit("]\n"), "parsed_text").alias("block"))
-    joined = skew.joined(with_text, ["id"], [F.col("aid")], skew.piece_of("aid", 10 ** 12), "block", "\n\n", "_t", fan)
+    joined = skew.joined(with_text, ["id"], [F.col("aid")], skew.piece_of("aid", 10 ** 9), "block", "\n\n", "_t", fan)
     body = F.concat(F.lit("[正文]\n"), X.text("content"))
     return docs.join(joined, "id", "left").withColumn("analysis_text", F.when(F.col("_t").isNull(), body).otherwise(F.concat(body, F.lit("\n\n"), "_t"))).drop("_t")
 

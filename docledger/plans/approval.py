@@ -12,12 +12,13 @@ S = "WITH " + B.APPROVAL_SQL
 
 
 def lines(spark, sf):
-    return L.line_offsets(L.clean_lines(B.approval_raw_lines(spark, sf)))
+    """Lines with offsets, written once for the branches that read them."""
+    return skew.pinned(L.line_offsets(L.clean_lines(B.approval_raw_lines(spark, sf))))
 
 
 def parts(spark, sf):
     """Lines, texts and sections, each written once for the operators that read them."""
-    l = skew.pinned(lines(spark, sf))
+    l = lines(spark, sf)
     return l, skew.pinned(L.document_text(l)), skew.pinned(L.sections(l))
 
 
@@ -28,7 +29,7 @@ def clean_lines(spark, sf):
 
 @query("apr_line_offsets", f"{S} SELECT doc_id, id, CAST(start AS BIGINT) AS start, CAST(end_ AS BIGINT) AS \"end\" FROM lines")
 def line_offsets(spark, sf):
-    return lines(spark, sf).select("doc_id", "id", "start", "end")
+    return L.line_offsets(L.clean_lines(B.approval_raw_lines(spark, sf))).select("doc_id", "id", "start", "end")
 
 
 @query("apr_document_text", f"{S} SELECT doc_id, text FROM texts")
@@ -39,17 +40,17 @@ def document_text(spark, sf):
 @query("apr_evidence", f"""{S}, sp AS (SELECT doc_id, CAST(position('项目代码为' IN text) - 4 AS BIGINT) AS a, CAST(position('。' IN text) + 9 AS BIGINT) AS b FROM texts)
   SELECT s.doc_id, id AS line_id, substr(text, greatest(a - start, 0)::BIGINT + 1, (least(b, end_) - greatest(a, start))::BIGINT) AS quote FROM sp s JOIN lines l ON l.doc_id = s.doc_id AND end_ > a AND start < b""")
 def evidence(spark, sf):
-    l = skew.pinned(lines(spark, sf))
+    l = lines(spark, sf)
     t = L.document_text(l)
     spans = t.select("doc_id", (F.locate("项目代码为", F.col("text")) - 4).cast("long").alias("start"), (F.locate("。", F.col("text")) + 9).cast("long").alias("end"))
     return L.evidence(spans, l).select("doc_id", "line_id", "quote")
 
 
 SECTIONS_SQL = B.APPROVAL_SQL + r""", hd AS (SELECT *, regexp_matches(text, '^[一二三四]、') AS head, regexp_extract(text, '^([一二三四]、[^：:。]{2,25})[：:。]', 0) AS t FROM lines),
-cr AS (SELECT *, last_value(CASE WHEN head THEN start END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, n) AS at FROM hd),
-secs AS (SELECT doc_id, CAST(at AS BIGINT) AS heading_start, max(CASE WHEN head THEN CASE WHEN t <> '' THEN regexp_extract(text, '^([一二三四]、[^：:。]{2,25})[：:。]', 1) ELSE text END END) AS heading,
+cr AS (SELECT *, last_value(CASE WHEN head THEN start END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, n) AS hat FROM hd),
+secs AS (SELECT doc_id, CAST(hat AS BIGINT) AS heading_start, max(CASE WHEN head THEN CASE WHEN t <> '' THEN regexp_extract(text, '^([一二三四]、[^：:。]{2,25})[：:。]', 1) ELSE text END END) AS heading,
   CAST(max(CASE WHEN head THEN CASE WHEN t <> '' THEN start + length(t) ELSE end_ END END) AS BIGINT) AS start, CAST(max(end_) AS BIGINT) AS end_,
-  string_agg(CASE WHEN head THEN CASE WHEN t <> '' THEN substr(text, length(t) + 1) ELSE '' END ELSE text END, '' ORDER BY page, n) AS text FROM cr WHERE at IS NOT NULL GROUP BY 1, 2)"""
+  string_agg(CASE WHEN head THEN CASE WHEN t <> '' THEN substr(text, length(t) + 1) ELSE '' END ELSE text END, '' ORDER BY page, n) AS text FROM cr WHERE hat IS NOT NULL GROUP BY 1, 2)"""
 
 
 @query("apr_sections", f"WITH {SECTIONS_SQL} SELECT doc_id, heading_start, heading, start, end_ AS \"end\", text FROM secs")
@@ -92,7 +93,7 @@ def addressee(spark, sf):
     return A.addressee(lines(spark, sf)).select("doc_id", "value", "start")
 
 
-@query("apr_section_fields", f"""WITH {SECTIONS_SQL} SELECT doc_id, '建设内容' AS name, text AS value, start FROM secs WHERE heading LIKE '%建设内容%' UNION ALL SELECT doc_id, '建设地点', text, start FROM secs WHERE heading LIKE '%建设地点%'""")
+@query("apr_section_fields", f"""WITH {SECTIONS_SQL} SELECT doc_id, '建设内容' AS name, text AS value, start FROM secs WHERE heading LIKE '%建设内容%' AND text <> '' UNION ALL SELECT doc_id, '建设地点', text, start FROM secs WHERE heading LIKE '%建设地点%'""")
 def section_fields(spark, sf):
     return A.section_fields(L.sections(lines(spark, sf))).select("doc_id", "name", "value", "start")
 

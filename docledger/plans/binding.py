@@ -177,7 +177,7 @@ def attempts(spark, sf) -> DataFrame:
 APPROVAL_SQL = """ap AS (SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN '项目建议书' WHEN 'O' THEN '可行性研究报告' ELSE '初步设计' END AS matter, o_orderpriority AS prio, o_totalprice AS price,
    year(o_orderdate) AS y, year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' AS day, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS cust, c_mktsegment AS seg
    FROM orders JOIN customer ON o_custkey = c_custkey),
-items AS (SELECT l_orderkey AS doc_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS ord, l_returnflag AS f, CAST(l_quantity AS BIGINT) AS q, l_suppkey AS s,
+items AS (SELECT l_orderkey AS doc_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey + l_quantity / 100.0 AS ord, l_returnflag AS f, CAST(l_quantity AS BIGINT) AS q, l_suppkey AS s,
    CASE l_returnflag WHEN 'A' THEN '总建筑面积' || CAST(l_quantity AS BIGINT) || '平方米，' WHEN 'N' THEN '新建泵站' || l_suppkey || '号管线长度约' || CAST(l_quantity AS BIGINT) || '公里，' ELSE '栽植乔木' || CAST(l_quantity AS BIGINT) || '株，' END AS text FROM lineitem),
 raw_lines AS (
   SELECT doc_id, 1 AS page, 1 AS k, '发改投资' || CASE prio WHEN '5-LOW' THEN '[' || y || ']' ELSE '〔' || y || '〕' END || doc_id || '号' AS text FROM ap
@@ -217,7 +217,7 @@ def approval_raw_lines(spark, sf) -> DataFrame:
     text = F.when(flag == "A", cat("总建筑面积", q, "平方米，")).when(flag == "N", cat("新建泵站", F.col("l_suppkey"), "号管线长度约", q, "公里，")).otherwise(cat("栽植乔木", q, "株，"))
     # on one band from left to right, below the heading
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(2).alias("page"), F.lit(300.0).alias("y"),
-                                                (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("double").alias("x"), text.alias("text"))
+                                                (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") + F.col("l_quantity") / 100.0).cast("double").alias("x"), text.alias("text"))
     items = items.join(o.select(key.alias("doc_id")), "doc_id", "left_semi")
     both = own.unionByName(items)
     return both.select("doc_id", "page", "text", F.array("x", "y", F.lit(500.0), F.col("y") + 12).alias("bbox"), F.lit(800.0).alias("page_height"), F.lit("text").alias("method"))
