@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores when the file splits are fewer; a large table is left as it is.
+
+    For work that is heavy per byte (HTML, long texts): one small file is one split, hence one task.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 # ---- documents -------------------------------------------------------------------------------
 
 DOCS_SQL = """docs AS (
@@ -23,7 +32,7 @@ DOCS_SQL = """docs AS (
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 300).alias("title"),
         F.lit("").alias("wenhao"), F.col("source").alias("issuing_authority"), F.col("source").alias("source_name"),
         F.col("text").alias("content"), "lang", "n_chars",

@@ -15,7 +15,7 @@ links AS (SELECT *, scheme || '://' || host || regexp_replace(href, '#.*$', '')
 
 
 def _pages(spark, sf):
-    return B.table(spark, sf, "pages").withColumnRenamed("url", "page_url")
+    return B.spread(B.table(spark, sf, "pages")).withColumnRenamed("url", "page_url")
 
 
 def _links(spark, sf):

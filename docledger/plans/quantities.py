@@ -24,7 +24,7 @@ def _amounts(spark, sf):
     raw = F.when(f == "A", F.when(s == "F", cat("约", q, "公里")).otherwise(cat(q, "亩"))).when(
         f == "N", F.when(s == "F", cat(q, "公里-", e, "米")).otherwise(cat("不超过", F.floor(e / 1000), ",", F.lpad((e % 1000).cast("string"), 3, "0"), ".5万元"))) \
         .otherwise(F.when(s == "F", cat(q, "平方米-", e, "米")).otherwise(cat("共 ", q, " 座以上")))
-    return B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", raw.alias("raw"))
+    return B.spread(B.table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", raw.alias("raw"))
 
 
 _Q_SQL = _AMOUNT_SQL + """, qs AS (SELECT l_orderkey, l_linenumber, l_partkey, raw, CASE WHEN f = 'A' AND s = 'F' THEN q * 1000.0 WHEN f = 'A' THEN q * 2000.0 / 3 WHEN f = 'N' AND s = 'F' THEN CASE WHEN e >= q * 1000 THEN q * 1000.0 END
