@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from docledger.functions import skew
 from docledger.operators import identity as I, pages as G, rules as C
 from docledger.operators.ruleset import DEFAULT, RuleSet
 from docledger.sources import sinks as K
@@ -44,11 +45,11 @@ def ingest_batch(root: str, rules: RuleSet = DEFAULT):
         docs = docs.where("content != ''").withColumn("id", F.col("page_id"))
         docs = I.content_fingerprint(I.policy_key(docs)).withColumn("arrival", F.col("page_id"))
         policies, links = library(spark, root)
-        docs = docs.persist()
+        docs = skew.pinned(docs)
         decided = I.variant_key(I.dedup_decision(docs.select("id", "page_url", "policy_key", "content_sha256", "arrival"), policies, links))
-        # out-of-scope documents stay in the ledger only
+        # three tables are written from these rows; out-of-scope documents stay in the ledger only
         verdicts = C.review_status(C.classify(docs.select("id", "title", "content"), rules)).select("id", *C.VERDICT, "review_status")
-        rows = decided.join(verdicts, "id").join(docs.select("id", "title", "content", "wenhao", "page_date", "parse_error"), "id")
+        rows = skew.pinned(decided.join(verdicts, "id").join(docs.select("id", "title", "content", "wenhao", "page_date", "parse_error"), "id"))
         kept = rows.where("decision != 'duplicate_skip' AND is_investment_policy != 'no'")
         stored = kept.select("id", "policy_key", "version", "content_sha256", "page_url", "title", "content", "wenhao", "page_date", "parse_error",
                              "related_policy_key", *C.VERDICT, "review_status")
@@ -56,7 +57,6 @@ def ingest_batch(root: str, rules: RuleSet = DEFAULT):
             .unionByName(kept.select(F.col("id").alias("policy_id"), "page_url"))
         outcome = F.when(F.col("decision") == "duplicate_skip", "duplicate").when(F.col("is_investment_policy") == "no", "excluded").otherwise(F.col("decision"))
         K.store_batch(root, batch_id, {"policies": stored, "policy_sources": linked.distinct(), "fetch_records": rows.select("id", "page_url", outcome.alias("outcome"))})
-        docs.unpersist()
     return ingest
 
 

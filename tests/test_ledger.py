@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docledger.operators import identity as I, library as L, pages as G
 from docledger.operators.approval import fields as A, progress as R
+from docledger.operators.ruleset import RuleSet
 from docledger.sources import sinks as K
 from docledger.streaming import streams as T
 
@@ -91,6 +92,9 @@ def test_repeated_batch_is_idempotent(spark, rows, tmp_path):
     assert sorted(r["id"] for r in K.read_committed(spark, root, "policies").collect()) == [0, 1]
 
 
+RULES = RuleSet(strong=("投资项目",), categories={"access": ("准入类", ("核准",))}, title=("项目",), doc_types={"formal": ("办法",)})
+
+
 def test_ingest_stream_does_not_roll_back(spark, rows, tmp_path):
     page = lambda n: f"<body><h1>标题</h1><div id='content'>第{n}版 固定资产投资项目 项目核准 的正文内容足够长可以入库保存下来。</div></body>"
     schema, root = "page_id LONG, page_url STRING, source_name STRING, html STRING", str(tmp_path)
@@ -98,7 +102,7 @@ def test_ingest_stream_does_not_roll_back(spark, rows, tmp_path):
     for i, n in enumerate((1, 2, 1)):
         rows(schema, [(i, "https://h/a", "s", page(n))]).coalesce(1).write.mode("append").parquet(f"{root}/in")
         stream = T.read_stream(spark, f"{root}/in", rows(schema, []).schema)
-        T.ingest_stream(stream, f"{root}/ledger", f"{root}/ck").awaitTermination()
+        T.ingest_stream(stream, f"{root}/ledger", f"{root}/ck", RULES).awaitTermination()
     versions = K.read_committed(spark, f"{root}/ledger", "policies").collect()
     assert sorted(r["version"] for r in versions) == [1, 2]
     outcomes = {r["id"]: r["outcome"] for r in K.read_committed(spark, f"{root}/ledger", "fetch_records").collect()}
