@@ -76,7 +76,8 @@ def with_evidence(cells: DataFrame, lines: DataFrame, keys: list[str]) -> DataFr
     e = evidence(cells.select(*keys, "start", "end"), lines)
     packed = skew.listed(e.withColumn("_o", F.col("page") * 100000 + F.col("n")), keys, [F.col("_o")], F.floor(F.col("page") / PAGES_PER_PIECE),
                          ["line_id", "page", "bbox", "quote"], "evidence")
-    return cells.join(packed.where("part = 0").drop("part"), keys, "left")
+    whole = packed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "evidence"))).alias("_p"))
+    return cells.join(whole.select(*keys, F.flatten(F.transform("_p", lambda p: p["evidence"])).alias("evidence")), keys, "left")
 
 
 def sections(lines: DataFrame) -> DataFrame:

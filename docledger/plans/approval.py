@@ -58,14 +58,24 @@ def sections(spark, sf):
     return L.sections(lines(spark, sf))
 
 
-@query("apr_fixed_fields", f"""{S}, f AS (SELECT doc_id, text, '标题' AS name, '关于' || seg || '工程' || matter || '的批复' AS value FROM ap JOIN texts USING (doc_id) UNION ALL SELECT doc_id, text, '项目代码', '2024-' || cust || '-04-01-' || cust FROM ap JOIN texts USING (doc_id)
+_FOUND_SQL = f"""{S}, f AS (SELECT doc_id, text, '标题' AS name, '关于' || seg || '工程' || matter || '的批复' AS value FROM ap JOIN texts USING (doc_id) UNION ALL SELECT doc_id, text, '项目代码', '2024-' || cust || '-04-01-' || cust FROM ap JOIN texts USING (doc_id)
   UNION ALL SELECT doc_id, text, '印发日期', day FROM ap JOIN texts USING (doc_id) UNION ALL SELECT doc_id, text, '建设周期', '24个月' FROM ap JOIN texts USING (doc_id)
   UNION ALL SELECT doc_id, text, '总投资/匡算/估算/概算', '项目投资估算为' || CAST(floor(price) AS BIGINT) || '万元' FROM ap JOIN texts USING (doc_id) WHERE prio <> '3-MEDIUM' UNION ALL SELECT doc_id, text, '资金来源', '建设资金由区财政统筹' FROM ap JOIN texts USING (doc_id) WHERE prio <> '4-NOT SPECIFIED')
-  SELECT doc_id, name, value, CAST(position(value IN text) - 1 AS BIGINT) AS start FROM f""")
+  SELECT doc_id, name, value, CAST(position(value IN text) - 1 AS BIGINT) AS start FROM f"""
+
+
+@query("apr_fixed_fields", _FOUND_SQL)
 def fixed_fields(spark, sf):
     return A.fixed_fields(L.document_text(lines(spark, sf))).select("doc_id", "name", "value", "start")
 
 
+@query("apr_with_evidence", f"SELECT doc_id, name, value AS quoted FROM ({_FOUND_SQL})")
+def with_evidence(spark, sf):
+    l = lines(spark, sf)
+    cells = L.with_evidence(A.fixed_fields(L.document_text(l)), l, ["doc_id", "name"])
+    return cells.select("doc_id", "name", F.array_join(F.transform("evidence", lambda e: e["quote"]), "").alias("quoted"))
+
+
 @query("apr_doc_number", f"""{S} SELECT doc_id, text AS value, replace(replace(text, '[', '〔'), ']', '〕') AS normalized, contains(text, '[') AS warned FROM lines WHERE page = 1 AND n = 1""")
 def doc_number(spark, sf):
     return A.doc_number(lines(spark, sf)).select("doc_id", "value", "normalized", F.col("warning").isNotNull().alias("warned"))
