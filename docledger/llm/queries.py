@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docledger.llm import decontaminate, language, tokens
+from docledger.llm import decontaminate, language, licenses, lines, secrets, sharding, tokens
 from docledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,73 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return tokens.encode(docs, path, public_tokenizers.PATTERN, with_ids=False).drop("text")
+
+
+@query("op4_line_dedup", """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, source IS NULL AS nohost, string_split(text, chr(10)) AS lines, row_number() OVER () AS page FROM documents),
+t AS (SELECT host, nohost, count(*) AS total FROM d GROUP BY ALL),
+l AS (SELECT DISTINCT page, host, nohost, trim(translate(line, chr(9), ' ')) AS line FROM (SELECT page, host, nohost, unnest(lines) AS line FROM d)),
+bad AS (SELECT host, nohost, line FROM l JOIN t USING (host, nohost) WHERE line <> '' GROUP BY host, nohost, line, total HAVING count(*) >= 3 AND count(*) > total * 0.02),
+arrays AS (SELECT host, nohost, list(line) AS gone FROM bad GROUP BY ALL),
+k AS (SELECT doc_id, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(gone, trim(translate(x, chr(9), ' ')))) END AS kept
+      FROM d LEFT JOIN arrays USING (host, nohost))
+SELECT doc_id, CASE WHEN lines IS NOT NULL THEN coalesce(array_to_string(kept, chr(10)), '') END AS text, coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(len(kept), 0))::BIGINT AS n_dropped
+FROM k""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    listed = lambda kinds: F.array_join(F.transform(F.filter("found", lambda x: x["kind"].isin(*kinds)),
+                                                    lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(listed(secrets.KINDS[:3]), 256).alias("base_sha256"), listed(secrets.KINDS).alias("spans"), count("crf").alias("n_crf"))
+
+
+_TEMPLATES = ", ".join(f"({n}, '{label}', {str(n < len(licenses.PHRASES)).lower()}, '{text}')" for n, (text, label) in enumerate((*licenses.PHRASES, *licenses.NOTICES)))
+
+
+@query("op2_license_scan", f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT template, label, base, string_split(words, ' ') AS w FROM (VALUES {_TEMPLATES}) AS v(template, label, base, words)),
+tg AS (SELECT template, label, base, len(w) - 1 AS grams, unnest(range(0, len(w) - 1)) AS spot, unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM t),
+dg AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM d WHERE len(w) > 1),
+votes AS (SELECT DISTINCT doc_id, template, label, base, grams, pos - spot AS diagonal, spot FROM dg JOIN tg USING (w1, w2)),
+diagonals AS (SELECT doc_id, template, label, base, grams, diagonal, min(spot) AS low, max(spot) AS high FROM votes GROUP BY ALL),
+g AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp
+      FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= CASE WHEN base THEN 0 ELSE {licenses.SLACK} END
+                   THEN 0 ELSE 1 END AS far FROM diagonals)),
+s AS (SELECT doc_id, template, label, base, grams, grp, count(DISTINCT spot) AS n, min(pos) AS first, max(pos) + 2 AS last
+      FROM (SELECT g.*, spot, diagonal + spot AS pos FROM g JOIN votes USING (doc_id, template, label, base, grams, diagonal)) GROUP BY ALL),
+ok AS (SELECT *, n / grams AS score FROM s WHERE CASE WHEN base THEN n = grams ELSE n / grams >= {licenses.COVER} AND last - first <= grams + 1 + {2 * licenses.SLACK} END),
+r AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+      FROM ok GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("licenses", lambda x: x["base"])
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+                        F.array_min(F.transform(base, lambda x: x["first"])).alias("first_word"), F.array_max(F.transform(base, lambda x: x["first"])).alias("last_word"),
+                        names(base).alias("base_labels"), names(F.col("licenses")).alias("labels"),
+                        F.coalesce(F.array_max(F.transform("licenses", lambda x: x["score"])), F.lit(0.0)).alias("score"))
+
+
+@query("op7_sharding", f"""
+WITH h AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS hash FROM documents),
+levels AS (SELECT depth, hash >> ({sharding.BITS} - depth) AS prefix, count(*) AS n, sum(bytes) AS total FROM h, range(0, {sharding.BITS + 1}) AS r(depth) GROUP BY ALL),
+placed AS (SELECT doc_id, hash, min(depth) AS depth FROM h JOIN levels ON hash >> ({sharding.BITS} - depth) = prefix
+           WHERE total <= {sharding.LIMIT} OR n = 1 GROUP BY doc_id, hash)
+SELECT doc_id, CASE WHEN p.depth = 0 THEN '' ELSE substr(lpad(bin(prefix), {sharding.BITS}, '0'), ({sharding.BITS} - p.depth + 1)::INT) END AS shard, p.depth::INT AS depth,
+       n::BIGINT AS shard_rows, total::BIGINT AS shard_bytes
+FROM placed p JOIN levels l ON l.depth = p.depth AND l.prefix = p.hash >> ({sharding.BITS} - p.depth)""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
