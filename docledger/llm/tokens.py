@@ -24,22 +24,22 @@ from docledger.llm.common import sealed, slices, unsealed, worker_cache
 
 LONG_PIECE = 256
 #: Pieces that a worker keeps between slices, and pieces of one recursive query.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 1_000_000
 QUERY_PIECES = 20_000
 
 ENCODE = """
 WITH RECURSIVE step AS (
   SELECT piece, pos, tok, 0 AS round FROM start
   UNION ALL
-  SELECT piece, pos, CASE WHEN pos = spot THEN rank ELSE tok END, round + 1
-  FROM (SELECT *, best >> 32 AS rank, best & 4294967295 AS spot, lag(pos) OVER (PARTITION BY piece ORDER BY pos) AS before
-        FROM (SELECT piece, pos, tok, round, min((m.merged::BIGINT << 32) | pos) OVER (PARTITION BY piece) AS best
-              FROM (SELECT piece, pos, tok, round, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS nxt FROM step) s
-              LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt)
-        WHERE best IS NOT NULL)
-  WHERE before IS DISTINCT FROM spot),
+  (WITH pair AS (SELECT piece, pos, tok, round, lead(tok) OVER w AS nxt, lead(piece) OVER w AS beside FROM step WINDOW w AS (ORDER BY piece, pos)),
+   ranked AS (SELECT piece, pos, tok, round, merged FROM pair LEFT JOIN merges ON l = tok AND r = nxt AND beside = piece),
+   best AS (SELECT piece, min((merged::BIGINT << 32) | pos) AS least FROM ranked WHERE merged IS NOT NULL GROUP BY piece),
+   open AS (SELECT piece, pos, tok, round, least >> 32 AS merged, least & 4294967295 AS spot, lag(pos) OVER (ORDER BY piece, pos) AS before
+            FROM ranked JOIN best USING (piece))
+   SELECT piece, pos, CASE WHEN pos = spot THEN merged ELSE tok END, round + 1 FROM open WHERE pos <= spot OR before <> spot)
+),
 ended AS (SELECT piece, max(round) AS round FROM step GROUP BY piece)
-SELECT piece, list(tok ORDER BY pos) AS ids, string_agg(token, '' ORDER BY pos) AS token
+SELECT piece, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(token, '' ORDER BY pos) AS token
 FROM step JOIN ended USING (piece, round) JOIN vocabulary ON id = tok
 GROUP BY piece ORDER BY piece
 """
@@ -98,39 +98,42 @@ class Coder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.said: list[str] = []
-        self.bytes: list[bytes] = []
+        self.said: dict[str, str] = {}
+        self.other: dict[str, bytes] = {}
 
-    def _keep(self, piece: str, ids: list[int], raw: bytes) -> None:
-        self.index[piece] = len(self.ids)
-        self.ids.append(ids)
-        self.said.append(",".join(map(str, ids)))
-        self.bytes.append(raw)
+    def _keep(self, piece: str, ids: str, raw: bytes, decoded: bytes) -> None:
+        self.said[piece] = ids
+        if decoded != raw:
+            self.other[piece] = decoded
 
     def learn(self, pieces: set[str]) -> None:
-        new = [(p, p.encode()) for p in pieces if p not in self.index]
+        """Ids (decimal, joined by commas) of the pieces that are not known yet, and the bytes they decode to."""
         short = []
-        for p, raw in new:
-            if raw in self.ranks:
-                self._keep(p, [self.ranks[raw]], raw)
-            elif len(raw) > LONG_PIECE:
-                ids = _merged(raw, self.ranks)
-                self._keep(p, ids, self.decode([ids])[0])
-            else:
-                short.append((p, raw))
+        for p in pieces:
+            if p not in self.said:
+                raw = p.encode()
+                if raw in self.ranks:
+                    self._keep(p, str(self.ranks[raw]), raw, raw)
+                elif len(raw) > LONG_PIECE:
+                    ids = _merged(raw, self.ranks)
+                    self._keep(p, ",".join(map(str, ids)), raw, self.decode([ids])[0])
+                else:
+                    short.append((p, raw))
         for a in range(0, len(short), QUERY_PIECES):
             part = short[a:a + QUERY_PIECES]
             sizes = np.array([len(raw) for _, raw in part])
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
             start = pa.table({"piece": np.repeat(np.arange(len(part)), sizes), "pos": np.arange(len(first)) - first,
-                              "tok": self.byte[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]})
+                              "tok": self.byte[np.frombuffer(b"".join([raw for _, raw in part]), np.uint8)]})
             self.db.register("start", start)
             got = self.db.sql(ENCODE).to_arrow_table()
             self.db.unregister("start")
-            for (p, _), ids, token in zip(part, got.column("ids").to_pylist(), got.column("token").to_pylist()):
-                self._keep(p, ids, bytes.fromhex(token))
+            for (p, raw), ids, token in zip(part, got.column("ids").to_pylist(), got.column("token").to_pylist()):
+                self._keep(p, ids, raw, bytes.fromhex(token))
+
+    def bytes_of(self, pieces: list[str]) -> bytes:
+        """What the ids of the pieces decode to."""
+        return b"".join([self.other[p] if p in self.other else p.encode() for p in pieces]) if self.other else "".join(pieces).encode()
 
     def decode(self, lists: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids; an id that is not in the vocabulary is an error."""
@@ -175,18 +178,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", wit
         find, coder = regex.compile(pattern).findall, _coder(shared)
         for batch in slices(batches, text, 2 << 20):
             lists = [find(t) if t else [] for t in batch.column(text).to_pylist()]
-            if len(coder.index) > KEPT_PIECES:
+            if len(coder.said) > KEPT_PIECES:
                 coder.forget()
             coder.learn(set().union(*lists))
             n, ids, said, decoded = [], [], [], []
             for pieces in lists:
-                at = [coder.index[p] for p in pieces]
-                line = ",".join([coder.said[i] for i in at])
+                line = ",".join([coder.said[p] for p in pieces])
                 n.append(line.count(",") + 1 if line else 0)
                 said.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([coder.bytes[i] for i in at])).hexdigest())
+                decoded.append(hashlib.sha256(coder.bytes_of(pieces)).hexdigest())
                 if with_ids:
-                    ids.append([x for i in at for x in coder.ids[i]])
+                    ids.append(np.fromstring(line, np.int32, sep=",") if line else np.zeros(0, np.int32))
             columns = [*batch.columns, pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), [*batch.schema.names, *names])
 
