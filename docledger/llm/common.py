@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pandas.util import hash_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docledger.session import ensure_checkpoint_dir
 
@@ -37,6 +37,16 @@ def unsealed(df: DataFrame, columns: list[str], *added: str) -> DataFrame:
     return df.select(*own, *added)
 
 
+#: Null ids become numbers from here on, so real ids have to be smaller.
+LAST = 1 << 62
+
+
+def identity(id_col: Column, text: Column) -> tuple[Column, Column]:
+    """The id (a number from `LAST` on for null), and 24 bits that tell rows of one id with different texts apart."""
+    h = F.xxhash64(text.cast("string"))
+    return F.coalesce(id_col.cast("long"), F.lit(LAST) + h.bitwiseAND(LAST - 1)), h.bitwiseAND((1 << 24) - 1)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and read it back.
 

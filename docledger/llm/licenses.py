@@ -18,6 +18,7 @@ from docledger.llm.common import sealed, unsealed
 K = 2
 SLACK = 3
 COVER = 0.6
+SALTS = 16
 
 #: The base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -81,5 +82,8 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     inner = sealed(docs).withColumn("key", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
     found = spans(inner, "key", text).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last", "label", "base", "score"))).alias("licenses"))
     rows = inner.withColumn("n_words", F.size(word_list(F.col(text))).cast("long"))
+    # copies of one text may be many rows: they are dealt out by a salt, the few spans go to each of its values
+    salted = found.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in inner.columns if c != text]), F.lit(SALTS)).cast("int"))
     none = F.array().cast("array<struct<first:long,last:long,label:string,base:boolean,score:double>>")
-    return unsealed(rows.join(found, "key", "left").withColumn("licenses", F.coalesce("licenses", none)), docs.columns, "n_words", "licenses")
+    return unsealed(rows.join(salted, ["key", "salt"], "left").withColumn("licenses", F.coalesce("licenses", none)), docs.columns, "n_words", "licenses")

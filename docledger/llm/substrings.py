@@ -23,15 +23,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from docledger.llm.common import BASE, Rolling, flatten, hash_words, sealed, signed, slices, text_bytes, unsealed, within
+from docledger.llm.common import BASE, Rolling, flatten, hash_words, identity, sealed, signed, slices, text_bytes, unsealed, within
 
 WINDOW = 50
 ANCHOR = 20
 SECOND = 0xD6E8FEB86659FD93
-#: Null ids become numbers from here on.
-LAST = 1 << 62
 
 
 def _least(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -61,12 +59,6 @@ def _segments(words: list[bytes], offsets: np.ndarray, window: int, anchor: int)
     return grams[at[first]], segment, doc, start - offsets[doc], count
 
 
-def _identity(id_col: Column, text: Column) -> tuple[Column, Column]:
-    """The id, and 24 bits that tell rows of one id with different texts apart."""
-    h = F.xxhash64(text)
-    return F.coalesce(id_col.cast("long"), F.lit(LAST) + h.bitwiseAND(LAST - 1)), h.bitwiseAND((1 << 24) - 1)
-
-
 def _place(start: np.ndarray, count: np.ndarray, tag: np.ndarray) -> pa.Array:
     """First word, number of windows and tag of a segment in one long."""
     return pa.array(start.astype(np.int64) << 32 | count.astype(np.int64) << 24 | tag)
@@ -113,7 +105,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """Per id the places of its repeated windows: first word << 32 | number of windows << 24 | tag of the text."""
     if not 0 <= window - anchor < 255:
         raise ValueError("an anchor has at most 254 words less than a window")
-    who, tag = _identity(F.col(id_col), F.col(text_col))
+    who, tag = identity(F.col(id_col), F.col(text_col))
     rows = docs.select(who.alias("id"), tag.alias("tag"), F.col(text_col).cast("string").alias("text"))
     seeds = rows.mapInArrow(_seed(window, anchor), "anchor long, segment long, id long, place long")
     ends = F.min("id").alias("low"), F.max("id").alias("high")
@@ -171,7 +163,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeats(docs, id_col, text_col, window, anchor)
     inner = sealed(docs.withColumn(text_col, F.col(text_col).cast("string")))
     key, text = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
-    who, tag = _identity(F.col(key), F.col(text))
+    who, tag = identity(F.col(key), F.col(text))
     joined = inner.withColumns({"id": who, "tag": tag}).join(found, "id", "left").drop("id")
     added = {"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "removed": F.array().cast("array<int>"), "kept": F.lit("")}
     return unsealed(joined.mapInArrow(_keep(window, text), inner.withColumns(added).schema), docs.columns, *added)
