@@ -32,7 +32,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     """term and the sub-lexicons it is in, as bits; terms in none are left out."""
     total = docs.count()
     terms = docs.select(F.explode(F.array_distinct(word_list(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    band = terms.where((F.col("df") >= low * total) & (F.col("df") <= high * total)).withColumn("sha", F.sha2("term", 256))
+    # written first: a condition on the hash of a term would move below the counting, to every word
+    band = stored(terms.where((F.col("df") >= low * total) & (F.col("df") <= high * total))).withColumn("sha", F.sha2("term", 256))
     byte = lambda k: F.conv(F.substring("sha", 2 * k + 1, 2), 16, 10).cast("int")
     bits = [F.when(byte(k) < SHARE, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(SUBSETS)]
     total_bits = bits[0]
