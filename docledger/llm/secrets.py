@@ -3,8 +3,8 @@
 Fixed patterns give the base spans. The field tags each token as begin, inside or outside of a secret from its shape,
 the shapes and keywords of its neighbours and the density of digits in the document; Viterbi decodes the best
 sequence. It is trained here by maximum likelihood on tokens that the base patterns mark in a bounded sample
-(`SAMPLE_DOCS` documents in expectation, `SAMPLE_CHARS` characters each), in half of which the keyword before a secret is hidden, so that
-shape alone has to carry weight. Spans of the field that overlap no base span are added with the kind `crf`.
+(`SAMPLE_DOCS` documents in expectation, `SAMPLE_CHARS` characters each); half of them hide keywords and half whole shapes, so that
+each clue has to carry weight by itself. Spans of the field that overlap no base span are added with the kind `crf`.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; with nothing to learn from
 (no base span in the sample) the field adds nothing. Positions count code points, ends are exclusive.
@@ -100,9 +100,13 @@ class Tokens:
                 at = int(np.searchsorted(self.start, self.begin[d] + m.start(), "right")) - 1
                 self.keyword[at] = 1
 
-    def features(self, keyword: np.ndarray | None = None) -> np.ndarray:
-        """Feature numbers of each token, one column for each template."""
-        n, keyword = len(self.shape), self.keyword if keyword is None else keyword
+    def features(self, training: bool = False) -> np.ndarray:
+        """Feature numbers of each token, one column for each template. In training, half of the documents hide their
+        keywords and half their whole shapes (in all four combinations)."""
+        n, keyword, whole, allhex = len(self.shape), self.keyword, self.shape, self.shape >> 4 & 1
+        if training:
+            keyword = np.where(self.doc % 2, keyword, 0)
+            whole, allhex = (np.where(self.doc // 2 % 2, x, hidden) for x, hidden in ((whole, SHAPES), (allhex, 0)))
         before = np.concatenate([[SHAPES], self.shape[:-1]]) if n else self.shape
         after = np.concatenate([self.shape[1:], [SHAPES]]) if n else self.shape
         known = np.concatenate([[0], keyword[:-1]]) if n else keyword
@@ -114,7 +118,8 @@ class Tokens:
         known2[edge] = 0
         second = edge + 1
         known2[second[second < n]] = 0
-        parts = [(self.shape, SHAPES), (before, SHAPES + 1), (after, SHAPES + 1), (keyword * 2 + known, 4), (known2, 2), (self.density, DENSITIES)]
+        # the parts of a shape by themselves too, so that a combination never seen still has weight
+        parts = [(whole, SHAPES + 1), (self.shape >> 5, 8), (self.shape & 7, 8), (allhex, 2), (before, SHAPES + 1), (after, SHAPES + 1), (keyword * 2 + known, 4), (known2, 2), (self.density, DENSITIES)]
         shift, out = 0, []
         for values, size in parts:
             out.append(values + shift)
@@ -122,7 +127,7 @@ class Tokens:
         return np.column_stack(out) if n else np.zeros((0, len(parts)), np.int64)
 
 
-FEATURES = SHAPES + 2 * (SHAPES + 1) + 4 + 2 + DENSITIES
+FEATURES = 3 * (SHAPES + 1) + 8 + 8 + 2 + 4 + 2 + DENSITIES
 
 
 def _steps(first: np.ndarray):
@@ -226,8 +231,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
             tags[a:a + 1] = 0
     if (tags == OUTSIDE).all():
         return None
-    hidden = np.where(tokens.doc % 2, tokens.keyword, 0)
-    return fit(tokens.features(hidden), tags, tokens.first)
+    return fit(tokens.features(training=True), tags, tokens.first)
 
 
 def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col: str = "text") -> DataFrame:

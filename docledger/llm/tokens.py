@@ -210,4 +210,4 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "d
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else r for x, r in zip(lists, raw)], pa.binary())], [*part.schema.names, out])
 
     inner = sealed(docs)
-    return unsealed(inner.mapInArrow(run, inner.withColumn(out, F.lit(b"")).schema), docs.columns, out)
+    return unsealed(inner.mapInArrow(run, inner.withColumn(out, F.lit(None).cast("binary")).schema), docs.columns, out)
