@@ -13,7 +13,6 @@ from docledger.operators.approval.fields import INVESTMENT, PERIOD, REVIEW_STATE
 from docledger.operators.approval.metrics import KNOWN_METRICS
 from docledger.operators.library import mapped
 
-ALIGN_GROUP_LIMIT = 200
 KEY = ["project_key", "name"]
 
 
@@ -185,17 +184,16 @@ def metric_notes(cells: DataFrame, statuses: DataFrame, deltas: DataFrame) -> Da
     return statuses.join(steps, KEY, "left").join(spread, KEY, "left").withColumn("note", F.coalesce("_rounding", "_steps", F.lit(""))).drop("_steps", "_rounding")
 
 
-def alignment_groups(cells: DataFrame, limit: int = ALIGN_GROUP_LIMIT) -> DataFrame:
-    """Metric names of a project that state the same quantity (CMP-7): project_key, quantity, name, group_size.
+def alignment_groups(cells: DataFrame) -> DataFrame:
+    """Metric names of a project that state the same quantity (CMP-7): project_key, quantity, name, value, group_size, anchor.
 
-    A name counts when all its quantities agree. This is the complete, linear form of the alignment
-    candidates; `paired` says whether align_metrics also lists the group's pairs.
+    A name counts when all its quantities agree; the anchor is the first name of its group.
     """
     rows = Q.with_quantity(cells).where("q IS NOT NULL").withColumn("k", Q.quantity_key(F.col("q")))
     one = rows.groupBy(*KEY).agg(F.min("k").alias("k"), F.max("k").alias("_k"), F.min_by("value", "doc_rank").alias("value")).where("k = _k").drop("_k")
     one = one.withColumn("quantity", F.concat_ws("|", Q.plain(F.col("k.number")), F.coalesce(Q.plain(F.col("k.upper")), F.lit("")), F.col("k.unit"), F.col("k.qualifier"))).drop("k")
-    size = one.groupBy("project_key", "quantity").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    return one.join(size, ["project_key", "quantity"]).withColumn("paired", F.col("group_size") <= limit)
+    size = one.groupBy("project_key", "quantity").agg(F.count(F.lit(1)).alias("group_size"), F.min("name").alias("anchor")).where("group_size > 1")
+    return one.join(size, ["project_key", "quantity"])
 
 
 def pair_key(a: Column, b: Column) -> Column:
@@ -203,23 +201,27 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.concat(F.least(a, b), F.lit("｜"), F.greatest(a, b))
 
 
-def align_metrics(cells: DataFrame, decided: DataFrame | None = None, limit: int = ALIGN_GROUP_LIMIT) -> DataFrame:
-    """Suspected same metric under two names: equal quantity, documents that do not overlap, not yet decided (CMP-7).
+def alignment_links(cells: DataFrame) -> DataFrame:
+    """Every name of a group but the anchor, linked with it: name_a (the anchor), name_b, value, quantity, pair, overlap.
 
-    Pairs are listed for groups of at most `limit` names; larger groups stay in the linear form of
-    alignment_groups, from which each pair follows. Overlap is tested by joins on (name, document),
-    so no document set is collected.
+    One row per name at every size of a group. `overlap` says whether one document states both names; it is
+    tested by joins on (name, document), so no document set is collected.
     """
-    groups = alignment_groups(cells, limit).where("paired")
-    left = groups.select("project_key", "quantity", F.col("name").alias("name_a"), "value")
-    right = groups.select("project_key", "quantity", F.col("name").alias("name_b"))
-    pairs = left.join(right, ["project_key", "quantity"]).where("name_a < name_b").withColumn("pair", pair_key(F.col("name_a"), F.col("name_b")))
-    if decided is not None:
-        pairs = pairs.join(decided.select("project_key", "pair").distinct(), ["project_key", "pair"], "left_anti")
+    groups = alignment_groups(cells)
+    first = groups.where("name = anchor").select("project_key", "quantity", F.col("name").alias("name_a"), "value")
+    links = groups.where("name <> anchor").select("project_key", "quantity", F.col("name").alias("name_b")).join(first, ["project_key", "quantity"]) \
+        .withColumn("pair", pair_key(F.col("name_a"), F.col("name_b")))
     stated = cells.where(X.text("value") != "").select("project_key", "name", "doc_id")
-    shared = pairs.select("project_key", "name_a", "name_b").join(stated.withColumnRenamed("name", "name_a"), ["project_key", "name_a"]) \
-        .join(stated.withColumnRenamed("name", "name_b"), ["project_key", "name_b", "doc_id"], "left_semi")
-    return pairs.join(shared.select("project_key", "name_a", "name_b").distinct(), ["project_key", "name_a", "name_b"], "left_anti")
+    shared = links.select("project_key", "name_a", "name_b").join(stated.withColumnRenamed("name", "name_b"), ["project_key", "name_b"]) \
+        .join(stated.withColumnRenamed("name", "name_a"), ["project_key", "name_a", "doc_id"], "left_semi")
+    shared = shared.select("project_key", "name_a", "name_b").distinct().withColumn("overlap", F.lit(True))
+    return links.join(shared, ["project_key", "name_a", "name_b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)))
+
+
+def align_metrics(cells: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """Suspected same metric under two names (CMP-7): links to the anchor without a common document, not yet decided."""
+    links = alignment_links(cells).where("NOT overlap").drop("overlap")
+    return links if decided is None else links.join(decided.select("project_key", "pair").distinct(), ["project_key", "pair"], "left_anti")
 
 
 LABELS = {"same": "一致", "different": "内容变化", "equivalent": "表述不同 / 标准值相同", "missing": "未载明", "review": "待核对", "align": "疑似同一指标", "unextracted": "原文有线索未提取到"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docledger.functions import skew, text as X
+from docledger.operators.approval.lines import line_order
 
 # ---- fixed values: field names, stages, patterns ----
 FIELDS = ("发文机关标志", "发文字号", "标题", "印章", "印发机关", "印发日期", "项目名称", "项目代码", "项目单位", "建设内容", "建设地点", "总投资/匡算/估算/概算", "资金来源", "建设周期")
@@ -87,7 +88,7 @@ def imprint(lines: DataFrame) -> DataFrame:
     `lines` carries page_height. The neighbour search joins on (document, page) and 12-point bands.
     """
     y = F.get("bbox", F.lit(1))
-    rows = lines.withColumn("_y", y).withColumn("_ord", F.col("page") * 100000 + F.col("n"))
+    rows = lines.withColumn("_y", y).withColumn("_ord", line_order())
     low = rows.where(F.col("text").rlike("^[一-鿿]{3,30}办公室$") & (F.col("_y") > F.col("page_height") * 0.55))
     a = low.groupBy("doc_id").agg(F.min_by(F.struct(F.col("text").alias("value"), "start"), "_ord").alias("a"))
     dated = rows.where(F.col("text").rlike(r"\d{4}年\d+月\d+日印发")).select("doc_id", "page", F.col("_y").alias("_dy"), F.col("_ord").alias("_date"), F.explode(

@@ -13,6 +13,11 @@ PAGES_PER_PIECE = 50
 SPAN_BUCKET = 2000
 
 
+def line_order() -> Column:
+    """Page and line number in one long."""
+    return F.col("page").cast("long") * (1 << 32) + F.col("n")
+
+
 def clean_lines(raw: DataFrame) -> DataFrame:
     """Drop blanks, watermarks and page numbers; number the lines of a page by band and x (APR-1).
 
@@ -74,7 +79,7 @@ def evidence(spans: DataFrame, lines: DataFrame) -> DataFrame:
 def with_evidence(cells: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """Add the evidence array of each cell; a cell quotes the lines of its own span."""
     e = evidence(cells.select(*keys, "start", "end"), lines)
-    packed = skew.listed(e.withColumn("_o", F.col("page") * 100000 + F.col("n")), keys, [F.col("_o")], F.floor(F.col("page") / PAGES_PER_PIECE),
+    packed = skew.listed(e.withColumn("_o", line_order()), keys, [F.col("_o")], F.floor(F.col("page") / PAGES_PER_PIECE),
                          ["line_id", "page", "bbox", "quote"], "evidence")
     whole = packed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "evidence"))).alias("_p"))
     return cells.join(whole.select(*keys, F.flatten(F.transform("_p", lambda p: p["evidence"])).alias("evidence")), keys, "left")
@@ -86,7 +91,7 @@ def sections(lines: DataFrame) -> DataFrame:
     titled = F.regexp_extract("text", HEADING_TITLE, 0)
     mark = F.when(head, F.struct(F.col("start").alias("at"), F.when(titled != "", F.regexp_extract("text", HEADING_TITLE, 1)).otherwise(F.col("text")).alias("heading"),
                                  F.when(titled != "", F.col("start") + F.length(titled)).otherwise(F.col("end")).alias("from")))
-    rows = lines.withColumn("_ord", F.col("page") * 100000 + F.col("n"))
+    rows = lines.withColumn("_ord", line_order())
     piece = F.floor(F.col("page") / PAGES_PER_PIECE)
     rows = skew.carried(rows, ["doc_id"], "_ord", piece, mark, "sec").where("sec IS NOT NULL")
     own = F.when(F.col("start") == F.col("sec.at"), F.col("text").substr((F.col("sec.from") - F.col("start")).cast("int") + 1, F.length("text"))).otherwise(F.col("text"))

@@ -44,7 +44,7 @@ def explode_anchors(pages: DataFrame) -> DataFrame:
     title = H.attr(F.col("_tag"), "title")
     rows = rows.select(
         *keep, "pos", F.when((href == "") | href.rlike("^(#|javascript:|mailto:)"), url_from_onclick(H.attr(F.col("_tag"), "onclick"))).otherwise(href).alias("href"),
-        F.substring(X.first_filled(title, label), 1, 300).alias("title"), title.alias("title_attr"), label.alias("label"), H.attr(F.col("_tag"), "rel").alias("rel"),
+        X.first_filled(title, label).alias("title"), title.alias("title_attr"), label.alias("label"), H.attr(F.col("_tag"), "rel").alias("rel"),
         href.alias("raw_href"), H.attr(F.col("_tag"), "onclick").alias("onclick"), H.attr(F.col("_tag"), "download").alias("download"))
     return rows
 
@@ -208,4 +208,4 @@ def parse_paged_list(responses: DataFrame) -> DataFrame:
     ident = F.trim(X.text(F.col("r.source.id")))
     href = F.concat("prefix", F.lit("/content/content_"), ident, F.lit(".html"))
     return rows.where(ident != "").select("source_id", "page", "pos", H.normalize_url(href, "page_url").alias("url"),
-                                          F.substring(X.squeeze(X.text(F.col("r.source.title"))), 1, 300).alias("title"))
+                                          X.squeeze(X.text(F.col("r.source.title"))).alias("title"))

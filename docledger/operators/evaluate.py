@@ -192,8 +192,8 @@ def source_acceptance(sources: DataFrame, samples: DataFrame) -> DataFrame:
     bad = (F.col("body_chars") == 0) | failing
     per = samples.groupBy("source").agg(F.count(F.lit(1)).alias("samples"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col("url"))).alias("_url"))
     rows = sources.join(per, "source", "left").withColumn("samples", F.coalesce("samples", F.lit(0))).withColumn("bad", F.coalesce("bad", F.lit(0)))
-    reason = F.when(F.col("national_repost"), "疑似中央文件转载子栏目").when(F.col("error") != "", F.substring("error", 1, 70)) \
-        .when(F.col("samples") == 0, "未取到样本").when(F.col("bad") > 0, F.concat(F.lit("样本异常: "), F.substring("_url", -40, 40))).otherwise("")
+    reason = F.when(F.col("national_repost"), "疑似中央文件转载子栏目").when(F.col("error") != "", F.col("error")) \
+        .when(F.col("samples") == 0, "未取到样本").when(F.col("bad") > 0, F.concat(F.lit("样本异常: "), F.col("_url"))).otherwise("")
     return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "").drop("_url")
 
 

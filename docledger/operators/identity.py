@@ -34,22 +34,18 @@ def fingerprint_text(content: Column, hashes: Column) -> Column:
     return F.concat(F.lit("["), X.json_string(X.without_space(content)), F.lit(", ["), listed, F.lit("]]"))
 
 
-def content_fingerprint(docs: DataFrame, attachments: DataFrame | None = None, key: str = "id",
-                        fan: int = 1000) -> DataFrame:
-    """Add content_sha256 over the body without white space and the sorted distinct attachment hashes.
+def content_fingerprint(docs: DataFrame, attachments: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Add content_sha256 over the body without white space and the sorted distinct attachment hashes (VER-3).
 
-    Attachments of one document are reduced in parts of `fan`; a document with more attachments
-    hashes the part digests, so no task ever holds an unbounded list.
+    Hashes are sorted per (document, first two characters) and those pieces joined in order, so the sort of a
+    document with very many attachments is spread; the value is the same at every size.
     """
     if attachments is None:
         return docs.withColumn("content_sha256", X.sha256(fingerprint_text(X.text("content"), F.array().cast("array<string>"))))
     hashed = attachments.select(F.col("policy_id").alias(key), F.when(X.text("sha256") != "", F.col("sha256"))
                                 .otherwise(F.concat(F.lit("missing:"), X.text("url"))).alias("h")).distinct()
-    parts = skew.listed(hashed, [key], [F.col("h")], F.substring("h", 1, 2), ["h"], "hs", fan)
-    parts = parts.withColumn("hs", F.transform("hs", lambda s: s["h"]))
-    digest = F.when(F.col("part") == 0, F.col("hs")).otherwise(F.array(X.sha256(F.array_join("hs", ","))))
-    per_doc = parts.select(key, F.struct("part", digest.alias("v")).alias("p")).groupBy(key) \
-        .agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"])).alias("_hashes"))
+    pieces = hashed.groupBy(key, F.substring("h", 1, 2).alias("piece")).agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    per_doc = pieces.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "hs"))), lambda p: p["hs"])).alias("_hashes"))
     none = F.array().cast("array<string>")
     return docs.join(per_doc, key, "left").withColumn(
         "content_sha256", X.sha256(fingerprint_text(X.text("content"), F.coalesce("_hashes", none)))).drop("_hashes")

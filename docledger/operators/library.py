@@ -17,7 +17,6 @@ TODO_META = {  # type: (name, owner)
 TODO_ORDER = ("material", "system", "candidate", "review", "scope")
 HUMAN_QUEUES = ("review", "scope")
 PAGE_SIZES = (20, 50, 100)
-EXPORT_LIMIT = 5000
 SORTABLE = {  # key: (column, default direction)
     "id": ("id", "desc"), "title": ("title", "asc"), "wenhao": ("wenhao", "asc"), "category": ("category_names", "asc"),
     "region": ("region", "asc"), "date": ("page_date", "desc"), "todo": ("todo_type", "asc")}
@@ -212,8 +211,9 @@ def list_sources(sources: DataFrame, enabled_only: bool = False) -> DataFrame:
     return (sources.where("enabled = 1") if enabled_only else sources).orderBy("id")
 
 
-def list_ledger(ledger: DataFrame, source_id=None, status: str = "", limit: int = 200) -> DataFrame:
-    """Ledger rows newest first (LIB-17)."""
+def list_ledger(ledger: DataFrame, source_id=None, status: str = "", limit: int | None = None) -> DataFrame:
+    """Ledger rows newest first (LIB-17); the first `limit` only where asked for."""
     rows = ledger if source_id is None else ledger.where(F.col("source_id") == source_id)
     rows = rows.where(F.col("status") == status) if status else rows
-    return rows.orderBy(F.col("id").desc()).limit(limit)
+    rows = rows.orderBy(F.col("id").desc())
+    return rows if limit is None else rows.limit(limit)

@@ -63,7 +63,7 @@ def page_meta(pages: DataFrame) -> DataFrame:
     h2 = element(r"""(?is)<h2\s[^>]*class\s*=\s*["'][^"'>]*title[^"'>]*["'][^>]*>(.*?)</h2\s*>""")
     # an h1 that exists but is empty still wins over h2 and title
     by_element = F.when(F.col("html").rlike(heading), F.col("_h1")).otherwise(X.first_filled(h2, F.col("_doc_title")))
-    title = F.substring(X.first_filled(_meta("articletitle"), _meta("og:title"), by_element), 1, 500)
+    title = X.first_filled(_meta("articletitle"), _meta("og:title"), by_element)
     return rows.withColumn("title", title).withColumn("blocked", X.contains_any(F.col("title"), BLOCK_MARKS))
 
 
@@ -83,11 +83,16 @@ def labelled_fields(rows: DataFrame) -> DataFrame:
         .withColumn("issuing_authority", issuer).withColumn("publisher", F.when(issuer == "", publisher).otherwise(""))
 
 
+def number_line(content: Column) -> Column:
+    """1-based number of the first line that is a document number by itself; NULL without one (EXT-4)."""
+    alone = F.transform(F.split(content, "\n"), lambda l, i: F.when(X.strip(l).rlike(f"(?U)^(?:{WENHAO})$"), i + 1))
+    return F.array_min(alone)
+
+
 def document_number(content: Column, title: Column, found: Column, alone: Column) -> Column:
-    """The document's own number (EXT-4): labelled, standing alone in an element or in the first 30 lines, else in the
-    title; never one cited inside a paragraph."""
-    lines = F.transform(F.slice(F.split(content, "\n"), 1, 30), X.strip)
-    own = F.get(F.filter(lines, lambda l: l.rlike(f"(?U)^(?:{WENHAO})$")), F.lit(0))
+    """The document's own number (EXT-4): labelled, standing alone in an element or on a line, else in the title; never
+    one cited inside a paragraph."""
+    own = F.get(F.split(content, "\n"), number_line(content) - 1)
     return X.first_filled(found, X.without_space(alone), X.without_space(F.coalesce(own, F.lit(""))),
                           X.without_space(F.regexp_extract(title, "(?U)" + WENHAO, 0)))
 
@@ -134,7 +139,7 @@ def site_override(rows: DataFrame) -> DataFrame:
         "bracket": F.when(doc_title.rlike("^【(.+?)】"), F.regexp_extract(doc_title, "^【(.+?)】", 1)).otherwise(F.trim(F.get(F.split(doc_title, "[_-]"), F.lit(0)))),
         "h1": h1, "h1-prefix": F.trim(F.regexp_replace(h1, TITLE_PREFIX, "")), "meta": _meta("articletitle")}
     custom = F.col("_parts.custom")
-    own_title = F.substring(_by_site(lambda r: titles[r[3]], F.lit("")), 1, 300)
+    own_title = _by_site(lambda r: titles[r[3]], F.lit(""))
     meta_title = X.first_filled(_meta("articletitle"), _meta("og:title"))
     own_date = _by_site(lambda r: X.date_value(F.regexp_extract("_text", r[4], 1)) if r[4] else F.substring(_meta("pubdate"), 1, 10), F.lit(""))
     return rows.withColumn("title", F.when(custom & (meta_title == "") & (own_title != ""), own_title).otherwise(F.col("title"))) \

@@ -100,7 +100,7 @@ def validate_responses(responses: DataFrame, chunks: DataFrame) -> DataFrame:
         F.when(broken, none).otherwise(F.col("_cats")).alias("categories"), "doc_type", F.col("_review").alias("need_review"),
         F.when(F.col("_review"), "review").when(F.col("_inv") == "pending", "scope").otherwise("none").alias("todo_type"),
         F.when(F.col("_blank") | lost, "").otherwise(F.col("_ev")).alias("evidence"), "confidence",
-        F.substring(reason, 1, 2000).alias("reason"), F.regexp_replace(hint, "^；+|；+$", "").alias("reviewer_hint"))
+        reason.alias("reason"), F.regexp_replace(hint, "^；+|；+$", "").alias("reviewer_hint"))
 
 
 def ordered_distinct(rows: DataFrame, value: str, sep: str) -> DataFrame:

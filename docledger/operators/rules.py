@@ -75,7 +75,7 @@ def categories(docs: DataFrame, rules: RuleSet = DEFAULT) -> DataFrame:
     for i, (key, (name, words)) in enumerate(rules.categories.items()):
         found = X.hits(F.col("_text"), [norm_word(w) for w in words])
         docs = docs.withColumn(f"_c{i}", found)
-        scored.append(F.struct((-F.size(f"_c{i}")).alias("minus"), F.lit(i).alias("ordinal"), F.lit(key).alias("key"),
+        scored.append(F.struct((-F.size(f"_c{i}")).alias("minus"), F.lit(i).alias("ordinal"), F.lit(key).alias("key"), F.col(f"_c{i}").alias("hits"),
                                F.concat(F.lit(name + ":"), F.array_join(F.slice(f"_c{i}", 1, 3), "、")).alias("words")))
     some = F.filter(F.array(*scored), lambda s: s["minus"] < 0)
     return docs.withColumn("_by_rule", some).withColumn("category_scores", F.array_sort("_by_rule")) \
@@ -130,11 +130,11 @@ def todo_type(docs: DataFrame) -> DataFrame:
 
 
 def explain(docs: DataFrame) -> DataFrame:
-    """Readable reason: at most six words, then the class evidence (CLS-9)."""
+    """Readable reason, a sentence with six words at most, then the class evidence (CLS-9); matched_words has all words."""
     words = F.when(F.size("_words") > 0, F.concat(F.lit("命中投资相关关键词："), F.array_join(F.slice("_words", 1, 6), "、"))) \
         .otherwise("正式文件未命中投资关键词")
     evidence = F.transform("_by_rule", lambda s: s["words"])
-    return docs.withColumn("reason", F.when(F.size(evidence) > 0, F.concat(words, F.lit("；分类依据："), F.array_join(evidence, JOIN))).otherwise(words))
+    return docs.withColumn("matched_words", F.col("_words")).withColumn("reason", F.when(F.size(evidence) > 0, F.concat(words, F.lit("；分类依据："), F.array_join(evidence, JOIN))).otherwise(words))
 
 
 VERDICT = ["is_investment_policy", "todo_type", "need_review", "doc_type", "category", "category_names", "reason", "reviewer_hint"]
@@ -157,7 +157,8 @@ def classify(docs: DataFrame, rules: RuleSet = DEFAULT, text: str = "content") -
         "category": F.when(no, "").otherwise(F.array_join(keys, ",")),
         "category_names": F.when(no, "").otherwise(F.array_join(names, ",")),
         "reason": F.when(no, no_reason).otherwise(F.col("reason")),
-        "reviewer_hint": F.when(no, "").otherwise(F.col("reviewer_hint"))}
+        "reviewer_hint": F.when(no, "").otherwise(F.col("reviewer_hint")),
+        "matched_words": F.when(no, F.array().cast("array<string>")).otherwise(F.col("matched_words"))}
     out = out.select(*keep, "doc_type", *[c.alias(n) for n, c in fields.items()])
     return out.withColumn("need_review", F.col("todo_type").isin("candidate", "review", "scope")) \
         .withColumn("model_version", F.lit(MODEL_VERSION)).withColumn("method", F.lit("rule"))
@@ -170,6 +171,8 @@ def permanent_error(col: Column) -> Column:
 def material_gate(verdicts: DataFrame, attachments: DataFrame) -> DataFrame:
     """Missing text outranks the verdict (CLS-10); dead links are only a hint while usable text exists.
 
+    The hint names three of them, gone_names has all.
+
     `verdicts` carries id, content, parse_error and the verdict; `attachments` policy_id, id, name,
     parse_status (NULL allowed), parsed_text, error.
     """
@@ -179,11 +182,11 @@ def material_gate(verdicts: DataFrame, attachments: DataFrame) -> DataFrame:
         .withColumn("_gone", F.col("_absent") & permanent_error(F.col("error")))
     per_doc = rows.groupBy(F.col("policy_id").alias("id")).agg(
         F.count_if("_absent").alias("_n_absent"), F.count_if("_gone").alias("_n_gone"), F.bool_or(~blank).alias("_text"))
-    dead = skew.newest(rows.where("_gone"), ["policy_id"], [F.col("id")], 3, rank="_k")  # three names at most
-    label = F.substring(X.first_filled(X.text("name"), F.lit("未命名附件")), 1, 30)
-    dead = dead.groupBy(F.col("policy_id").alias("id")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", label.alias("n")))), lambda s: s["n"]), "、").alias("_names"),
-        F.min_by("error", "_k").alias("_error"))
+    label = X.first_filled(X.text("name"), F.lit("未命名附件"))
+    dead = rows.where("_gone").groupBy(F.col("policy_id").alias("id")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col("id").alias("_k"), label.alias("n")))), lambda s: s["n"]).alias("gone_names"),
+        F.min_by("error", "id").alias("_error"))
+    dead = dead.withColumn("_names", F.array_join(F.transform(F.slice("gone_names", 1, 3), lambda n: F.substring(n, 1, 30)), "、"))
     out = verdicts.join(per_doc, "id", "left").join(dead, "id", "left")
     usable = (X.strip(X.text("content")) != "") | F.coalesce("_text", F.lit(False))
     absent, gone = F.coalesce("_n_absent", F.lit(0)), F.coalesce("_n_gone", F.lit(0))
@@ -196,7 +199,7 @@ def material_gate(verdicts: DataFrame, attachments: DataFrame) -> DataFrame:
         .withColumn("need_review", F.when(F.col("_incomplete"), False).otherwise(F.col("need_review"))) \
         .withColumn("is_investment_policy", F.when(F.col("_incomplete") & (F.col("is_investment_policy") == "no"), "pending")
                     .otherwise(F.col("is_investment_policy")))
-    return out.select(*verdicts.columns)
+    return out.select(*verdicts.columns, F.coalesce("gone_names", F.array().cast("array<string>")).alias("gone_names"))
 
 
 def fallback_state(verdicts: DataFrame, answered: DataFrame, errors: DataFrame | None = None) -> DataFrame:

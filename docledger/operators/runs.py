@@ -77,10 +77,15 @@ def batch_stats(stats: DataFrame, lost: DataFrame | None = None) -> DataFrame:
     return out.where("level < 3").withColumn("status", F.when(F.col("level") == 0, F.col("_status")).otherwise(batch)).drop("_status")
 
 
-def run_history(runs: DataFrame, limit: int = 20, offset: int = 0, counters=COUNTERS) -> DataFrame:
-    """Runs newest first with the summary JSON expanded (OPS-5)."""
+def _newest(rows: DataFrame, limit: int | None, offset: int) -> DataFrame:
+    page = rows.orderBy(F.col("id").desc()).offset(offset)
+    return page if limit is None else page.limit(limit)
+
+
+def run_history(runs: DataFrame, limit: int | None = None, offset: int = 0, counters=COUNTERS) -> DataFrame:
+    """Runs newest first, a page of them where `limit` is given, with the summary JSON expanded (OPS-5)."""
     shape = ", ".join(f"{c} DOUBLE" for c in counters)
-    page = runs.orderBy(F.col("id").desc()).offset(offset).limit(limit)
+    page = _newest(runs, limit, offset)
     return page.withColumn("_s", F.from_json("summary", shape)).select(*[c for c in runs.columns if c != "summary"], "_s.*")
 
 
@@ -88,17 +93,18 @@ def run_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_timeline(events: DataFrame, run_id, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of a run's events, taken newest first and shown oldest first, with the total (OPS-6)."""
+def run_timeline(events: DataFrame, run_id, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A run's events, or a page of them taken newest first, shown oldest first, with the total (OPS-6)."""
     own = events.where(F.col("run_id") == run_id)
-    page = own.orderBy(F.col("id").desc()).offset(offset).limit(limit)
+    page = _newest(own, limit, offset)
     return page.crossJoin(own.agg(F.count(F.lit(1)).alias("total"))).orderBy("id")
 
 
-def run_timelines(events: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest `limit` events of every run, oldest first, with totals (OPS-6 for all runs)."""
+def run_timelines(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """The events of every run, or its newest `limit`, oldest first, with totals (OPS-6 for all runs)."""
     totals = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    return skew.newest(events, ["run_id"], [F.col("id").desc()], limit).join(totals, "run_id").orderBy("run_id", "id")
+    events = events if limit is None else skew.newest(events, ["run_id"], [F.col("id").desc()], limit)
+    return events.join(totals, "run_id").orderBy("run_id", "id")
 
 
 def policy_timeline(events: DataFrame, links: DataFrame, policy_id=None, k: int = 30) -> DataFrame:

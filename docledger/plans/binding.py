@@ -25,7 +25,7 @@ def spread(df: DataFrame) -> DataFrame:
 # ---- documents -------------------------------------------------------------------------------
 
 DOCS_SQL = """docs AS (
-  SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 300) AS title, '' AS wenhao,
+  SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, '' AS wenhao,
          source AS issuing_authority, source AS source_name, text AS content, lang, n_chars,
          'https://' || source || '.example.org/' || lang || '/' || n_chars AS page_url
   FROM documents)"""
@@ -33,7 +33,7 @@ DOCS_SQL = """docs AS (
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents")).select(
-        F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 300).alias("title"),
+        F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"),
         F.lit("").alias("wenhao"), F.col("source").alias("issuing_authority"), F.col("source").alias("source_name"),
         F.col("text").alias("content"), "lang", "n_chars",
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang", F.lit("/"), "n_chars").alias("page_url"))

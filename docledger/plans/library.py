@@ -51,11 +51,10 @@ def conform(spark, sf):
 
 
 @query("src_json_feed", """SELECT doc_id AS source_id, i - 1 AS pos, 'p/' || length(line) AS url, line AS title FROM (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE i <= 20""")
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""")
 def json_feed(spark, sf):
     items = F.transform(F.split("text", "\n"), lambda l: F.struct(F.concat(F.lit("p/"), F.length(l)).alias("URL"), l.alias("TITLE")))
-    feeds = B.table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.lit("https://h/list").alias("list_url"),
-                                                   F.lit(1).alias("max_pages"), F.to_json(items).alias("body"))
+    feeds = B.table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.lit("https://h/list").alias("list_url"), F.to_json(items).alias("body"))
     return S.feed_rows(feeds).select("source_id", F.col("pos").cast("long").alias("pos"), "url", "title")
 
 
@@ -190,7 +189,7 @@ def list_sources(spark, sf):
     return L.list_sources(B.sources(spark, sf), enabled_only=True).drop("enabled")
 
 
-@query("lib_list_ledger", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey DESC LIMIT 200")
+@query("lib_list_ledger", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey DESC")
 def list_ledger(spark, sf):
     ledger = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     return L.list_ledger(ledger, status="F")
@@ -200,7 +199,7 @@ def list_ledger(spark, sf):
   CASE review_status WHEN 'pending' THEN '待复核' WHEN 'confirmed' THEN '人工确认' WHEN 'confirmed_auto' THEN '模型通过' ELSE '已剔除' END AS review_status,
   CASE todo_type WHEN 'material' THEN '材料待补' WHEN 'system' THEN '系统待修' WHEN 'candidate' THEN '高置信候选' WHEN 'review' THEN '结论待确认' WHEN 'scope' THEN '待定口径' ELSE '' END AS todo,
   CASE todo_type WHEN 'material' THEN '机器自修' WHEN 'system' THEN '运维处理' WHEN 'candidate' THEN '业务抽检' WHEN 'review' THEN '业务确认' WHEN 'scope' THEN '业务拍板' ELSE '' END AS owner,
-  site, page_url FROM latest WHERE review_status <> 'rejected' ORDER BY region = '', region ASC, id DESC LIMIT 5000""")
+  site, page_url FROM latest WHERE review_status <> 'rejected' ORDER BY region = '', region ASC, id DESC""")
 def export_csv(spark, sf):
     return K.export_rows(L.filter_policies(B.policies(spark, sf)), "region")
 

@@ -163,7 +163,7 @@ def sub_column_distribution(spark, sf):
     return D.sub_column_distribution(links)
 
 
-@query("src_paged_list", """SELECT doc_id AS source_id, 1 AS page, CAST(i - 1 AS INTEGER) AS pos, 'https://h.org/zc/content/content_' || length(line) || '.html' AS url, substr(trim(regexp_replace(line, '\\s+', ' ', 'g')), 1, 300) AS title FROM (
+@query("src_paged_list", """SELECT doc_id AS source_id, 1 AS page, CAST(i - 1 AS INTEGER) AS pos, 'https://h.org/zc/content/content_' || length(line) || '.html' AS url, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS title FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE line NOT LIKE 'T%'""")
 def paged_list(spark, sf):
     item = F.transform(F.split("text", "\n"), lambda l: F.struct(F.struct(F.when(F.startswith(l, F.lit("T")), "").otherwise(F.length(l).cast("string")).alias("id"), l.alias("title")).alias("source")))
@@ -172,7 +172,7 @@ def paged_list(spark, sf):
     return D.parse_paged_list(rows)
 
 
-@query("ext_page_meta", r"""SELECT page_id, substr(trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&'), '\s+', ' ', 'g')), 1, 500) AS title, false AS blocked FROM pages""")
+@query("ext_page_meta", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, false AS blocked FROM pages""")
 def page_meta(spark, sf):
     return G.page_meta(_pages(spark, sf)).select("page_id", "title", "blocked")
 

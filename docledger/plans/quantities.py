@@ -185,15 +185,15 @@ def metric_notes(spark, sf):
 
 
 ALIGN_SQL = METRIC_SQL + """, one AS (SELECT project_key, name, max(num) AS num, max(pre) AS pre, arg_min(value, doc_rank) AS value FROM mc GROUP BY 1, 2 HAVING count(DISTINCT row(num, pre)) = 1),
-gr AS (SELECT *, count(*) OVER (PARTITION BY project_key, num, pre) AS group_size FROM one QUALIFY group_size > 1)"""
+gr AS (SELECT *, count(*) OVER (PARTITION BY project_key, num, pre) AS group_size, min(name) OVER (PARTITION BY project_key, num, pre) AS anchor FROM one QUALIFY group_size > 1)"""
 
 
-@query("cmp_alignment_groups", f"WITH {ALIGN_SQL} SELECT project_key, name, value, num || '||米|' || pre AS quantity, group_size, true AS paired FROM gr")
+@query("cmp_alignment_groups", f"WITH {ALIGN_SQL} SELECT project_key, name, value, num || '||米|' || pre AS quantity, group_size, anchor FROM gr")
 def alignment_groups(spark, sf):
     return C.alignment_groups(_cells(spark, sf))
 
 
-@query("cmp_align_metrics", f"""WITH {ALIGN_SQL} SELECT a.project_key, a.name AS name_a, b.name AS name_b, a.value, a.num || '||米|' || a.pre AS quantity, a.name || '｜' || b.name AS pair FROM gr a JOIN gr b ON a.project_key = b.project_key AND a.num = b.num AND a.pre = b.pre AND a.name < b.name
+@query("cmp_align_metrics", f"""WITH {ALIGN_SQL} SELECT a.project_key, a.name AS name_a, b.name AS name_b, a.value, a.num || '||米|' || a.pre AS quantity, a.name || '｜' || b.name AS pair FROM gr a JOIN gr b ON a.project_key = b.project_key AND a.num = b.num AND a.pre = b.pre AND a.name < b.name AND a.name = a.anchor
   WHERE NOT EXISTS (SELECT 1 FROM mc x JOIN mc y ON x.doc_id = y.doc_id WHERE x.project_key = a.project_key AND y.project_key = a.project_key AND x.name = a.name AND y.name = b.name)
   AND NOT (a.name = 'MA1' AND b.name = 'MN2')""")
 def align_metrics(spark, sf):

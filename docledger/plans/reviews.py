@@ -126,7 +126,7 @@ def _pairs(spark, sf):
     return rows, skew.pinned(C.align_metrics(C.metric_cells(rows)))
 
 
-_ALIGN_PAIRS = Q.ALIGN_SQL + """, prs AS (SELECT a.project_key, a.name AS name_a, b.name AS name_b FROM gr a JOIN gr b ON a.project_key = b.project_key AND a.num = b.num AND a.pre = b.pre AND a.name < b.name
+_ALIGN_PAIRS = Q.ALIGN_SQL + """, prs AS (SELECT a.project_key, a.name AS name_a, b.name AS name_b FROM gr a JOIN gr b ON a.project_key = b.project_key AND a.num = b.num AND a.pre = b.pre AND a.name < b.name AND a.name = a.anchor
   WHERE NOT EXISTS (SELECT 1 FROM mc x JOIN mc y ON x.doc_id = y.doc_id WHERE x.project_key = a.project_key AND y.project_key = a.project_key AND x.name = a.name AND y.name = b.name))"""
 
 

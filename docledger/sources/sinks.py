@@ -15,12 +15,12 @@ PROTECTED_TABLES = ("source_configs",)
 
 
 def export_rows(filtered: DataFrame, sort: str = "", order: str = "") -> DataFrame:
-    """The current filter and sort, at most EXPORT_LIMIT rows, with readable labels (SNK-1)."""
+    """All rows of the current filter in its sort order, with readable labels (SNK-1)."""
     todo = F.coalesce("todo_type", F.lit("none"))
     named = {k: v[0] for k, v in L.TODO_META.items() if k != "none"}
     owner = {k: v[1] for k, v in L.TODO_META.items() if k != "none"}
     unknown = F.when(todo == "none", "").otherwise(todo)
-    rows = L.order_policies(filtered, sort, order).limit(L.EXPORT_LIMIT)
+    rows = L.order_policies(filtered, sort, order)
     return rows.select(
         "id", "title", "wenhao", X.first_filled(X.text("category_names"), F.lit("未分类")).alias("category_names"), "region",
         F.substring(X.text("page_date"), 1, 10).alias("page_date"), L.mapped(F.col("review_status"), L.REVIEW_LABELS).alias("review_status"),
@@ -29,9 +29,9 @@ def export_rows(filtered: DataFrame, sort: str = "", order: str = "") -> DataFra
 
 
 def export_csv(filtered: DataFrame, path: str, sort: str = "", order: str = "") -> None:
-    """One CSV file: the export is capped at EXPORT_LIMIT rows by definition."""
+    """CSV files in sort order, one for each range of the sort."""
     rows = formula_safe(export_rows(filtered, sort, order))
-    rows.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    rows.write.mode("overwrite").option("header", "true").csv(path)
 
 
 def formula_safe(df: DataFrame) -> DataFrame:

@@ -63,17 +63,16 @@ def original_format(files: DataFrame) -> DataFrame:
     return files.withColumn("fmt", fmt)
 
 
-def feed_rows(feeds: DataFrame, rows_per_page: int = 20) -> DataFrame:
-    """JSON array feeds to (source_id, pos, url, title), the first max_pages * 20 items of each (SRC-4).
+def feed_rows(feeds: DataFrame) -> DataFrame:
+    """JSON array feeds to (source_id, pos, url, title), every item with its position (SRC-4).
 
-    `feeds`: source_id, list_url, max_pages, body. A body that is not a JSON array raises the `broken` flag.
+    `feeds`: source_id, list_url, body. Pages of a feed are a condition on pos. A body that is not a JSON array raises the `broken` flag.
     """
     item = T.ArrayType(T.StructType.fromDDL("URL STRING, TITLE STRING"))
     parsed = feeds.withColumn("_items", F.from_json("body", item)) \
         .withColumn("broken", ~F.coalesce(F.ltrim("body").startswith("[") & F.col("_items").isNotNull(), F.lit(False)))
-    rows = parsed.select("source_id", "list_url", "max_pages", "broken", F.posexplode_outer("_items").alias("pos", "_i"))
-    return rows.where(F.col("pos").isNull() | (F.col("pos") < F.col("max_pages") * rows_per_page)) \
-        .select("source_id", "list_url", "broken", "pos", X.text(F.col("_i.URL")).alias("url"), X.text(F.col("_i.TITLE")).alias("title"))
+    rows = parsed.select("source_id", "list_url", "broken", F.posexplode_outer("_items").alias("pos", "_i"))
+    return rows.select("source_id", "list_url", "broken", "pos", X.text(F.col("_i.URL")).alias("url"), X.text(F.col("_i.TITLE")).alias("title"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
