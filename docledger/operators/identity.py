@@ -66,29 +66,32 @@ def policy_for_url(links: DataFrame, policies: DataFrame) -> DataFrame:
 def dedup_decision(incoming: DataFrame, library: DataFrame, links: DataFrame) -> DataFrame:
     """Decide each incoming document against the library and the rest of its batch (VER-5, VER-6, STR-6).
 
-    `incoming`: page_url (one row per URL), policy_key, content_sha256, arrival.
+    `incoming`: page_url (one row per URL), policy_key, content_sha256, arrival; a column `eligible` (default
+    true) is false for documents that will not be stored: they found no key and take no version, and are
+    `excluded` unless they repeat a stored one.
     The hash is looked up among all versions of a key, so a late repost of old content never
     rolls the key back. Rows of one batch see each other in arrival order: the first new row of an
     unknown key founds it, rows from URLs already linked to a key append versions, any other URL
     with different content under a known key is a suspected duplicate.
     """
     origin = policy_for_url(links, library).select("page_url", F.col("policy_key").alias("origin_key"))
+    stays = F.col("eligible") if "eligible" in incoming.columns else F.lit(True)
     rows = incoming.join(origin, "page_url", "left") \
-        .withColumn("policy_key", F.coalesce("origin_key", "policy_key"))
+        .withColumn("policy_key", F.coalesce("origin_key", "policy_key")).withColumn("_stays", stays)
     heads = library.groupBy("policy_key").agg(F.max("version").alias("lib_version"), F.max_by("id", "version").alias("lib_id"))
     same = library.groupBy("policy_key", "content_sha256").agg(
         F.max("version").alias("same_version"), F.max_by("id", "version").alias("same_id"))
     # read three times below: keep the narrow joined rows instead of joining again
     rows = skew.pinned(rows.join(heads, "policy_key", "left").join(same, ["policy_key", "content_sha256"], "left"))
-    founders = rows.where("lib_version IS NULL").groupBy("policy_key").agg(F.min("arrival").alias("founded_at"))
+    founders = rows.where("lib_version IS NULL AND _stays").groupBy("policy_key").agg(F.min("arrival").alias("founded_at"))
     rows = rows.join(founders, "policy_key", "left").withColumn(
-        "adds", F.col("same_version").isNull() & F.when(F.col("lib_version").isNull(),
-                                                        F.col("arrival") == F.col("founded_at"))
+        "adds", F.col("_stays") & F.col("same_version").isNull() & F.when(F.col("lib_version").isNull(),
+                                                        F.coalesce(F.col("arrival") == F.col("founded_at"), F.lit(False)))
         .otherwise(F.col("origin_key").isNotNull()))
     first = rows.where("adds").groupBy("policy_key", "content_sha256").agg(F.min("arrival").alias("first_at"))
     rows = rows.join(first, ["policy_key", "content_sha256"], "left").withColumn(
         "repeat", F.col("same_version").isNotNull() | F.coalesce(F.col("first_at") < F.col("arrival"), F.lit(False)))
-    decision = F.when(F.col("repeat"), "duplicate_skip") \
+    decision = F.when(F.col("repeat"), "duplicate_skip").when(~F.col("_stays"), "excluded") \
         .when(F.col("adds") & F.col("lib_version").isNull(), "ingested") \
         .when(F.col("adds"), "updated").otherwise("suspected_duplicate")
     rows = rows.withColumn("decision", decision)
@@ -97,11 +100,11 @@ def dedup_decision(incoming: DataFrame, library: DataFrame, links: DataFrame) ->
         .select("policy_key", "content_sha256",
                 (F.coalesce("lib_version", F.lit(0)) + F.col("_step")).alias("new_version"))
     rows = rows.join(new, ["policy_key", "content_sha256"], "left")
-    version = F.when(F.col("decision") == "suspected_duplicate", F.lit(1)) \
+    version = F.when(F.col("decision") == "suspected_duplicate", F.lit(1)).when(F.col("decision") == "excluded", F.lit(None)) \
         .otherwise(F.coalesce("same_version", "new_version")).cast("long")
     return rows.withColumn("version", version).withColumn(
         "matched_id", F.when(F.col("decision") == "duplicate_skip", F.col("same_id"))
-        .when(F.col("decision") != "ingested", F.col("lib_id"))) \
+        .when(~F.col("decision").isin("ingested", "excluded"), F.col("lib_id"))) \
         .select(*incoming.columns, "origin_key", "decision", "version", "matched_id")
 
 

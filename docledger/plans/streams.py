@@ -59,21 +59,45 @@ def newest_observations(spark, sf):
     return _run(spark, T.newest_observations(o), ["source_id", "page_url"], "observed_at").select("source_id", "page_url", "title")
 
 
-@query("str_first_sightings", "SELECT user_id AS source_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS page_url, count(DISTINCT 1) AS n FROM events GROUP BY 1, 2")
+def _batches(spark, rows, fn):
+    """Run a foreachBatch function over everything available."""
+    rows.writeStream.foreachBatch(fn).option("checkpointLocation", f"{_scratch(spark)}/ck").trigger(availableNow=True).start().awaitTermination()
+
+
+@query("str_first_sightings", "SELECT user_id AS source_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS page_url, CAST(epoch_us(min(ts)) AS BIGINT) AS first_at, 1::BIGINT AS n FROM events GROUP BY 1, 2")
 def first_sightings(spark, sf):
-    root = _scratch(spark)
-    o = _log(spark, sf).select(F.col("user_id").alias("source_id"), F.col("k").alias("page_url"), F.col("ts").cast("timestamp").alias("observed_at"))
-    q = T.first_sightings(o, "60 days").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy("source_id", "page_url").agg(F.count(F.lit(1)).alias("n"))
+    root = f"{_scratch(spark)}/out"
+    o = _log(spark, sf).select(F.col("user_id").alias("source_id"), F.col("k").alias("page_url"), F.unix_micros(F.col("ts").cast("timestamp")).alias("observed_at"))
+    _batches(spark, o, T.first_sightings_batch(root))
+    return spark.read.parquet(root).groupBy("source_id", "page_url").agg(F.min("observed_at").alias("first_at"), F.count(F.lit(1)).alias("n"))
 
 
-@query("str_lifecycle")
-def lifecycle(spark, sf):
+def _life_events(e):
     kind = F.col("event_type")
     status = F.when(kind == "view", "discovered").when(kind == "click", "downloaded").when(kind == "purchase", "processed").when(kind == "signup", "excluded").otherwise("failed")
-    e = _log(spark, sf).select("id", F.col("user_id").alias("fetch_id"), status.alias("status"))
-    return _run(spark, T.lifecycle(e), ["fetch_id"], "steps")
+    return e.select("id", F.col("user_id").alias("fetch_id"), status.alias("status"))
+
+
+_LIFE_SQL = """WITH RECURSIVE e AS (SELECT user_id AS fetch_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+    CASE event_type WHEN 'view' THEN 'discovered' WHEN 'click' THEN 'downloaded' WHEN 'purchase' THEN 'processed' WHEN 'signup' THEN 'excluded' ELSE 'failed' END AS status FROM events),
+allowed(a, b) AS (VALUES ('', 'discovered'), ('discovered', 'downloaded'), ('discovered', 'failed'), ('downloaded', 'processed'), ('downloaded', 'excluded'), ('downloaded', 'failed'),
+    ('failed', 'downloaded'), ('failed', 'failed'), ('processed', 'downloaded'), ('processed', 'failed'), ('excluded', 'downloaded'), ('excluded', 'failed')),
+w AS (SELECT fetch_id, 0 AS n, '' AS status, 0 AS steps, 0 AS refused FROM e GROUP BY 1
+    UNION ALL SELECT w.fetch_id, w.n + 1, CASE WHEN a.b IS NULL THEN w.status ELSE e.status END, w.steps + CASE WHEN a.b IS NULL THEN 0 ELSE 1 END, w.refused + CASE WHEN a.b IS NULL THEN 1 ELSE 0 END
+    FROM w JOIN e ON e.fetch_id = w.fetch_id AND e.n = w.n + 1 LEFT JOIN allowed a ON a.a = w.status AND a.b = e.status)
+SELECT fetch_id, nullif(arg_max(status, n), '') AS status, max(steps)::BIGINT AS steps, max(refused)::BIGINT AS refused FROM w GROUP BY 1"""
+
+
+@query("str_lifecycle", _LIFE_SQL)
+def lifecycle(spark, sf):
+    root = f"{_scratch(spark)}/state"
+    _batches(spark, _life_events(_log(spark, sf)), T.lifecycle_batch(root))
+    return T.lifecycle_state(spark, root)
+
+
+@query("ops_lifecycle", _LIFE_SQL)
+def lifecycle_table(spark, sf):
+    return T.lifecycle(_life_events(B.table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", "event_type")))
 
 
 RULES = RuleSet(strong=("that", "der", "que"), title=("th",), weak=("tion", "en", "on", "er"), categories={"guide": ("引导类", ("the",)), "access": ("准入类", ("und", "des", "los"))}, doc_types={"formal": ("the",)})

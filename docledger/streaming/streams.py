@@ -5,13 +5,9 @@ trigger(processingTime=...). State survives restarts in each query's checkpoint
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from docledger.functions import skew
+from docledger.functions import skew, text as X
 from docledger.operators import identity as I, pages as G, rules as C
 from docledger.operators.ruleset import DEFAULT, RuleSet
 from docledger.sources import sinks as K
@@ -32,42 +28,105 @@ def library(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return policies, K.read_committed(spark, root, "policy_sources").select("policy_id", "page_url")
 
 
-def ingest_batch(root: str, rules: RuleSet = DEFAULT):
+FAILED_EMPTY = "正文解析为空"
+VARIANT_HINT = "同文号的其他来源内容不同，请核对转载或修订关系"
+ATTACHMENT = "policy_id LONG, id LONG, name STRING, url STRING, sha256 STRING, parse_status STRING, parsed_text STRING, error STRING"
+
+
+def judged_pages(pages: DataFrame, attachments: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
+    """Fetched pages to documents with verdict, gate and fingerprint, and the pages that gave none with the reason.
+
+    `attachments` carry the page id as policy_id. Analysed is the body with the attachment texts (EXT-10).
+    """
+    docs = skew.pinned(G.parse_pages(pages).withColumn("id", F.col("page_id")).withColumn("title", X.first_filled(X.text("title"), F.lit("待核实标题"))))
+    own = skew.pinned(attachments.join(docs.select(F.col("id").alias("policy_id")), "policy_id", "left_semi"))
+    with_files = own.select(F.col("policy_id").alias("id")).distinct().withColumn("_files", F.lit(True))
+    rows = docs.join(with_files, "id", "left").withColumn("_empty", (X.strip(X.text("content")) == "") & F.col("_files").isNull())
+    failed = rows.where("_empty").select("id", "page_url", X.first_filled(X.text("parse_error"), F.lit(FAILED_EMPTY)).alias("reason"))
+    docs = I.content_fingerprint(I.policy_key(rows.where("NOT _empty").drop("_empty", "_files")), own)
+    texts = G.analysis_text(docs, own)
+    verdict = C.classify(texts.select("id", "title", "content", "parse_error", "analysis_text"), rules, "analysis_text")
+    gated = C.review_status(C.material_gate(verdict, own)).select("id", *C.VERDICT, "review_status")
+    return docs.join(gated, "id"), failed
+
+
+def ingest_batch(root: str, rules: RuleSet = DEFAULT, attachments: DataFrame | None = None):
     """foreachBatch function: fetched pages (page_id, page_url, html, source_name) to the stored ledger (STR-1, STR-6).
 
-    Hashes are looked up among all stored versions, so a late repost of old content never becomes a
-    new current version. A repeated batch id rewrites the same partition.
+    Every page gets one ledger row with its outcome and reason: failed, excluded, duplicate, suspected_duplicate,
+    updated or ingested. The verdict and the material gate come first; only documents that are kept found keys and
+    take versions. Several pages of one URL in a batch are taken in order of their ids, after the first pages of all
+    URLs. Suspected duplicates and new versions wait for review whatever the verdict. Hashes are looked up among all
+    stored versions, so a late repost of old content never becomes a new current version. A repeated batch id
+    rewrites the same partitions.
     """
     def ingest(pages: DataFrame, batch_id: int) -> None:
         spark = pages.sparkSession
-        newest = pages.groupBy("page_url").agg(F.max("page_id").alias("page_id"))
-        docs = G.parse_pages(pages.join(newest, ["page_url", "page_id"], "left_semi"))
-        docs = docs.where("content != ''").withColumn("id", F.col("page_id"))
-        docs = I.content_fingerprint(I.policy_key(docs)).withColumn("arrival", F.col("page_id"))
+        files = spark.createDataFrame([], ATTACHMENT) if attachments is None else attachments
+        order = W.partitionBy("page_url").orderBy("page_id")
+        docs, failed = judged_pages(pages, files, rules)
+        docs = skew.pinned(docs.withColumn("turn", F.row_number().over(order)).withColumn("arrival", F.col("page_id"))
+                           .withColumn("eligible", F.col("is_investment_policy") != "no"))
+        failed = skew.pinned(failed)
         policies, links = library(spark, root)
-        docs = skew.pinned(docs)
-        decided = I.variant_key(I.dedup_decision(docs.select("id", "page_url", "policy_key", "content_sha256", "arrival"), policies, links))
-        # three tables are written from these rows; out-of-scope documents stay in the ledger only
-        verdicts = C.review_status(C.classify(docs.select("id", "title", "content"), rules)).select("id", *C.VERDICT, "review_status")
-        rows = skew.pinned(decided.join(verdicts, "id").join(docs.select("id", "title", "content", "wenhao", "page_date", "parse_error"), "id"))
-        kept = rows.where("decision != 'duplicate_skip' AND is_investment_policy != 'no'")
-        stored = kept.select("id", "policy_key", "version", "content_sha256", "page_url", "title", "content", "wenhao", "page_date", "parse_error",
-                             "related_policy_key", *C.VERDICT, "review_status")
-        linked = rows.where("decision = 'duplicate_skip' AND matched_id IS NOT NULL").select(F.col("matched_id").alias("policy_id"), "page_url") \
-            .unionByName(kept.select(F.col("id").alias("policy_id"), "page_url"))
-        outcome = F.when(F.col("decision") == "duplicate_skip", "duplicate").when(F.col("is_investment_policy") == "no", "excluded").otherwise(F.col("decision"))
-        K.store_batch(root, batch_id, {"policies": stored, "policy_sources": linked.distinct(), "fetch_records": rows.select("id", "page_url", outcome.alias("outcome"))})
+        done = None
+        for turn in range(1, (docs.agg(F.max("turn")).first()[0] or 0) + 1):
+            now = docs.where(F.col("turn") == turn).select("id", "page_url", "policy_key", "content_sha256", "arrival", "eligible")
+            decided = skew.pinned(I.variant_key(I.dedup_decision(now, policies, links)))
+            fresh = decided.where("decision IN ('ingested', 'updated', 'suspected_duplicate')")
+            policies = policies.unionByName(fresh.select("id", "policy_key", "version", "content_sha256"))
+            # repeats of a document of this batch find it by key and hash
+            match = policies.groupBy("policy_key", "content_sha256").agg(F.max_by("id", "version").alias("_same"))
+            repeats = decided.where("decision = 'duplicate_skip'").join(match, ["policy_key", "content_sha256"], "left") \
+                .withColumn("matched_id", F.coalesce("matched_id", "_same")).drop("_same")
+            decided = repeats.unionByName(decided.where("decision <> 'duplicate_skip'"))
+            links = links.unionByName(repeats.select(F.col("matched_id").alias("policy_id"), "page_url")) \
+                .unionByName(fresh.select(F.col("id").alias("policy_id"), "page_url"))
+            done = decided if done is None else done.unionByName(decided)
+        if done is None:
+            done = I.variant_key(I.dedup_decision(docs.select("id", "page_url", "policy_key", "content_sha256", "arrival", "eligible"), policies, links))
+        own = docs.select("id", "title", "content", "wenhao", "page_date", "parse_error", *C.VERDICT, "review_status")
+        rows = skew.pinned(done.join(own, "id"))
+        suspected, again = F.col("decision") == "suspected_duplicate", F.col("decision") == "updated"
+        stored = rows.where("decision IN ('ingested', 'updated', 'suspected_duplicate')").withColumns({
+            "need_review": F.col("need_review") | suspected | again,
+            "review_status": F.when(suspected | again, "pending").otherwise(F.col("review_status")),
+            "reviewer_hint": F.when(suspected, C.join_filled(C.JOIN, F.col("reviewer_hint"), F.lit(VARIANT_HINT))).otherwise(F.col("reviewer_hint"))})
+        linked = rows.where("decision = 'duplicate_skip'").select(F.col("matched_id").alias("policy_id"), "page_url") \
+            .unionByName(stored.select(F.col("id").alias("policy_id"), "page_url"))
+        outcome = F.when(F.col("decision") == "duplicate_skip", "duplicate").otherwise(F.col("decision"))
+        reason = F.when(F.col("decision") == "excluded", F.col("reason")).otherwise(X.text("parse_error"))
+        ledger = rows.select("id", "page_url", outcome.alias("outcome"), reason.alias("reason")) \
+            .unionByName(failed.select("id", "page_url", F.lit("failed").alias("outcome"), "reason"))
+        K.store_batch(root, batch_id, {
+            "policies": stored.select("id", "policy_key", "version", "content_sha256", "page_url", "title", "content", "wenhao", "page_date", "parse_error",
+                                      "related_policy_key", *C.VERDICT, "review_status"),
+            "attachments": files.join(stored.select(F.col("id").alias("policy_id")), "policy_id", "left_semi"),
+            "policy_sources": linked.distinct(), "fetch_records": ledger})
     return ingest
 
 
-def ingest_stream(pages: DataFrame, root: str, checkpoint: str, rules: RuleSet = DEFAULT, **trigger):
+def ingest_stream(pages: DataFrame, root: str, checkpoint: str, rules: RuleSet = DEFAULT, attachments: DataFrame | None = None, **trigger):
     """Start the ingestion of a page stream (STR-1)."""
-    return pages.writeStream.foreachBatch(ingest_batch(root, rules)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return pages.writeStream.foreachBatch(ingest_batch(root, rules, attachments)).option("checkpointLocation", checkpoint) \
+        .trigger(**(trigger or {"availableNow": True})).start()
 
 
-def first_sightings(observations: DataFrame, delay: str = "7 days") -> DataFrame:
-    """First sighting of each (source, URL); the watermark bounds the state (STR-2)."""
-    return observations.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["source_id", "page_url"])
+def first_sightings_batch(root: str):
+    """foreachBatch function: first sighting of each (source_id, page_url) with its time (STR-2).
+
+    Seen keys are a table, so a key is first seen once however late it comes again; a repeated batch id rewrites
+    its own partition.
+    """
+    def note(observations: DataFrame, batch_id: int) -> None:
+        spark = observations.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        first = observations.groupBy("source_id", "page_url").agg(F.min("observed_at").alias("observed_at"))
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            seen = spark.read.parquet(root).where(F.col("batch") < batch_id)
+            first = first.join(seen, ["source_id", "page_url"], "left_anti")
+        first.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    return note
 
 
 def newest_observations(observations: DataFrame) -> DataFrame:
@@ -90,24 +149,79 @@ def run_progress(events: DataFrame) -> DataFrame:
 # a fetch may retry after a failure; processed and excluded rows can be checked again
 ALLOWED = {None: ("discovered",), "discovered": ("downloaded", "failed"), "downloaded": ("processed", "excluded", "failed"), "failed": ("downloaded", "failed"),
            "processed": ("downloaded", "failed"), "excluded": ("downloaded", "failed")}
-LIFECYCLE = "fetch_id LONG, status STRING, steps LONG, refused LONG"
+STATES = (None, "discovered", "downloaded", "failed", "processed", "excluded")
+#: Events of one key that one task composes; longer histories are composed piece by piece.
+LIFE_PIECE = 10_000
+
+
+def _event_map(status: Column) -> Column:
+    """What an event does from each state: [(state after it, steps taken, steps refused), ...] by number of the state before."""
+    def entry(i, state):
+        out = F.struct(F.lit(i).alias("to"), F.lit(0).cast("long").alias("steps"), F.lit(1).cast("long").alias("refused"))
+        for j, after in enumerate(STATES):
+            if after in ALLOWED[state]:
+                out = F.when(status == after, F.struct(F.lit(j).alias("to"), F.lit(1).cast("long").alias("steps"), F.lit(0).cast("long").alias("refused"))).otherwise(out)
+        return out
+    return F.array(*[entry(i, s) for i, s in enumerate(STATES)])
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    status, last, steps, refused = state.get if state.exists else (None, -1, 0, 0)
-    rows = pd.concat(list(batches)).sort_values("id")
-    for row in rows.itertuples():
-        if row.id <= last:
-            continue
-        last = row.id
-        if row.status in ALLOWED[status]:
-            status, steps = row.status, steps + 1
-        else:
-            refused += 1
-    state.update((status, int(last), int(steps), int(refused)))
-    yield pd.DataFrame({"fetch_id": [key[0]], "status": [status], "steps": [steps], "refused": [refused]})
+def _composed(maps: Column) -> Column:
+    """One map for a list of maps in order: each entry goes on from where the map before it led."""
+    start = F.array(*[F.struct(F.lit(i).alias("to"), F.lit(0).cast("long").alias("steps"), F.lit(0).cast("long").alias("refused")) for i in range(len(STATES))])
+
+    def after(done, nxt):
+        return F.transform(done, lambda e: F.struct(F.get(nxt, e["to"])["to"].alias("to"), (e["steps"] + F.get(nxt, e["to"])["steps"]).alias("steps"),
+                                                    (e["refused"] + F.get(nxt, e["to"])["refused"]).alias("refused")))
+    return F.aggregate(maps, start, after)
+
+
+def life_maps(events: DataFrame, piece: int = LIFE_PIECE) -> DataFrame:
+    """fetch_id, first id, last id and the composed map of its events (id, fetch_id, status), each id once.
+
+    Maps compose, so the events of a key are composed per piece of ids first and then piece by piece; a hot key is
+    spread over as many tasks as it has pieces.
+    """
+    once = events.groupBy("fetch_id", "id").agg(F.min("status").alias("status"))
+    ordered = lambda *v: F.transform(F.array_sort(F.collect_list(F.struct(*v))), lambda x: x["map"])
+    part = once.select("fetch_id", "id", F.floor(F.col("id") / piece).alias("piece"), _event_map(F.col("status")).alias("map"))
+    part = part.groupBy("fetch_id", "piece").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), ordered("id", "map").alias("maps"))
+    part = part.withColumn("map", _composed(F.col("maps"))).drop("maps")
+    whole = part.groupBy("fetch_id").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), ordered("piece", "map").alias("maps"))
+    return whole.withColumn("map", _composed(F.col("maps"))).drop("maps")
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
-    """State machine per ledger row: events (id, fetch_id, status) in id order (STR-3). Update mode."""
-    return events.groupBy("fetch_id").applyInPandasWithState(_advance, LIFECYCLE, "status STRING, last LONG, steps LONG, refused LONG", "update", GroupStateTimeout.NoTimeout)
+    """State machine per ledger row (STR-3): fetch_id, status, steps, refused after all its events in id order."""
+    entry = F.get("map", F.lit(0))
+    return life_maps(events).select("fetch_id", F.get(F.array(*[F.lit(s).cast("string") for s in STATES]), entry["to"]).alias("status"), entry["steps"].alias("steps"), entry["refused"].alias("refused"))
+
+
+def lifecycle_batch(root: str):
+    """foreachBatch function for lifecycle on a stream: the state of a key is its composed map so far.
+
+    Each batch writes the keys it touched as state version batch_id; ids up to a key's last one are left out, so
+    repeated deliveries and a repeated batch change nothing.
+    """
+    def advance(events: DataFrame, batch_id: int) -> None:
+        spark = events.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        fresh = events
+        if known:
+            before = spark.read.parquet(root).where(F.col("batch") < batch_id)
+            state = before.groupBy("fetch_id").agg(F.max_by(F.struct("first_id", "last_id", "map"), "batch").alias("s"))
+            fresh = events.join(state.select("fetch_id", F.col("s.last_id").alias("_last")), "fetch_id", "left").where("_last IS NULL OR id > _last").drop("_last")
+        new = life_maps(fresh)
+        if known:
+            both = new.join(state, "fetch_id", "left")
+            new = both.select("fetch_id", F.coalesce("s.first_id", "first_id").alias("first_id"), "last_id",
+                              F.when(F.col("s").isNull(), F.col("map")).otherwise(_composed(F.array("s.map", "map"))).alias("map"))
+        new.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    return advance
+
+
+def lifecycle_state(spark: SparkSession, root: str) -> DataFrame:
+    """fetch_id, status, steps, refused from the newest state of each key."""
+    s = spark.read.parquet(root).groupBy("fetch_id").agg(F.max_by("map", "batch").alias("map"))
+    entry = F.get("map", F.lit(0))
+    return s.select("fetch_id", F.get(F.array(*[F.lit(x).cast("string") for x in STATES]), entry["to"]).alias("status"), entry["steps"].alias("steps"), entry["refused"].alias("refused"))

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from docledger.operators import review as RV
 from docledger.operators import identity as I, library as L, pages as G
 from docledger.operators.approval import fields as A, progress as R
 from docledger.operators.ruleset import RuleSet
@@ -120,8 +121,71 @@ def test_lifecycle_stream_equals_replay(spark, rows, tmp_path):
     schema = "id LONG, fetch_id LONG, status STRING"
     for part in (events[:150], events[150:]):
         rows(schema, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = T.read_stream(spark, str(tmp_path / "in"), rows(schema, []).schema)
-    q = T.lifecycle(stream).writeStream.outputMode("update").format("memory").queryName("lifecycle").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["fetch_id"]: (r["status"], r["steps"], r["refused"]) for r in spark.table("lifecycle").collect()}
-    assert got == want
+    rows(schema, events[100:160]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # delivered again
+    stream = T.read_stream(spark, str(tmp_path / "in"), rows(schema, []).schema, files_per_trigger=1)
+    stream.writeStream.foreachBatch(T.lifecycle_batch(str(tmp_path / "state"))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    for df in (T.lifecycle_state(spark, str(tmp_path / "state")), T.lifecycle(rows(schema, events))):
+        assert {r["fetch_id"]: (r["status"], r["steps"], r["refused"]) for r in df.collect()} == want
+
+
+def test_first_sightings_never_repeat(spark, rows, tmp_path):
+    note = T.first_sightings_batch(str(tmp_path / "seen"))
+    schema = "source_id LONG, page_url STRING, observed_at LONG"
+    note(rows(schema, [(1, "a", 5), (1, "a", 3), (1, "b", 4)]), 0)
+    note(rows(schema, [(1, "a", 99), (2, "a", 98)]), 1)
+    note(rows(schema, [(1, "a", 99), (2, "a", 98)]), 1)  # the same batch again
+    got = sorted((r["source_id"], r["page_url"], r["observed_at"]) for r in spark.read.parquet(str(tmp_path / "seen")).collect())
+    assert got == [(1, "a", 3), (1, "b", 4), (2, "a", 98)]
+
+
+def _page(title, body, container=True, number=""):
+    inner = f"<div id='content'>{body}</div>" if container else f"<p>{body}</p>"
+    return f"<html><head><meta name='文号' content='{number}'></head><body><h1>{title}</h1>{inner}</body></html>"
+
+
+GOOD = "固定资产投资项目 项目核准 的正文内容足够长可以入库保存下来，"
+
+
+def test_ingest_records_every_page(spark, rows, tmp_path):
+    """Eight pages: an excluded first document of a key, a blocked page, a page without container, two pages of one URL, a repeat and a variant."""
+    pages = [(1, "https://h/1", _page("关于召开会议的通知", "与投资无关的会务安排内容足够长的一段文字。", number="发改〔2025〕1号")),
+             (2, "https://h/2", _page("关于项目核准的通知", GOOD + "二", number="发改〔2025〕1号")),
+             (3, "https://h/3", "<html><head><title>安全验证</title></head><body>x</body></html>"),
+             (4, "https://h/4", _page("关于项目核准的办法", GOOD + "四", container=False)),
+             (5, "https://h/5", _page("关于项目核准的通知", GOOD + "二", number="发改〔2025〕1号")),
+             (6, "https://h/6", _page("关于项目核准的通知", GOOD + "六", number="发改〔2025〕1号")),
+             (7, "https://h/7", _page("关于项目备案的通知", GOOD + "七")), (8, "https://h/7", _page("关于项目备案的通知", GOOD + "八"))]
+    files = [(2, 20, "a.pdf", "https://h/a.pdf", "f" * 64, "ok", "附件正文", ""), (5, 50, "a.pdf", "https://h/a.pdf", "f" * 64, "ok", "附件正文", "")]
+    batch = rows("page_id LONG, page_url STRING, source_name STRING, html STRING", [(i, u, "s", h) for i, u, h in pages])
+    T.ingest_batch(str(tmp_path / "l"), attachments=rows(T.ATTACHMENT, files))(batch, 0)
+    fetched = {r["id"]: r for r in K.read_committed(spark, str(tmp_path / "l"), "fetch_records").collect()}
+    assert {i: r["outcome"] for i, r in fetched.items()} == {1: "excluded", 2: "ingested", 3: "failed", 4: "ingested", 5: "duplicate", 6: "suspected_duplicate", 7: "ingested", 8: "updated"}
+    assert fetched[1]["reason"] and fetched[3]["reason"] and fetched[4]["reason"]
+    stored = {r["id"]: r for r in K.read_committed(spark, str(tmp_path / "l"), "policies").collect()}
+    assert set(stored) == {2, 4, 6, 7, 8} and (stored[2]["version"], stored[8]["version"]) == (1, 2)
+    assert stored[4]["todo_type"] == "material" and stored[6]["need_review"] and stored[6]["related_policy_key"] == stored[2]["policy_key"]
+    assert (stored[8]["review_status"], stored[8]["need_review"]) == ("pending", True)
+    links = {(r["policy_id"], r["page_url"]) for r in K.read_committed(spark, str(tmp_path / "l"), "policy_sources").collect()}
+    assert links == {(2, "https://h/2"), (2, "https://h/5"), (4, "https://h/4"), (6, "https://h/6"), (7, "https://h/7"), (8, "https://h/7")}
+    assert [r["policy_id"] for r in K.read_committed(spark, str(tmp_path / "l"), "attachments").collect()] == [2]
+
+
+def test_fingerprint_is_one_rule_at_every_size(spark, rows):
+    import hashlib
+    import json
+    sizes = (1000, 1001, 5000)
+    atts = [(n, f"https://h/{i}", hashlib.sha256(f"{n}-{i}".encode()).hexdigest() if i % 10 else "") for n in sizes for i in range(n)]
+    got = I.content_fingerprint(rows("id LONG, content STRING", [(n, " a b ") for n in sizes]), rows("policy_id LONG, url STRING, sha256 STRING", atts)).collect()
+    for r in got:
+        hashes = sorted({h or "missing:" + u for n, u, h in atts if n == r["id"]})
+        assert r["content_sha256"] == hashlib.sha256(json.dumps(["ab", hashes], ensure_ascii=False).encode()).hexdigest()
+
+
+def test_review_actions_of_one_instant(rows):
+    p = rows("id LONG, category STRING, category_names STRING, review_status STRING, todo_type STRING, need_review INT, parse_requires_review INT, is_investment_policy STRING, material_gap BOOLEAN, incomplete BOOLEAN",
+             [(1, "guide", "引导类", "pending", "review", 1, 0, "yes", False, False)])
+    acts = rows("policy_id LONG, action STRING, categories ARRAY<STRING>, note STRING, created_at LONG",
+                [(1, "adjust", [], "", 1), (1, "reject", None, "b", 2), (1, "confirm", None, "a", 2), (1, "confirm", None, "a", 2)])
+    out, events, refused = RV.apply_review(p, acts)
+    assert [r["review_status"] for r in out.collect()] == ["confirmed"] and [r["action"] for r in events.collect()] == ["confirm"]
+    assert sorted(r["action"] for r in refused.collect()) == ["adjust", "confirm", "reject"]
