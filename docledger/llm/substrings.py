@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docledger.llm.common import BASE, Rolling, flatten, hash_words, identity, sealed, signed, slices, text_bytes, unsealed, within
+from docledger.llm.common import BASE, Rolling, flatten, hash_words, identity, sealed, signed, slices, stored, text_bytes, unsealed, within
 
 WINDOW = 50
 ANCHOR = 20
+BROADCAST_BYTES = 32 << 20
 SECOND = 0xD6E8FEB86659FD93
 
 
@@ -101,7 +102,7 @@ def _windows(window: int):
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per id the places of its repeated windows: first word << 32 | number of windows << 24 | tag of the text."""
     if not 0 <= window - anchor < 255:
         raise ValueError("an anchor has at most 254 words less than a window")
@@ -110,17 +111,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     seeds = rows.mapInArrow(_seed(window, anchor), "anchor long, segment long, id long, place long")
     ends = F.min("id").alias("low"), F.max("id").alias("high")
     anchors = seeds.groupBy("anchor").agg(*ends, (F.min("segment") != F.max("segment")).alias("mixed")).where("low < high")
-    seen = seeds.join(anchors.select("anchor", "low", "mixed"), "anchor")
+    # from here on only the segments of anchors in several documents; each table is written once and read by several branches
+    seen = stored(seeds.join(anchors, "anchor").drop("high"))
     plain = seen.where("not mixed and id > low").select("id", "place")
     several = seen.where("mixed").select("anchor", "segment", "id", "place")
     kinds = several.groupBy("anchor", "segment").agg(F.min("id").alias("low"))
-    settled = several.join(kinds, ["anchor", "segment"])
+    settled = stored(several.join(kinds, ["anchor", "segment"]).select("id", "place", "low"))
     equal = settled.where("id > low").select("id", "place")
-    open_ = _packed(settled.where("id = low").select("id", "place"))
-    windows = rows.join(open_, "id", "left").mapInArrow(_windows(window), "one long, two long, id long, place long")
+    open_ = _beside(_packed(settled.where("id = low").select("id", "place")), broadcast_bytes)
+    windows = stored(rows.join(open_, "id").mapInArrow(_windows(window), "one long, two long, id long, place long"))
     first = windows.groupBy("one", "two").agg(*ends).where("low < high").select("one", "two", "low")
     partial = windows.join(first, ["one", "two"]).where("id > low").select("id", "place")
-    return _packed(plain.unionByName(equal).unionByName(partial))
+    return _beside(_packed(plain.unionByName(equal).unionByName(partial)), broadcast_bytes)
+
+
+def _beside(packed: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """The places written once; broadcast to the texts where all of them are small, else the texts are shuffled by id."""
+    packed = stored(packed)
+    size = packed.agg(F.sum(F.size("places") * 8 + 64)).first()[0] or 0
+    return F.broadcast(packed) if size <= broadcast_bytes else packed
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -157,10 +166,10 @@ def _keep(window: int, text: str):
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every row with n_words, n_removed, removed (maximal repeats as word positions start, end, ...) and kept: the
     words that are left, joined by one space."""
-    found = repeats(docs, id_col, text_col, window, anchor)
+    found = repeats(docs, id_col, text_col, window, anchor, broadcast_bytes)
     inner = sealed(docs.withColumn(text_col, F.col(text_col).cast("string")))
     key, text = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
     who, tag = identity(F.col(key), F.col(text))

@@ -25,11 +25,11 @@ def _removed(texts: dict[int, str], window: int) -> dict[int, list[str]]:
     return kept
 
 
-@pytest.mark.parametrize("window,anchor", [(50, 20), (12, 5), (6, 6)])
-def test_substrings(documents, window, anchor):
+@pytest.mark.parametrize("window,anchor,limit", [(50, 20, 1 << 20), (12, 5, 0), (6, 6, 1 << 20)])
+def test_substrings(documents, window, anchor, limit):
     texts = {r.doc_id: r.text for r in documents.collect()}
     want = _removed(texts, window)
-    got = {r.doc_id: r for r in substrings.without_repeats(documents, window=window, anchor=anchor).collect()}
+    got = {r.doc_id: r for r in substrings.without_repeats(documents, window=window, anchor=anchor, broadcast_bytes=limit).collect()}
     assert {d: r.kept for d, r in got.items()} == {d: " ".join(ws) for d, ws in want.items()}
     assert all(r.n_words - r.n_removed == len(want[d]) for d, r in got.items())
     assert all(b - a >= window for r in got.values() for a, b in zip(r.removed[::2], r.removed[1::2]))
