@@ -4,11 +4,12 @@ The distance of two sets is 1 - Jaccard similarity, a metric; documents within `
 equal sets form a class and are handled once. A shingle of a document's prefix (its first n - ceil(0.8 n) + 1 shingles
 in one global order) is a region; two linked documents share one at least, so all others need no distance at all.
 
-A region picks a pivot and the distance of every member to it is settled exactly. Members within the radius link to
-the pivot and, being connected by it, need no distance among each other. The others stay at home in the region, which
-recurses with a pivot among them. By the triangle inequality a linked member y can reach a member u still at home only
-if d(u, pivot) - d(y, pivot) <= radius; members in that window are replicated into the recursion, the rest leave.
-Regions of at most `LEAF` members are joined directly. The recursion ends when no region is left.
+A region picks pivots (one in the first round, twice as many in each further round) and the distance of every member
+to them is settled exactly. Members within the radius link to a pivot and, being connected by it, need no distance
+among each other. The others stay at home in the region, which recurses with pivots among them. By the triangle
+inequality a linked member y can reach a member u still at home only if d(u, pivot) - d(y, pivot) <= radius for every
+pivot; members in that window are replicated into the recursion, the rest leave. Regions of at most `LEAF` squared
+pairs are joined directly. The recursion ends when no region is left.
 
 The global order puts shingles that are frequent in the corpus last (a statistic over all documents, bounded to
 `FREQUENT` shingles); the order decides how much is compared, never what links. Pairs whose shared prefix leaves no
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from docledger.llm.common import LAST, Rolling, flatten, hash_words, identity, mixed, sealed, slices, stored, text_bytes, unsealed, within
 
@@ -181,22 +182,35 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     spread = keyed.select(F.explode("prefix").alias("key"), "c").repartitionByRange(parts, "key", "c").sortWithinPartitions("key", "c")
     first = stored(spread.mapInArrow(_shared, "key long, c long"))
     regions = first.distinct()  # copies from several partitions
-    facts = stored(regions.groupBy("c").agg(F.collect_list("key").alias("keys")).join(
-        keyed.groupBy("c").agg(F.first("n").alias("n"), F.first(F.size("prefix")).alias("length"), F.first(F.element_at("prefix", -1)).alias("last")), "c"))
-    state = regions.select("key", "c", F.lit(True).alias("home"))
-    sets, found, radius = None, None, 1 - UNION / SHARED
+    whole = keyed.groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    facts = stored(regions.groupBy("c").agg(F.collect_list("key").alias("keys")).join(whole, "c").select(
+        "c", "keys", "n", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("last"),
+        F.transform("keys", lambda k: F.array_position("prefix", k)).alias("places")))
+    # a shingle at place i is the first that two documents share only if n - i + 1 of them can be common: `most` is the
+    # largest partner for which that is enough
+    most = F.floor((F.col("n") - F.col("k.places") + 1) * (UNION + SHARED) / UNION) - F.col("n")
+    about = facts.select("c", "n", (F.size("keys") / F.col("length")).alias("share"), F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    state = about.select(F.col("k.keys").alias("key"), "c", F.lit(True).alias("home"), "n", "share", most.alias("most"))
+    ends = state.groupBy("key").agg(F.min("n").alias("_n"), F.max("most").alias("_most"))
+    state = state.join(ends, "key").where("_n <= most and _most >= n").drop("_n", "_most")
+    sets, found, radius, pivots = None, None, 1 - UNION / SHARED, 1
     while True:
-        sizes = state.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("home"), F.col("c"))).alias("pivot"))
-        sized = stored(state.join(sizes.where("m > 1 and pivot is not null"), "key"))
+        sizes = state.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h"))
+        sized = stored(state.join(sizes.where("m > 1 and h > 0"), "key"))
         if not sized.head(1):
             break
-        n = facts.select("c", "n")
-        small = sized.where(F.col("m") <= leaf).join(n, "c").select("key", "c", "home", "n")
-        other = small.select("key", F.col("c").alias("p"), F.col("home").alias("home_p"), F.col("n").alias("n_p"))
-        near = small.withColumnRenamed("c", "x").join(other, "key").where(
-            "x > p and (home or home_p)").where((F.col("n") * SHARED >= F.col("n_p") * UNION) & (F.col("n_p") * SHARED >= F.col("n") * UNION)).select("x", "p")
-        large = sized.where(F.col("m") > leaf)
-        toward = large.where(F.col("c") != F.col("pivot")).select("key", F.col("c").alias("x"), F.col("pivot").alias("p"), "home")
+        few = F.col("m") * F.col("h") <= leaf * leaf
+        small = sized.where(few).select("key", "c", "home", "n", "most")
+        other = small.select("key", F.col("c").alias("p"), F.col("home").alias("home_p"), F.col("n").alias("n_p"), F.col("most").alias("most_p"))
+        near = small.where("home").withColumnRenamed("c", "x").join(other, "key").where("x > p or (x < p and not home_p)") \
+            .where((F.col("n") * SHARED >= F.col("n_p") * UNION) & (F.col("n_p") * SHARED >= F.col("n") * UNION)).where("n <= most_p and n_p <= most") \
+            .select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))
+        large = sized.where(~few)
+        # pivots are the members at home whose prefix is shared most: what copies have in common, not one with edits of its own
+        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("share"), "c"))
+        chosen = large.where("home").select("key", "c", rank.alias("rank")).where(F.col("rank") <= pivots).select("key", F.col("c").alias("pivot"))
+        ends = F.greatest("c", "pivot").alias("x"), F.least("c", "pivot").alias("p")
+        toward = large.join(chosen, "key").where(F.col("c") != F.col("pivot")).select("key", "c", "pivot", *ends, "home", "n", "share", "most")
         bound = stored(_settled(near.unionByName(toward.select("x", "p")).distinct(), facts))
         if sets is None:
             needed = bound.where("open").select(F.explode(F.array("x", "p")).alias("c")).unionByName(large.select("c")).distinct()
@@ -209,11 +223,15 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         found = new if found is None else found.unionByName(new)
         known = bound.join(exact.select("x", "p", "linked", F.col("d").alias("exact")), ["x", "p"], "left") \
             .select("x", "p", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("exact", "d").alias("d"))
-        left = toward.join(known, ["x", "p"])
-        away = left.where("home and not linked").groupBy("key").agg(F.min("d").alias("least"))
-        # those at home that did not link stay; others only if a member at home may be within reach of them
-        state = left.join(away, "key").where(F.expr("home and not linked") | (F.col("d") >= F.col("least") - radius - 1e-9)) \
-            .select("key", F.col("x").alias("c"), F.expr("home and not linked").alias("home"))
+        left = toward.join(known, ["x", "p"]).join(chosen.select("key", F.col("pivot").alias("c"), F.lit(True).alias("was")), ["key", "c"], "left").where("was is null")
+        linked = left.groupBy("key", "c").agg(F.bool_or("linked").alias("any"))
+        left = left.join(linked, ["key", "c"]).withColumn("home", F.expr("home and not any"))
+        away = left.where("home").groupBy("key", "pivot").agg(F.min("d").alias("least"))
+        # those at home that did not link stay; others only if, by every pivot, a member at home may be within reach
+        state = left.join(away, ["key", "pivot"]).groupBy("key", "c").agg(
+            F.first("home").alias("home"), F.first("n").alias("n"), F.first("share").alias("share"), F.first("most").alias("most"),
+            F.bool_and(F.col("d") >= F.col("least") - radius - 1e-9).alias("near")).where("home or near").drop("near")
+        pivots *= 2  # few pivots where one finds a whole group, more where the distances leave nothing to skip
     empty = spark.createDataFrame([], "x long, p long")
     return docs.select("id", "tag", "n", "c"), empty if found is None else found
 
