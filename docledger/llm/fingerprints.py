@@ -1,12 +1,12 @@
 """Document fingerprints by I-Match with randomised lexicons. DataFrame functions only.
 
 Terms are the lower-case words of a document. The lexicon keeps the terms whose document frequency lies in a band
-(`LOW` to `HIGH` of all documents). `SUBSETS` random sub-lexicons are drawn from it by the bytes of each term's sha256:
-a term is in sub-lexicon k where byte k is under `SHARE` of 256. Per sub-lexicon the sorted distinct terms of a document are
-hashed; the hashes together are its fingerprint. A document without any chosen term has the hash of all its terms.
+(`LOW` to `HIGH` of all documents). A term stands as a number, the first 60 bits of its sha256; its last six bits draw
+one of 64 random sub-lexicons, the first `SUBSETS` of which are used. Per sub-lexicon the sorted distinct terms of a
+document are hashed; the hashes together are its fingerprint. A document without any such term has the hash of its text.
 
 The likeness of two fingerprints is the share of equal hashes among the sub-lexicons of which either has a term (two
-whole-term hashes: 1 if equal, else 0).
+text hashes: 1 if equal, else 0).
 
 The lexicon has at most (mean distinct terms of a document) / LOW terms; it is broadcast up to `BROADCAST_TERMS`, else joined.
 
@@ -22,38 +22,27 @@ from docledger.llm.licenses import word_list
 
 LOW, HIGH = 0.005, 0.2
 SUBSETS = 32
-SHARE = 4
 BROADCAST_TERMS = 1_000_000
 #: Rows of a bucket of neighbours, and at most so many buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 2000
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term and the sub-lexicons it is in, as bits; terms in none are left out."""
+    """term and code, of terms in one of the used sub-lexicons."""
     total = docs.count()
     terms = docs.select(F.explode(F.array_distinct(word_list(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # written first: a condition on the hash of a term would move below the counting, to every word
-    band = stored(terms.where((F.col("df") >= low * total) & (F.col("df") <= high * total))).withColumn("sha", F.sha2("term", 256))
-    byte = lambda k: F.conv(F.substring("sha", 2 * k + 1, 2), 16, 10).cast("int")
-    bits = [F.when(byte(k) < SHARE, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(SUBSETS)]
-    total_bits = bits[0]
-    for b in bits[1:]:
-        total_bits = total_bits + b
-    return band.select("term", total_bits.alias("bits")).where("bits > 0")
+    band = stored(terms.where((F.col("df") >= low * total) & (F.col("df") <= high * total)))
+    code = F.conv(F.substring(F.sha2("term", 256), 1, 15), 16, 10).cast("long")
+    return band.select("term", code.alias("code")).where(F.col("code").bitwiseAND(63) < SUBSETS)
 
 
-def _codes(kind: int) -> Column:
-    """Hash of the terms in each sub-lexicon, "" where there are none."""
-    def code(k):
-        return F.transform(F.filter("items", lambda x: (x["kind"] == kind) & (x["bits"].bitwiseAND(F.shiftleft(F.lit(1).cast("long"), k) if isinstance(k, int)
-                                                                                                     else F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)), lambda x: x["term"])
-    def short(terms):
-        return F.when(F.size(terms) > 0, F.substring(F.md5(F.array_join(terms, " ").cast("binary")), 1, 8)).otherwise("")
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: short(code(k)))
-
-
-def _whole(text: Column) -> Column:
-    return F.md5(F.array_join(F.array_sort(F.array_distinct(word_list(text))), " ").cast("binary"))
+def _codes(codes: Column) -> Column:
+    """Hash of the terms in each sub-lexicon, "" where there are none. `codes` are sorted."""
+    def part(k):
+        own = F.filter(codes, lambda c: c.bitwiseAND(63) == k)
+        return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own.cast("array<string>"), " ").cast("binary")), 1, 8)).otherwise("")
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), part)
 
 
 def fingerprint(codes: Column, whole: Column) -> Column:
@@ -67,21 +56,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.coalesce(same / F.size(pairs), F.lit(0.0)))
 
 
-def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """keys (which identify a row) and the fingerprint of each text column, under the name fp_<column>.
+def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], terms: DataFrame, carry: dict[str, Column] | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """keys (which identify a row), carried columns and the fingerprint of each text column, under the name fp_<column>.
 
-    Rows that are already partitioned by a subset of the keys are not shuffled.
+    A null text column has no fingerprint.
     """
     terms = stored(terms)
     side = F.broadcast(terms) if terms.count() <= broadcast_terms else terms
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.array_distinct(word_list(F.col(c))).alias("words")) for i, c in enumerate(texts)])
     words = rows.select(*keys, F.explode(kinds).alias("k")).select(*keys, F.col("k.kind").alias("kind"), F.explode("k.words").alias("term"))
-    items = words.join(side, "term").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kind", "term", "bits"))).alias("items"))
-    empty = F.array().cast("array<struct<kind:int,term:string,bits:long>>")
-    whole = rows.select(*keys, *[_whole(F.col(c)).alias(f"w_{c}") for c in texts])
-    joined = whole.join(items, keys, "left").withColumn("items", F.coalesce("items", empty))
-    coded = joined.select(*keys, *[F.col(f"w_{c}") for c in texts], *[_codes(i).alias(f"c_{c}") for i, c in enumerate(texts)])
-    return coded.select(*keys, *[fingerprint(F.col(f"c_{c}"), F.col(f"w_{c}")).alias(f"fp_{c}") for c in texts])
+    codes = words.join(side, "term").groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.col("code")))).alias(f"c_{c}") for i, c in enumerate(texts)])
+    whole = rows.select(*keys, *[c.alias(n) for n, c in (carry or {}).items()], *[F.md5(F.col(c).cast("binary")).alias(f"w_{c}") for c in texts])
+    joined = whole.join(codes, keys, "left")
+    none = F.array().cast("array<long>")
+    coded = joined.select(*keys, *(carry or {}), *[F.col(f"w_{c}") for c in texts], *[_codes(F.coalesce(f"c_{c}", none)).alias(f"c_{c}") for c in texts])
+    return coded.select(*keys, *(carry or {}), *[F.when(F.col(f"w_{c}").isNotNull(), fingerprint(F.col(f"c_{c}"), F.col(f"w_{c}"))).alias(f"fp_{c}") for c in texts])
 
 
 def with_neighbour(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,9 +101,9 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     third = F.floor(F.length("text") / 3).cast("int")
     rows = rows.select("bucket", "place", "id", "text", F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 3)))"), F.substring(F.col("next"), F.lit(1), third)).alias("edited"),
                        F.when(F.col("place") == 1, F.col("next")).alias("next"))
-    marks = fingerprints(rows, ["bucket", "place"], ["text", "edited", "next"], lexicon(docs, text_col, low, high))
+    facts = {"id": F.col("id"), "n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)}
+    marks = fingerprints(rows, ["bucket", "place"], ["text", "edited", "next"], lexicon(docs, text_col, low, high), facts)
     order = W.partitionBy("bucket").orderBy("place")
-    facts = rows.select("bucket", "place", "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    joined = facts.join(marks, ["bucket", "place"]).withColumn("fp_next", F.coalesce(F.lag("fp_text").over(order), "fp_next"))
+    joined = marks.withColumn("fp_next", F.coalesce(F.lag("fp_text").over(order), "fp_next"))
     return joined.select("id", "n_chars", "edited_sha256", F.col("fp_text").alias("fingerprint"), F.col("fp_edited").alias("edited_fingerprint"),
                          likeness(F.col("fp_text"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp_text"), F.col("fp_next")).alias("near_next"))

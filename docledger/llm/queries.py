@@ -131,19 +131,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fingerprint_sql() -> str:
-    bits = " + ".join(f"CASE WHEN ('0x' || substr(sha256(term), {2 * k + 1}, 2))::INT < {fingerprints.SHARE} THEN {1 << k} ELSE 0 END" for k in range(fingerprints.SUBSETS))
     like = """CASE WHEN {0} = {1} THEN 1.0::DOUBLE ELSE coalesce(list_sum(list_transform(range(1, len(string_split({0}, '.')) + 1), lambda k: CASE WHEN string_split({0}, '.')[k] = string_split({1}, '.')[k] AND string_split({0}, '.')[k] <> '' THEN 1 ELSE 0 END))::DOUBLE
       / nullif(greatest(list_sum(list_transform(range(1, greatest(len(string_split({0}, '.')), len(string_split({1}, '.'))) + 1), lambda k: CASE WHEN coalesce(string_split({0}, '.')[k], '') <> '' OR coalesce(string_split({1}, '.')[k], '') <> '' THEN 1 ELSE 0 END)), 1), 0), 0) END"""
     return f"""
 WITH o AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next,
                   coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id FROM documents),
 e AS (SELECT *, substr(text, 1, length(text) - length(text) // 3) || substr(next, 1, length(text) // 3) AS edited FROM o),
-w AS (SELECT doc_id, 0 AS kind, list_distinct({WORDS_SQL.format("text")}) AS w FROM e UNION ALL SELECT doc_id, 1, list_distinct({WORDS_SQL.format("edited")}) FROM e),
+w AS (SELECT doc_id, 0 AS kind, text AS t, list_distinct({WORDS_SQL.format("text")}) AS w FROM e UNION ALL SELECT doc_id, 1, edited, list_distinct({WORDS_SQL.format("edited")}) FROM e),
 f AS (SELECT term, count(*) AS df FROM (SELECT unnest(w) AS term FROM w WHERE kind = 0) GROUP BY term),
-lex AS (SELECT term, {bits} AS bits FROM f WHERE df >= {fingerprints.LOW} * (SELECT count(*) FROM documents) AND df <= {fingerprints.HIGH} * (SELECT count(*) FROM documents)),
-t AS (SELECT doc_id, kind, term, bits FROM (SELECT doc_id, kind, unnest(w) AS term FROM w) JOIN lex USING (term) WHERE bits > 0),
-c AS (SELECT doc_id, kind, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS code FROM t, range(0, {fingerprints.SUBSETS}) AS r(k) WHERE (bits >> k) & 1 = 1 GROUP BY ALL),
-g AS (SELECT w.doc_id, w.kind, CASE WHEN count(code) = 0 THEN md5(array_to_string(list_sort(any_value(w.w)), ' ')) ELSE string_agg(coalesce(code, ''), '.' ORDER BY r.k) END AS fp
+lex AS (SELECT term, ('0x' || substr(sha256(term), 1, 15))::BIGINT AS code FROM f WHERE df >= {fingerprints.LOW} * (SELECT count(*) FROM documents) AND df <= {fingerprints.HIGH} * (SELECT count(*) FROM documents)),
+c AS (SELECT doc_id, kind, code & 63 AS k, substr(md5(string_agg(code::VARCHAR, ' ' ORDER BY code)), 1, 8) AS code FROM (SELECT doc_id, kind, unnest(w) AS term FROM w) JOIN lex USING (term) GROUP BY doc_id, kind, code & 63),
+g AS (SELECT w.doc_id, w.kind, CASE WHEN count(code) = 0 THEN md5(any_value(w.t)) ELSE string_agg(coalesce(code, ''), '.' ORDER BY r.k) END AS fp
       FROM w CROSS JOIN range(0, {fingerprints.SUBSETS}) AS r(k) LEFT JOIN c ON c.doc_id = w.doc_id AND c.kind = w.kind AND c.k = r.k GROUP BY w.doc_id, w.kind)
 SELECT e.doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
        {like.format("a.fp", "b.fp")} AS near_edited, {like.format("a.fp", "n.fp")} AS near_next
