@@ -5,9 +5,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docledger.operators import rules as C
-from docledger.operators.ruleset import RuleSet
 from docledger.plans import binding as B
+from docledger.plans.classify import RULES, VERDICT_SQL
 from docledger.plans.registry import query
 from docledger.session import ensure_checkpoint_dir
 from docledger.sources import sinks as K
@@ -100,14 +99,51 @@ def lifecycle_table(spark, sf):
     return T.lifecycle(_life_events(B.table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", "event_type")))
 
 
-RULES = RuleSet(strong=("that", "der", "que"), title=("th",), weak=("tion", "en", "on", "er"), categories={"guide": ("引导类", ("the",)), "access": ("准入类", ("und", "des", "los"))}, doc_types={"formal": ("the",)})
+PAGE_DOCS_SQL = r"""docs AS (
+  SELECT page_id AS id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS source_name, url AS page_url, '' AS lang,
+         trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+         regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '<[^>]*>|\s+', '', 'g') AS content
+  FROM pages)"""
+#: What becomes of each page when all arrive in one batch at an empty ledger.
+INGEST_SQL = VERDICT_SQL.replace(B.DOCS_SQL, PAGE_DOCS_SQL) + r""", k AS (SELECT j.*, d.source_name, d.page_url, is_investment_policy <> 'no' AS kept,
+    d.source_name || ':' || lower(regexp_replace(d.title, '[《》"“”\s]', '', 'g')) AS base_key,
+    sha256('["' || replace(replace(d.content, '\', '\\'), '"', '\"') || '", []]') AS hash FROM judged j JOIN docs d USING (id)),
+f AS (SELECT base_key, min(id) AS founder FROM k WHERE kept GROUP BY 1),
+o AS (SELECT k.*, CASE WHEN fh.id < k.id THEN 'duplicate' WHEN NOT k.kept THEN 'excluded' WHEN k.id = f.founder THEN 'ingested' ELSE 'suspected_duplicate' END AS outcome
+    FROM k LEFT JOIN f USING (base_key) LEFT JOIN k fh ON fh.id = f.founder AND fh.hash = k.hash),
+ledger AS (SELECT *, outcome = 'suspected_duplicate' AS suspected, CASE WHEN outcome = 'suspected_duplicate' THEN base_key || ':variant:' || substr(sha256(page_url), 1, 16) ELSE base_key END AS policy_key FROM o)"""
 
 
-@query("str_ingest")
+def fetched_pages(pages):
+    return pages.withColumnRenamed("url", "page_url").withColumn("source_name", F.regexp_extract("page_url", "^[a-z]+://([^/?#]*)", 1))
+
+
+@query("str_ingest", f"""WITH {INGEST_SQL} SELECT id, outcome, CASE WHEN outcome = 'excluded' THEN reason ELSE '' END AS reason,
+  CASE WHEN outcome IN ('ingested', 'suspected_duplicate') THEN policy_key END AS policy_key, CASE WHEN outcome IN ('ingested', 'suspected_duplicate') THEN 1::BIGINT END AS version,
+  CASE WHEN outcome IN ('ingested', 'suspected_duplicate') THEN todo_type END AS todo_type,
+  CASE WHEN outcome IN ('ingested', 'suspected_duplicate') THEN CASE WHEN need_review OR suspected OR is_investment_policy = 'pending' THEN 'pending' ELSE 'confirmed_auto' END END AS review_status FROM ledger""")
 def ingest(spark, sf):
-    """Pages in one or more micro-batches to the stored ledger; the result lists what became of each page."""
+    """Pages in micro-batches to the stored ledger; the result lists what became of each page."""
     root = _scratch(spark)
-    pages = _stream(spark, sf, "pages").withColumnRenamed("url", "page_url").withColumn("source_name", F.regexp_extract("page_url", "^[a-z]+://([^/?#]*)", 1))
-    T.ingest_stream(pages, f"{root}/ledger", f"{root}/ck", RULES).awaitTermination()
+    T.ingest_stream(fetched_pages(_stream(spark, sf, "pages")), f"{root}/ledger", f"{root}/ck", RULES).awaitTermination()
     fetched, stored = K.read_committed(spark, f"{root}/ledger", "fetch_records"), K.read_committed(spark, f"{root}/ledger", "policies")
-    return fetched.join(stored.select("id", "policy_key", "version", "todo_type"), "id", "left").select("id", "outcome", "policy_key", "version", "todo_type")
+    return fetched.join(stored.select("id", "policy_key", "version", "todo_type", "review_status"), "id", "left") \
+        .select("id", "outcome", "reason", "policy_key", "version", "todo_type", "review_status")
+
+
+@query("str_late_repost", f"""WITH {INGEST_SQL} SELECT id, turn, CASE WHEN outcome IN ('ingested', 'suspected_duplicate') THEN CASE turn WHEN 1 THEN outcome WHEN 2 THEN 'updated' ELSE 'duplicate' END ELSE outcome END AS outcome
+  FROM ledger, (VALUES (1), (2), (3)) AS t(turn) WHERE outcome IN ('ingested', 'suspected_duplicate', 'excluded') OR turn = 1""")
+def late_repost(spark, sf):
+    """Each page, its revision, and the first text again (STR-6): the repost never becomes a new version."""
+    root = _scratch(spark)
+    pages = fetched_pages(B.table(spark, sf, "pages"))
+    for turn in (1, 2, 3):
+        # a revision has one more paragraph; later turns leave out the pages that repeat another one
+        html = F.replace("html", F.lit("</article>"), F.lit("<p>(rev)</p></article>")) if turn == 2 else F.col("html")
+        now = pages.withColumn("html", html).withColumn("page_id", F.col("page_id") + (turn - 1) * 10**9)
+        if turn > 1:
+            first = K.read_committed(spark, f"{root}/ledger", "fetch_records").where("id < 1000000000 AND outcome <> 'duplicate'")
+            now = now.join(first.select("page_url"), "page_url", "left_semi")
+        T.ingest_batch(f"{root}/ledger", RULES)(now, turn)
+    out = K.read_committed(spark, f"{root}/ledger", "fetch_records")
+    return out.select((F.col("id") % 10**9).alias("id"), (F.floor(F.col("id") / 10**9) + 1).cast("int").alias("turn"), "outcome")
