@@ -4,14 +4,15 @@ The distance of two sets is 1 - Jaccard similarity, a metric; documents within `
 equal sets form a class and are handled once. A shingle of a document's prefix (its first n - ceil(0.8 n) + 1 shingles
 in one global order) is a region; two linked documents share one at least, so all others need no distance at all.
 
-A region picks pivots (one in the first round, twice as many in each further round) and the distance of every member
+A region picks pivots (one in the first round, four times as many in each further round) and the distance of every member
 to them is settled exactly. Members within the radius link to a pivot and, being connected by it, need no distance
 among each other. The others stay at home in the region, which recurses with pivots among them. By the triangle
 inequality a linked member y can reach a member u still at home only if d(u, pivot) - d(y, pivot) <= radius for every
-pivot; members in that window are replicated into the recursion, the rest leave. Regions of at most `LEAF` squared
+pivot; members in that window are replicated into the recursion, the rest leave. After each round, members of the
+component that most of a region is in count as linked, wherever they were linked. Regions of at most `LEAF` squared
 pairs are joined directly. The recursion ends when no region is left.
 
-The global order puts shingles that are frequent in the corpus last (a statistic over all documents, bounded to
+The global order puts shingles that are frequent in the corpus last, the most frequent at the end (a statistic over all documents, bounded to
 `FREQUENT` shingles); the order decides how much is compared, never what links. Pairs whose shared prefix leaves no
 room for the similarity are dropped by that bound before their whole sets are compared.
 
@@ -32,7 +33,7 @@ from docledger.llm.common import LAST, Rolling, flatten, hash_words, identity, m
 WORDS = 5
 #: A link needs SHARED * intersection >= UNION * union, that is a similarity of 0.8.
 UNION, SHARED = 4, 5
-LEAF = 64
+LEAF = 128
 FREQUENT = 200_000
 FREQUENT_FROM = 20
 BROADCAST_SETS = 2_000_000
@@ -63,27 +64,33 @@ def _class(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mixed(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def _count(words: int):
-    """Shingles of the lower third of the order that occur in more than one document of the partition."""
+def _count(words: int, window: int = 4_000_000):
+    """Shingles that more than one document has, counted over windows of about `window` shingles of a partition."""
+    def out(seen):
+        h, n = np.unique(np.concatenate(seen), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+
     def run(batches):
-        seen = []
+        seen, size = [], 0
         for batch in slices(batches, "text"):
             h, first = _sets(batch.column("text"), words)
             _, one = np.unique(_class(h, first), return_index=True)
             once = np.zeros(len(first) - 1, bool)
             once[one] = True
-            h = h[np.repeat(once, np.diff(first))]
-            seen.append(h[h < np.uint64((1 << 62) // 3)])
+            seen.append(h[np.repeat(once, np.diff(first))])
+            size += len(seen[-1])
+            if size > window:
+                yield out(seen)
+                seen, size = [], 0
         if seen:
-            h, n = np.unique(np.concatenate(seen), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+            yield out(seen)
     return run
 
 
 def _prefix(words: int, shared):
     """Per document: id, size, class and (once for equal sets of a slice) its prefix in the global order."""
     def run(batches):
-        frequent = shared.value
+        frequent, rank = shared.value
         for batch in slices(batches, "text"):
             h, first = _sets(batch.column("text"), words)
             n, c = np.diff(first), _class(h, first)
@@ -93,7 +100,7 @@ def _prefix(words: int, shared):
             doc = np.repeat(np.arange(len(n)), n)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                h = np.where(frequent[at] == h, h | np.uint64(1 << 62), h)
+                h = np.where(frequent[at] == h, rank[at] | np.uint64(1 << 62), h)
                 h = h[np.lexsort((h, doc))]
             length = np.where(once & (n > 0), n - (UNION * n + SHARED - 1) // SHARED + 1, 0)
             take = np.arange(len(h)) - first[doc] < length[doc]
@@ -175,8 +182,12 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     spark = rows.sparkSession
     counts = rows.select("text").mapInArrow(_count(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")) \
         .where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    frequent = np.sort(np.array([r.shingle for r in counts.select("shingle").collect()], np.int64)).view(np.uint64)
-    docs = stored(rows.mapInArrow(_prefix(words, spark.sparkContext.broadcast(frequent)), "id long, tag long, n long, c long, prefix array<long>"))
+    common = np.array([(r.shingle, r.n) for r in counts.collect()], np.int64).reshape(-1, 2)  # at most FREQUENT
+    rank = np.empty(len(common), np.uint64)
+    rank[np.lexsort((common[:, 0], common[:, 1]))] = np.arange(len(common), dtype=np.uint64)
+    order = np.argsort(common[:, 0])
+    frequent = spark.sparkContext.broadcast((common[order, 0].view(np.uint64), rank[order]))
+    docs = stored(rows.mapInArrow(_prefix(words, frequent), "id long, tag long, n long, c long, prefix array<long>"))
     keyed = docs.where(F.size("prefix") > 0)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = keyed.select(F.explode("prefix").alias("key"), "c").repartitionByRange(parts, "key", "c").sortWithinPartitions("key", "c")
@@ -191,8 +202,13 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     most = F.floor((F.col("n") - F.col("k.places") + 1) * (UNION + SHARED) / UNION) - F.col("n")
     about = facts.select("c", "n", (F.size("keys") / F.col("length")).alias("share"), F.explode(F.arrays_zip("keys", "places")).alias("k"))
     state = about.select(F.col("k.keys").alias("key"), "c", F.lit(True).alias("home"), "n", "share", most.alias("most"))
-    ends = state.groupBy("key").agg(F.min("n").alias("_n"), F.max("most").alias("_most"))
-    state = state.join(ends, "key").where("_n <= most and _most >= n").drop("_n", "_most")
+    ends = state.groupBy("key").agg(F.min("n").alias("_n"), F.max("most").alias("_most"), F.count(F.lit(1)).alias("_m"))
+    state = state.join(ends, "key").where("_n <= most and _most >= n")
+    # a large region is cut by size (linked sizes differ by a quarter at most): at home in its own slice, replicated into the next
+    size = F.floor(F.log("n") / F.log(F.lit(1.26)))
+    slice_of = lambda d: F.struct(F.xxhash64("key", size + d).alias("key"), F.lit(d == 0).alias("home"))
+    slices_of = F.when(F.col("_m") > leaf, F.array(slice_of(0), slice_of(1))).otherwise(F.array(F.struct("key", F.lit(True).alias("home"))))
+    state = state.select("c", "n", "share", "most", F.explode(slices_of).alias("at")).select(F.col("at.key").alias("key"), "c", F.col("at.home").alias("home"), "n", "share", "most")
     sets, found, radius, pivots = None, None, 1 - UNION / SHARED, 1
     while True:
         sizes = state.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h"))
@@ -208,7 +224,7 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         large = sized.where(~few)
         # pivots are the members at home whose prefix is shared most: what copies have in common, not one with edits of its own
         rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("share"), "c"))
-        chosen = large.where("home").select("key", "c", rank.alias("rank")).where(F.col("rank") <= pivots).select("key", F.col("c").alias("pivot"))
+        chosen = stored(large.where("home").select("key", "c", rank.alias("rank")).where(F.col("rank") <= pivots).select("key", F.col("c").alias("pivot")))
         ends = F.greatest("c", "pivot").alias("x"), F.least("c", "pivot").alias("p")
         toward = large.join(chosen, "key").where(F.col("c") != F.col("pivot")).select("key", "c", "pivot", *ends, "home", "n", "share", "most")
         bound = stored(_settled(near.unionByName(toward.select("x", "p")).distinct(), facts))
@@ -231,11 +247,21 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         state = left.join(away, ["key", "pivot"]).groupBy("key", "c").agg(
             F.first("home").alias("home"), F.first("n").alias("n"), F.first("share").alias("share"), F.first("most").alias("most"),
             F.bool_and(F.col("d") >= F.col("least") - radius - 1e-9).alias("near")).where("home or near").drop("near")
-        pivots *= 2  # few pivots where one finds a whole group, more where the distances leave nothing to skip
+        state = _strays(stored(state), found)
+        pivots *= 4  # few pivots where one finds a whole group, more where the distances leave nothing to skip
     empty = spark.createDataFrame([], "x long, p long")
     return docs.select("id", "tag", "n", "c"), empty if found is None else found
 
 
+def _strays(state: DataFrame, found: DataFrame) -> DataFrame:
+    """At home stay only members outside the component that most members of their region are in already."""
+    if not state.head(1):
+        return state
+    labelled = state.join(components(found), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    main = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    return labelled.join(main, "key").withColumn("home", F.col("label") != F.col("main")).drop("label", "main")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(c, label) of every node of the edges (x, p): the smallest node that it is connected with."""
     both = stored(edges.select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(edges.select(F.col("p").alias("a"), F.col("x").alias("b"))).distinct())
