@@ -86,39 +86,70 @@ BLOCKING = ("p", "div", "table", "br", "a", "img")
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "blocks", "classes")
 
     def __init__(self, tag, attrs=()):
-        self.tag, self.attrs, self.children = tag, dict(attrs), []
+        self.tag, self.attrs, self.children, self.blocks = tag, dict(attrs), [], False
+        self.classes = (self.attrs.get("class") or "").split()
 
     def walk(self):
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield c
-                yield from c.walk()
+        """All elements below this one in document order; an explicit stack, as pages nest as deep as they like."""
+        stack = [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
+                if isinstance(c, _Node):
+                    yield c
+                    stack.append(iter(c.children))
+                    break
+            else:
+                stack.pop()
 
     def strings(self):
-        """Stripped text pieces; a paragraph without block content is one piece."""
-        if self.tag == "p" and not any(n.tag in BLOCKING for n in self.walk()):
-            yield "".join(s for c in self.children for s in ([c.strip()] if isinstance(c, str) else (x for x in c.strings())) if s)
-            return
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield from c.strings()
-            elif c.strip():
-                yield c.strip()
+        """Stripped text pieces in order; a paragraph without block content is one piece."""
+        stack = [(iter(self.children), _whole_paragraph(self), [])]
+        while stack:
+            children, joined, pieces = stack[-1]
+            for c in children:
+                if isinstance(c, _Node):
+                    stack.append((iter(c.children), joined or _whole_paragraph(c), pieces if joined else []))
+                    break
+                if text := c.strip():
+                    if joined:
+                        pieces.append(text)
+                    else:
+                        yield text
+            else:
+                stack.pop()
+                if joined and not (stack and stack[-1][1]) and pieces:
+                    yield "".join(pieces)
 
     def text(self, sep="\n"):
         return sep.join(s for s in self.strings() if s)
 
-    def matches(self, selector: str) -> bool:
-        """`tag`, `.class`, `#id` or `tag.class` / `tag#id`."""
-        tag, kind, name = re.fullmatch(r"([a-z0-9]*)([.#]?)(.*)", selector, re.S).groups()
+    def matches(self, selector: tuple[str, str, str]) -> bool:
+        tag, kind, name = selector
         if tag and tag != self.tag:
             return False
         if kind == "#":
             return self.attrs.get("id") == name
-        return kind == "" or name in (self.attrs.get("class") or "").split()
+        return kind == "" or name in self.classes
+
+
+def _selector(text: str) -> tuple[str, str, str]:
+    """(tag, "." or "#" or "", name) of `tag`, `.class`, `#id`, `tag.class` or `tag#id`."""
+    return re.fullmatch(r"([a-z0-9]*)([.#]?)(.*)", text, re.S).groups()
+
+
+def _whole_paragraph(node: _Node) -> bool:
+    return node.tag == "p" and not node.blocks
+
+
+def _noted(root: _Node) -> list[_Node]:
+    """All elements in document order; each notes whether it has block content."""
+    nodes = list(root.walk())
+    for n in reversed([root, *nodes]):
+        n.blocks = any(isinstance(c, _Node) and (c.tag in BLOCKING or c.blocks) for c in n.children)
+    return nodes
 
 
 class _Tree(HTMLParser):
@@ -156,15 +187,17 @@ PARTS = T.StructType().add("body", "string").add("located", "boolean").add("cust
 
 def page_parts(selectors: tuple, number_pattern: str, dropped: tuple):
     """Pandas UDF (html, site selectors, site minimum) -> body text, was a container found, number standing alone."""
-    number = re.compile(number_pattern)
+    number, alone_at = re.compile(number_pattern), _selector(".rules_tit1")
+    selectors, dropped = [_selector(s) for s in selectors], [_selector(s) for s in dropped]
 
     def one(html, site, minimum):
         tree = _Tree()
         tree.feed(html or "")
-        nodes = list(tree.root.walk())
-        alone = next((v for n in nodes if n.tag in ("p", "span", "td") or n.matches(".rules_tit1")
+        nodes = _noted(tree.root)
+        alone = next((v for n in nodes if n.tag in ("p", "span", "td") or n.matches(alone_at)
                       for v in [re.sub(r"\s+", "", n.text(""))] if number.fullmatch(v)), "")
         for s in site if site is not None else ():
+            s = _selector(s)
             node = next((n for n in nodes if n.matches(s)), None)
             if node is not None:
                 body = re.sub(r"\n{3,}", "\n\n", node.text().replace("　", " ")).strip()
@@ -173,7 +206,7 @@ def page_parts(selectors: tuple, number_pattern: str, dropped: tuple):
                 break
         for parent in [tree.root, *nodes]:
             parent.children = [c for c in parent.children if isinstance(c, str) or not any(c.matches(d) for d in dropped)]
-        nodes = list(tree.root.walk())
+        nodes = _noted(tree.root)
         for s in selectors:
             node = next((n for n in nodes if n.matches(s)), None)
             if node is not None and len(node.text("")) > 20:
@@ -182,7 +215,12 @@ def page_parts(selectors: tuple, number_pattern: str, dropped: tuple):
         return re.sub(r"\n{3,}", "\n\n", body.text()).strip(), False, False, alone
 
     def parts(html: pd.Series, site: pd.Series, minimum: pd.Series) -> pd.DataFrame:
-        rows = [one(h, s, m) for h, s, m in zip(html, site, minimum)]
+        rows = []
+        for h, s, m in zip(html, site, minimum):
+            try:
+                rows.append(one(h, s, m))
+            except (AssertionError, ValueError):  # what the HTML parser raises on malformed declarations: no container was found
+                rows.append(("", False, False, ""))
         return pd.DataFrame(rows, columns=["body", "located", "custom", "number"])
 
     return F.pandas_udf(parts, PARTS)

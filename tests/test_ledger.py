@@ -68,6 +68,13 @@ def test_pages(rows):
     assert two["parse_error"] == G.BLOCKED and two["content"] == "" and three["parse_error"] == G.NO_CONTAINER
 
 
+def test_pages_nested_as_deep_as_they_like(rows):
+    deep = "<body><div id='content'>" + "<i>" * 5000 + "正文内容足够长的一段文字用于测试，嵌套很深也不出错。" + "<p>甲<b>乙</b> 丙</p><p>丁<br>戊</p></div></body>"
+    out = {r["page_url"]: r for r in G.parse_pages(rows("page_url STRING, source_name STRING, html STRING", [("u1", "s", deep), ("u2", "s", "<![bad[x]]><body>y")])).collect()}
+    assert out["u1"]["content"].split("\n") == ["正文内容足够长的一段文字用于测试，嵌套很深也不出错。", "甲乙丙", "丁", "戊"] and out["u1"]["parse_error"] == ""
+    assert out["u2"]["parse_error"] == G.NO_CONTAINER
+
+
 def test_document_number_forms_and_stage(rows):
     forms = ["发改〔2025〕1号", "发改[2025]1号", "发改［2025］１号", "发改【2025〕1号", "发改(2025)1号", "发改（2025） 1号"]
     got = rows("v STRING", [(f,) for f in forms]).select(A.normalize_doc_number(F.col("v")).alias("v")).distinct().collect()
