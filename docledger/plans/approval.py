@@ -180,10 +180,11 @@ def self_check(spark, sf):
     return M.self_check(t, s, cells, found).select("doc_id", "code", "field")
 
 
-@query("apr_widen_metrics", f"WITH {METRICS_SQL} SELECT doc_id, name, value FROM mt WHERE false")
+@query("apr_widen_metrics", f"""WITH {METRICS_SQL} SELECT DISTINCT i.doc_id, CASE f WHEN 'A' THEN '总建筑面积' ELSE '新建泵站' || s || '号管线长度' END AS name, CASE f WHEN 'A' THEN q || '平方米' ELSE '约' || q || '公里' END AS value
+  FROM items i JOIN ap USING (doc_id) WHERE prio = '2-HIGH' AND f <> 'R'""")
 def widen_metrics(spark, sf):
     s = L.sections(lines(spark, sf))
-    return M.widen_metrics(s, s.select("doc_id").distinct()).select("doc_id", "name", "value")
+    return M.widen_metrics(s, s.select("doc_id").distinct(), M.BASELINE_SECTIONS).select("doc_id", "name", "value")
 
 
 @query("apr_alt_form_metrics", f"""WITH {METRICS_SQL} SELECT DISTINCT i.doc_id, CASE f WHEN 'A' THEN '总建筑面积' WHEN 'N' THEN '号管线长度' ELSE '栽植乔木' END AS name, CASE f WHEN 'A' THEN q || '平方米' WHEN 'N' THEN '约' || q || '公里' ELSE q || '株' END AS value
@@ -191,7 +192,7 @@ def widen_metrics(spark, sf):
 def alt_form_metrics(spark, sf):
     s = L.sections(lines(spark, sf))
     gate = s.where("heading LIKE '%工程任务%'").select("doc_id")
-    return M.alt_form_metrics(s, gate).where("name NOT LIKE '号%'").select("doc_id", "name", "value")
+    return M.alt_form_metrics(s, gate).select("doc_id", "name", "value")
 
 
 @query("apr_relaxed_fields", f"""{S} SELECT doc_id, '总投资/匡算/估算/概算' AS name, '投资总概算为' || CAST(floor(price) AS BIGINT) || '万元' AS value FROM ap WHERE prio = '3-MEDIUM' UNION ALL SELECT doc_id, '资金来源', '运营资金全部由区级安排' FROM ap WHERE prio = '4-NOT SPECIFIED'""")

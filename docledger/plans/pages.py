@@ -270,6 +270,8 @@ def clean_text(spark, sf):
     return B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.clean_text(spaced).alias("content"))
 
 
-@query("ext_visible_text")
+@query("ext_visible_text", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gs'), '<style[^>]*>.*?</style>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs') AS x FROM pages),
+  b AS (SELECT page_id, regexp_replace(x, '<[^>]*>', ' ', 'g') AS x FROM a)
+  SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', '', 'g') AS text FROM b""")
 def visible_text(spark, sf):
-    return _pages(spark, sf).select("page_id", H.visible_text(F.col("html")).alias("text"))
+    return _pages(spark, sf).select("page_id", F.regexp_replace(H.visible_text(F.col("html")), r"(?U)\s+", "").alias("text"))
