@@ -70,7 +70,7 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_docledger_worker", types.ModuleType("_docledger_worker")).__dict__
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about `limit` bytes of text at most; a longer text is a slice of its own."""
     for batch in batches:
         if batch.num_rows:
@@ -79,6 +79,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20)
             edges = [0, *cuts.tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:]):
                 yield batch.slice(a, b - a)
+            del batch
+            pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

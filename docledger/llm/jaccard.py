@@ -8,8 +8,8 @@ A region picks pivots (one in the first round, four times as many in each furthe
 to them is settled exactly. Members within the radius link to a pivot and, being connected by it, need no distance
 among each other. The others stay at home in the region, which recurses with pivots among them. By the triangle
 inequality a linked member y can reach a member u still at home only if d(u, pivot) - d(y, pivot) <= radius for every
-pivot; members in that window are replicated into the recursion, the rest leave. After each round, members of the
-component that most of a region is in count as linked, wherever they were linked. Regions of at most `LEAF` squared
+pivot; members in that window are replicated into the recursion, the rest leave. After the first round, members of
+the component that most of a region is in count as linked, wherever they were linked. Regions of at most `LEAF` squared
 pairs are joined directly. The recursion ends when no region is left.
 
 The global order puts shingles that are frequent in the corpus last, the most frequent at the end (a statistic over all documents, bounded to
@@ -64,7 +64,7 @@ def _class(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mixed(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def _count(words: int, window: int = 4_000_000):
+def _count(words: int, window: int = 1_500_000):
     """Shingles that more than one document has, counted over windows of about `window` shingles of a partition."""
     def out(seen):
         h, n = np.unique(np.concatenate(seen), return_counts=True)
@@ -247,7 +247,8 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         state = left.join(away, ["key", "pivot"]).groupBy("key", "c").agg(
             F.first("home").alias("home"), F.first("n").alias("n"), F.first("share").alias("share"), F.first("most").alias("most"),
             F.bool_and(F.col("d") >= F.col("least") - radius - 1e-9).alias("near")).where("home or near").drop("near")
-        state = _strays(stored(state), found)
+        if pivots == 1:
+            state = _strays(stored(state), found)
         pivots *= 4  # few pivots where one finds a whole group, more where the distances leave nothing to skip
     empty = spark.createDataFrame([], "x long, p long")
     return docs.select("id", "tag", "n", "c"), empty if found is None else found
