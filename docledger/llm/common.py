@@ -65,13 +65,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, so that tasks reuse what is dear to build."""
-    return sys.modules.setdefault("_docledger_worker", types.ModuleType("_docledger_worker")).__dict__
+def worker_cache(owner: str | None) -> dict:
+    """A dictionary that outlives the task in its Python worker, so that tasks of one operator (`owner`) reuse what is
+    dear to build. A worker that turns to another operator lets it go."""
+    held = sys.modules.setdefault("_docledger_worker", types.ModuleType("_docledger_worker"))
+    if getattr(held, "owner", None) != owner:
+        held.owner, held.cache = owner, {}
+    return held.cache if owner else {}
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about `limit` bytes of text at most; a longer text is a slice of its own."""
+    worker_cache(owner)
     for batch in batches:
         if batch.num_rows:
             size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64

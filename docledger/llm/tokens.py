@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 from docledger.llm.common import sealed, slices, unsealed, worker_cache
 
 LONG_PIECE = 256
-#: Pieces that a worker keeps between slices, and pieces of one recursive query.
-KEPT_PIECES = 1_000_000
-QUERY_PIECES = 20_000
+#: Pieces that a worker keeps in each of two generations.
+KEPT_PIECES = 250_000
+#: Rows that one recursive query makes at most, about half the squared length of each piece.
+QUERY_ROWS = 1_000_000
 
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -84,10 +85,10 @@ def _merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Coder:
     """Encodes pieces and decodes ids with a private in-memory DuckDB; pieces are kept up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], merges: np.ndarray):
+    def __init__(self, ranks: dict[bytes, int], merges: np.ndarray, digest: str = ""):
         import duckdb
-        self.ranks = ranks
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.ranks, self.digest = ranks, digest
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "merged": merges[:, 2]})
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "token": [t.hex() for t in ranks]})
         self.db.register("m", table)
@@ -99,6 +100,7 @@ class Coder:
 
     def forget(self) -> None:
         self.said: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.other: dict[str, bytes] = {}
 
     def _keep(self, piece: str, ids: str, raw: bytes, decoded: bytes) -> None:
@@ -108,9 +110,16 @@ class Coder:
 
     def learn(self, pieces: set[str]) -> None:
         """Ids (decimal, joined by commas) of the pieces that are not known yet, and the bytes they decode to."""
+        if len(self.said) > KEPT_PIECES:  # what is not met again in the next generation is let go
+            self.older, self.said = self.said, {}
+            if len(self.other) > KEPT_PIECES:
+                self.forget()
         short = []
         for p in pieces:
             if p not in self.said:
+                if (known := self.older.get(p)) is not None:
+                    self.said[p] = known
+                    continue
                 raw = p.encode()
                 if raw in self.ranks:
                     self._keep(p, str(self.ranks[raw]), raw, raw)
@@ -119,8 +128,10 @@ class Coder:
                     self._keep(p, ",".join(map(str, ids)), raw, self.decode([ids])[0])
                 else:
                     short.append((p, raw))
-        for a in range(0, len(short), QUERY_PIECES):
-            part = short[a:a + QUERY_PIECES]
+        cost = np.cumsum([len(raw) * (len(raw) + 1) // 2 for _, raw in short]) // QUERY_ROWS
+        edges = np.flatnonzero(np.diff(cost, prepend=-1, append=np.inf)) if short else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            part = short[a:b]
             sizes = np.array([len(raw) for _, raw in part])
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
             start = pa.table({"piece": np.repeat(np.arange(len(part)), sizes), "pos": np.arange(len(first)) - first,
@@ -149,10 +160,11 @@ class Coder:
 
 
 def _coder(shared) -> Coder:
-    cache, (digest, ranks, merges) = worker_cache(), shared.value
-    if digest not in cache:
-        cache[digest] = Coder(ranks, merges)
-    return cache[digest]
+    digest, ranks, merges = shared.value
+    cache = worker_cache(digest)
+    if "coder" not in cache:
+        cache["coder"] = Coder(ranks, merges, digest)
+    return cache["coder"]
 
 
 def _shared(df: DataFrame, path: str):
@@ -176,10 +188,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", wit
     def run(batches):
         import regex
         find, coder = regex.compile(pattern).findall, _coder(shared)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, owner=coder.digest):
             lists = [find(t) if t else [] for t in batch.column(text).to_pylist()]
-            if len(coder.said) > KEPT_PIECES:
-                coder.forget()
             coder.learn(set().union(*lists))
             n, ids, said, decoded = [], [], [], []
             for pieces in lists:
