@@ -19,12 +19,18 @@ PIECE = "_piece"
 def pinned(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read as a table in the shared checkpoint folder.
 
-    It is computed once, cuts the lineage, survives lost executors, and is read back column by column.
+    It is computed once, cuts the lineage, survives lost executors, and is read back column by column. The folder is
+    removed when the driver ends. Without a shared folder (on a cluster, when spark.checkpoint.dir is unset) it raises.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{root}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
