@@ -15,7 +15,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-MODULES = ("identity", "library", "classify", "materials", "operations", "evaluation", "pages", "quantities", "approval", "reviews", "streams", "flagship")
+MODULES = ("identity", "library", "classify", "materials", "operations", "evaluation", "pages", "quantities", "approval", "reviews", "streams", "flagship", "roundtrips")
 
 
 def query(name: str, sql: str | None = None):
