@@ -98,9 +98,10 @@ def policy_timeline(spark, sf):
 _REVIEW_SQL = B.POLICIES_SQL + """, pol AS (SELECT *, parse_error <> '' AS incomplete FROM flagged),
 act AS (SELECT event_id // 2 AS policy_id, CASE event_type WHEN 'click' THEN 'adjust' WHEN 'purchase' THEN 'reject' WHEN 'signup' THEN 'approve' ELSE 'confirm' END AS action,
   event_type = 'click' AND value < 20 AS goodcats, event_id FROM events),
-j AS (SELECT act.*, p.category AS category, min(event_id) OVER (PARTITION BY policy_id) AS first FROM act LEFT JOIN pol p ON p.id = policy_id),
-why AS (SELECT *, CASE WHEN category IS NULL THEN '政策不存在' WHEN action = 'approve' THEN '未知审核动作' WHEN action = 'adjust' AND NOT goodcats THEN '请选择有效的政策分类'
-  WHEN action = 'confirm' AND category = '' THEN '未分类政策请先调整分类后采纳' WHEN event_id <> first THEN '同一批次已有该政策的审核动作' ELSE '' END AS why FROM j)"""
+j AS (SELECT act.*, p.category AS category FROM act LEFT JOIN pol p ON p.id = policy_id),
+w AS (SELECT *, CASE WHEN category IS NULL THEN '政策不存在' WHEN action = 'approve' THEN '未知审核动作' WHEN action = 'adjust' AND NOT goodcats THEN '请选择有效的政策分类'
+  WHEN action = 'confirm' AND category = '' THEN '未分类政策请先调整分类后采纳' ELSE '' END AS bad FROM j),
+why AS (SELECT *, CASE WHEN bad = '' AND event_id <> min(event_id) FILTER (bad = '') OVER (PARTITION BY policy_id) THEN '同一批次已有该政策的审核动作' ELSE bad END AS why FROM w)"""
 
 
 def _reviewed(spark, sf):
