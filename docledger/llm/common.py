@@ -47,12 +47,14 @@ def identity(id_col: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(id_col.cast("long"), F.lit(LAST) + h.bitwiseAND(LAST - 1)), h.bitwiseAND((1 << 24) - 1)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None, rows_per_file: int = 100_000) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and read it back.
 
     It is computed once, its lineage ends there and it outlives lost executors; the folder is removed when
-    the driver ends.
+    the driver ends. Where the caller knows about how many rows come, small tables go to few files.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_per_file)))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext.getCheckpointDir()

@@ -192,11 +192,12 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = keyed.select(F.explode("prefix").alias("key"), "c").repartitionByRange(parts, "key", "c").sortWithinPartitions("key", "c")
     first = stored(spread.mapInArrow(_shared, "key long, c long"))
+    met = first.count()
     regions = first.distinct()  # copies from several partitions
     whole = keyed.groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     facts = stored(regions.groupBy("c").agg(F.collect_list("key").alias("keys")).join(whole, "c").select(
         "c", "keys", "n", F.size("prefix").alias("length"), F.element_at("prefix", -1).alias("last"),
-        F.transform("keys", lambda k: F.array_position("prefix", k)).alias("places")))
+        F.transform("keys", lambda k: F.array_position("prefix", k)).alias("places")), met, 200_000)
     # a shingle at place i is the first that two documents share only if n - i + 1 of them can be common: `most` is the
     # largest partner for which that is enough
     most = F.floor((F.col("n") - F.col("k.places") + 1) * (UNION + SHARED) / UNION) - F.col("n")
@@ -212,8 +213,9 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     sets, found, radius, pivots = None, None, 1 - UNION / SHARED, 1
     while True:
         sizes = state.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h"))
-        sized = stored(state.join(sizes.where("m > 1 and h > 0"), "key"))
-        if not sized.head(1):
+        sized = stored(state.join(sizes.where("m > 1 and h > 0"), "key"), met, 200_000)
+        met = sized.count()
+        if not met:
             break
         few = F.col("m") * F.col("h") <= leaf * leaf
         small = sized.where(few).select("key", "c", "home", "n", "most")
@@ -224,17 +226,19 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         large = sized.where(~few)
         # pivots are the members at home whose prefix is shared most: what copies have in common, not one with edits of its own
         rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("share"), "c"))
-        chosen = stored(large.where("home").select("key", "c", rank.alias("rank")).where(F.col("rank") <= pivots).select("key", F.col("c").alias("pivot")))
+        chosen = stored(large.where("home").select("key", "c", rank.alias("rank")).where(F.col("rank") <= pivots).select("key", F.col("c").alias("pivot")), met, 200_000)
         ends = F.greatest("c", "pivot").alias("x"), F.least("c", "pivot").alias("p")
         toward = large.join(chosen, "key").where(F.col("c") != F.col("pivot")).select("key", "c", "pivot", *ends, "home", "n", "share", "most")
-        bound = stored(_settled(near.unionByName(toward.select("x", "p")).distinct(), facts))
+        bound = stored(_settled(near.unionByName(toward.select("x", "p")).distinct(), facts), met)
+        pairs = bound.count()
         if sets is None:
             needed = bound.where("open").select(F.explode(F.array("x", "p")).alias("c")).unionByName(large.select("c")).distinct()
-            needed = stored(needed)
-            side = F.broadcast(needed) if needed.count() <= broadcast_sets else needed
+            needed = stored(needed, met, 200_000)
+            wanted = needed.count()
+            side = F.broadcast(needed) if wanted <= broadcast_sets else needed
             sets = stored(rows.select("text").mapInArrow(_whole(words), "c long, shingles array<long>").join(side, "c", "left_semi")
-                          .groupBy("c").agg(F.first("shingles").alias("shingles")))
-        exact = stored(_measured(bound.where("open"), sets))
+                          .groupBy("c").agg(F.first("shingles").alias("shingles")), wanted, 3000)
+        exact = stored(_measured(bound.where("open"), sets), pairs, 10_000)
         new = exact.where("linked").select("x", "p")
         found = new if found is None else found.unionByName(new)
         known = bound.join(exact.select("x", "p", "linked", F.col("d").alias("exact")), ["x", "p"], "left") \
@@ -248,7 +252,7 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
             F.first("home").alias("home"), F.first("n").alias("n"), F.first("share").alias("share"), F.first("most").alias("most"),
             F.bool_and(F.col("d") >= F.col("least") - radius - 1e-9).alias("near")).where("home or near").drop("near")
         if pivots == 1:
-            state = _strays(stored(state), found)
+            state = _strays(stored(state, met), found)
         pivots *= 4  # few pivots where one finds a whole group, more where the distances leave nothing to skip
     empty = spark.createDataFrame([], "x long, p long")
     return docs.select("id", "tag", "n", "c"), empty if found is None else found
@@ -265,13 +269,14 @@ def _strays(state: DataFrame, found: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(c, label) of every node of the edges (x, p): the smallest node that it is connected with."""
-    both = stored(edges.select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(edges.select(F.col("p").alias("a"), F.col("x").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("c"), F.least("a", "b").alias("label")))
+    both = stored(edges.select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(edges.select(F.col("p").alias("a"), F.col("x").alias("b"))).distinct(), 2 * edges.count())
+    size = both.count()
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("c"), F.least("a", "b").alias("label")), size)
     while True:
         heard = both.join(labels.select(F.col("c").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("c")).agg(F.min("near").alias("near"))
         lower = labels.join(heard, "c").select("c", "label", F.least("label", "near").alias("low"))
         jump = lower.join(labels.select(F.col("c").alias("low"), F.col("label").alias("far")), "low")
-        step = stored(jump.select("c", "label", F.least("low", "far").alias("low")))
+        step = stored(jump.select("c", "label", F.least("low", "far").alias("low")), size)
         moved = step.where("low < label").head(1)
         labels = step.select("c", F.col("low").alias("label"))
         if not moved:
