@@ -24,7 +24,7 @@ from docledger.llm.common import sealed, slices, unsealed, worker_cache
 
 LONG_PIECE = 256
 #: Pieces that a worker keeps in each of two generations.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 600_000
 #: Rows that one recursive query makes at most, about half the squared length of each piece.
 QUERY_ROWS = 1_000_000
 
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", wit
     def run(batches):
         import regex
         find, coder = regex.compile(pattern).findall, _coder(shared)
-        for batch in slices(batches, text, owner=coder.digest):
+        for batch in slices(batches, text, 2 << 20, coder.digest):
             lists = [find(t) if t else [] for t in batch.column(text).to_pylist()]
             coder.learn(set().union(*lists))
             n, ids, said, decoded = [], [], [], []
