@@ -33,7 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the token ids of each document, with the hashes of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return tokens.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text")
+    # executors that ran the stages before have less memory to spare, so workers keep fewer pieces and merge more of them anew
+    return tokens.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, kept_pieces=150_000).drop("text")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]

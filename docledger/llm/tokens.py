@@ -87,7 +87,7 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int], merges: np.ndarray, digest: str = ""):
         import duckdb
-        self.ranks, self.digest = ranks, digest
+        self.ranks, self.digest, self.kept = ranks, digest, KEPT_PIECES
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "merged": merges[:, 2]})
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "token": [t.hex() for t in ranks]})
@@ -110,9 +110,9 @@ class Coder:
 
     def learn(self, pieces: set[str]) -> None:
         """Ids (decimal, joined by commas) of the pieces that are not known yet, and the bytes they decode to."""
-        if len(self.said) > KEPT_PIECES:  # what is not met again in the next generation is let go
+        if len(self.said) > self.kept:  # what is not met again in the next generation is let go
             self.older, self.said = self.said, {}
-            if len(self.other) > KEPT_PIECES:
+            if len(self.other) > self.kept:
                 self.forget()
         short = []
         for p in pieces:
@@ -173,11 +173,11 @@ def _shared(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast((digest, ranks, merge_table(ranks)))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True, kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """Every row with n_tokens, token_ids (where asked for), ids_sha256 and decoded_sha256.
 
     `path` is the rank file and `pattern` the split pattern of the tokenizer. The hashes are those of the decimal
-    ids joined by commas and of the bytes that the ids decode to.
+    ids joined by commas and of the bytes that the ids decode to. A worker keeps up to twice `kept_pieces` pieces.
     """
     text, shared = f"_c{docs.columns.index(text_col)}", _shared(docs, path)
     added = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
@@ -188,6 +188,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", wit
     def run(batches):
         import regex
         find, coder = regex.compile(pattern).findall, _coder(shared)
+        coder.kept = kept_pieces
         for batch in slices(batches, text, 2 << 20, coder.digest):
             lists = [find(t) if t else [] for t in batch.column(text).to_pylist()]
             coder.learn(set().union(*lists))
