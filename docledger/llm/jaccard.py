@@ -5,12 +5,13 @@ equal sets form a class and are handled once. A shingle of a document's prefix (
 in one global order) is a region; two linked documents share one at least, so all others need no distance at all.
 
 A region picks pivots (one in the first round, four times as many in each further round) and the distance of every member
-to them is settled exactly. Members within the radius link to a pivot and, being connected by it, need no distance
-among each other. The others stay at home in the region, which recurses with pivots among them. By the triangle
-inequality a linked member y can reach a member u still at home only if d(u, pivot) - d(y, pivot) <= radius for every
-pivot; members in that window are replicated into the recursion, the rest leave. After the first round, members of
-the component that most of a region is in count as linked, wherever they were linked. Regions of at most `LEAF` squared
-pairs are joined directly. The recursion ends when no region is left.
+to them is settled exactly, so pivots leave. After each round all links found so far become component labels, and a pair
+is dropped only when both its ends carry one label (or were both replicated from a smaller slice, which settles them).
+At home are members that have an end of every other pair: those outside the label that most of the region carries, or
+those of the slice itself if they are fewer. The region recurses with pivots among them. By the triangle inequality
+another member y can reach a member u at home only if d(u, pivot) - d(y, pivot) <= radius for every pivot, d(u, pivot)
+taken no larger and d(y, pivot) no smaller than it is; members in that window stay, the rest leave. Regions of at most
+`LEAF` squared pairs are joined directly. The recursion ends when no region is left.
 
 The global order puts shingles that are frequent in the corpus last, the most frequent at the end (a statistic over all documents, bounded to
 `FREQUENT` shingles); the order decides how much is compared, never what links. Pairs whose shared prefix leaves no
@@ -202,25 +203,25 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     # largest partner for which that is enough
     most = F.floor((F.col("n") - F.col("k.places") + 1) * (UNION + SHARED) / UNION) - F.col("n")
     about = facts.select("c", "n", (F.size("keys") / F.col("length")).alias("share"), F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    state = about.select(F.col("k.keys").alias("key"), "c", F.lit(True).alias("home"), "n", "share", most.alias("most"))
+    state = about.select(F.col("k.keys").alias("key"), "c", "n", "share", most.alias("most"))
     ends = state.groupBy("key").agg(F.min("n").alias("_n"), F.max("most").alias("_most"), F.count(F.lit(1)).alias("_m"))
     state = state.join(ends, "key").where("_n <= most and _most >= n")
-    # a large region is cut by size (linked sizes differ by a quarter at most): at home in its own slice, replicated into the next
+    # a large region is cut by size (linked sizes differ by a quarter at most): own in its slice, replicated into the next
     size = F.floor(F.log("n") / F.log(F.lit(1.26)))
-    slice_of = lambda d: F.struct(F.xxhash64("key", size + d).alias("key"), F.lit(d == 0).alias("home"))
-    slices_of = F.when(F.col("_m") > leaf, F.array(slice_of(0), slice_of(1))).otherwise(F.array(F.struct("key", F.lit(True).alias("home"))))
-    state = state.select("c", "n", "share", "most", F.explode(slices_of).alias("at")).select(F.col("at.key").alias("key"), "c", F.col("at.home").alias("home"), "n", "share", "most")
+    slice_of = lambda d: F.struct(F.xxhash64("key", size + d).alias("key"), F.lit(d == 0).alias("own"))
+    slices_of = F.when(F.col("_m") > leaf, F.array(slice_of(0), slice_of(1))).otherwise(F.array(F.struct("key", F.lit(True).alias("own"))))
+    state = state.select("c", "n", "share", "most", F.explode(slices_of).alias("at")).select(F.col("at.key").alias("key"), "c", F.col("c").alias("label"), F.col("at.own").alias("own"), "n", "share", "most")
     sets, found, radius, pivots = None, None, 1 - UNION / SHARED, 1
     while True:
-        sizes = state.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h"))
-        sized = stored(state.join(sizes.where("m > 1 and h > 0"), "key"), met, 200_000)
+        sized = stored(_homes(state, found is None), met, 200_000)
         met = sized.count()
         if not met:
             break
         few = F.col("m") * F.col("h") <= leaf * leaf
-        small = sized.where(few).select("key", "c", "home", "n", "most")
-        other = small.select("key", F.col("c").alias("p"), F.col("home").alias("home_p"), F.col("n").alias("n_p"), F.col("most").alias("most_p"))
+        small = sized.where(few).select("key", "c", "label", "own", "home", "n", "most")
+        other = small.select("key", F.col("c").alias("p"), *[F.col(v).alias(f"{v}_p") for v in ("label", "own", "home", "n", "most")])
         near = small.where("home").withColumnRenamed("c", "x").join(other, "key").where("x > p or (x < p and not home_p)") \
+            .where("label <> label_p and (own or own_p)") \
             .where((F.col("n") * SHARED >= F.col("n_p") * UNION) & (F.col("n_p") * SHARED >= F.col("n") * UNION)).where("n <= most_p and n_p <= most") \
             .select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))
         large = sized.where(~few)
@@ -228,7 +229,7 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("share"), "c"))
         chosen = stored(large.where("home").select("key", "c", rank.alias("rank")).where(F.col("rank") <= pivots).select("key", F.col("c").alias("pivot")), met, 200_000)
         ends = F.greatest("c", "pivot").alias("x"), F.least("c", "pivot").alias("p")
-        toward = large.join(chosen, "key").where(F.col("c") != F.col("pivot")).select("key", "c", "pivot", *ends, "home", "n", "share", "most")
+        toward = large.join(chosen, "key").where(F.col("c") != F.col("pivot")).select("key", "c", "pivot", *ends, "own", "n", "share", "most")
         bound = stored(_settled(near.unionByName(toward.select("x", "p")).distinct(), facts), met)
         pairs = bound.count()
         if sets is None:
@@ -241,30 +242,38 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         exact = stored(_measured(bound.where("open"), sets), pairs, 10_000)
         new = exact.where("linked").select("x", "p")
         found = new if found is None else found.unionByName(new)
-        known = bound.join(exact.select("x", "p", "linked", F.col("d").alias("exact")), ["x", "p"], "left") \
-            .select("x", "p", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("exact", "d").alias("d"))
-        left = toward.join(known, ["x", "p"]).join(chosen.select("key", F.col("pivot").alias("c"), F.lit(True).alias("was")), ["key", "c"], "left").where("was is null")
-        linked = left.groupBy("key", "c").agg(F.bool_or("linked").alias("any"))
-        left = left.join(linked, ["key", "c"]).withColumn("home", F.expr("home and not any"))
-        away = left.where("home").groupBy("key", "pivot").agg(F.min("d").alias("least"))
-        # those at home that did not link stay; others only if, by every pivot, a member at home may be within reach
+        if not large.head(1):
+            break
+        # of pairs without an exact distance d is the least it can be; it can be 1 at most
+        known = bound.join(exact.select("x", "p", F.col("d").alias("exact")), ["x", "p"], "left") \
+            .select("x", "p", F.coalesce("exact", "d").alias("least"), F.coalesce("exact", F.lit(1.0)).alias("most_d"))
+        labels = components(found)
+        rest = large.select("key", "c", "own", "n", "share", "most").join(chosen.withColumnRenamed("pivot", "c"), ["key", "c"], "left_anti") \
+            .join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        rest = _homes(rest, False).select("key", "c", "label", "home")
+        left = stored(toward.join(known, ["x", "p"]).join(rest, ["key", "c"]), pairs, 200_000)
+        away = left.where("home").groupBy("key", "pivot").agg(F.min("least").alias("reach"))
+        # those at home stay; others only if, by every pivot, a member at home may be within reach
         state = left.join(away, ["key", "pivot"]).groupBy("key", "c").agg(
-            F.first("home").alias("home"), F.first("n").alias("n"), F.first("share").alias("share"), F.first("most").alias("most"),
-            F.bool_and(F.col("d") >= F.col("least") - radius - 1e-9).alias("near")).where("home or near").drop("near")
-        if pivots == 1:
-            state = _strays(stored(state, met), found)
+            *[F.first(v).alias(v) for v in ("label", "own", "home", "n", "share", "most")],
+            F.bool_and(F.col("most_d") >= F.col("reach") - radius - 1e-9).alias("near")).where("home or near").drop("home", "near")
         pivots *= 4  # few pivots where one finds a whole group, more where the distances leave nothing to skip
     empty = spark.createDataFrame([], "x long, p long")
     return docs.select("id", "tag", "n", "c"), empty if found is None else found
 
 
-def _strays(state: DataFrame, found: DataFrame) -> DataFrame:
-    """At home stay only members outside the component that most members of their region are in already."""
-    if not state.head(1):
-        return state
-    labelled = state.join(components(found), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    main = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    return labelled.join(main, "key").withColumn("home", F.col("label") != F.col("main")).drop("label", "main")
+def _homes(state: DataFrame, alone: bool) -> DataFrame:
+    """Members of regions that still have pairs to settle, with members (m) and members at home (h) of the region, and
+    whether each is at home. A pair is to be settled if its labels differ and one end at least is `own`; one end at least
+    of each such pair is at home. `alone`: every label has one member."""
+    of = [F.count(F.lit(1)).alias("k"), F.count_if("own").alias("o")]
+    if alone:
+        sizes = state.groupBy("key").agg(*of, F.max("label").alias("main")).select("key", F.col("k").alias("m"), "o", F.lit(1).alias("top"), "main")
+    else:
+        sizes = state.groupBy("key", "label").agg(*of).groupBy("key").agg(
+            F.sum("k").alias("m"), F.sum("o").alias("o"), F.max("k").alias("top"), F.max_by("label", F.struct("k", "label")).alias("main"))
+    sizes = sizes.where("top < m and o > 0").withColumn("h", F.least("o", F.expr("m - top")))
+    return state.join(sizes, "key").withColumn("home", F.when(F.col("o") == F.col("h"), F.col("own")).otherwise(F.col("label") != F.col("main"))).drop("o", "top", "main")
 
 
 def components(edges: DataFrame) -> DataFrame:

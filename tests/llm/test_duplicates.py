@@ -84,6 +84,20 @@ def test_jaccard_large_group_and_chains(spark, documents):
     assert got == _components(dict(rows))
 
 
+def test_jaccard_truncated_copy(spark):
+    """A copy without the footer is in the next smaller slice and links with the shortest of the copies only, not with a pivot."""
+    rows = []
+    for v in range(3):
+        body, footer = [f"b{v}x{i}" for i in range(102)], [f"f{v}x{i}" for i in range(30)]
+        rows += [(1000 * v + i, " ".join([*body, *footer[:21 if i == 7 else 24], f"u{i}"])) for i in range(1, 41)]
+        rows += [(1000 * v + 100, " ".join(body))]
+        rows += [(1000 * v + 200 + i, " ".join([*(f"o{v}x{i}x{k}" for k in range(60)), *footer])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = _components(dict(rows))
+    assert want[100][1] == 1 and want[200][1] == 200
+    assert {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, leaf=4).collect()} == want
+
+
 def test_jaccard_edge(edge):
     rows = jaccard.near_duplicates(edge).collect()
     assert len(rows) == edge.count()
