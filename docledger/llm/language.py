@@ -2,8 +2,10 @@
 
 A model holds, for each language, smoothed probabilities of hashed byte trigrams (lower case, everything but letters
 as one kind of gap). A document is a mixture: expectation-maximisation estimates the share of each language from the
-likelihoods of its trigrams, for nested sets of its likeliest languages; the set with the best penalised likelihood
-is kept and its largest share names the document.
+likelihoods of its trigrams, first for all learned languages. Of the nested sets of its largest shares the one with the
+best penalised likelihood is taken; single languages are added to it and removed from it as long as that gets better.
+The largest share of the final set names the document. Sets are passed over only where the likelihood, being concave
+in the shares, leaves them no room to be better.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is every text when no labelled row
 was learned from. Rows with a null label are not learned from. Repeated rows count as often as they occur.
@@ -17,12 +19,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docledger.llm.common import sealed, slices, unsealed
 
 BUCKETS = 1 << 13
-CANDIDATES = 4
 ROUNDS = 12
 #: Penalty of one more language, in units of half the logarithm of the document's trigrams (they overlap threefold).
 PENALTY = 3.0
 #: A model may hold at most so many languages (8 bytes * BUCKETS each, sent to every task).
 MAX_LANGUAGES = 500
+#: Documents are taken together up to so many (trigram, language) probabilities.
+BLOCK = 1 << 21
 UNKNOWN = "und"
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -78,37 +81,94 @@ def _infer(texts: list[str | None], langs: list[str], model: np.ndarray) -> list
     which = [i for i, t in enumerate(texts) if t and langs and any(map(str.isalpha, t))]
     if not which:
         return out
-    found = [np.bincount(_buckets(texts[i]), minlength=BUCKETS) for i in which]
-    at = [np.flatnonzero(c) for c in found]
-    n = np.concatenate([c[a] for c, a in zip(found, at)]).astype(np.float32)
-    sizes = np.array([len(a) for a in at])
+    block: list[tuple[int, np.ndarray, np.ndarray]] = []
+    size = 0
+    for i in which:
+        counts = np.bincount(_buckets(texts[i]), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        if block and (size + len(at)) * len(langs) > BLOCK:
+            _name(block, langs, model, out)
+            block, size = [], 0
+        block.append((i, at, counts[at]))
+        size += len(at)
+    _name(block, langs, model, out)
+    return out
+
+
+def _name(block: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], model: np.ndarray, out: list) -> None:
+    """Fill in the results of the documents of a block: position, buckets and their counts."""
+    shares = _select(np.concatenate([n for _, _, n in block]).astype(np.float32), np.array([len(a) for _, a, _ in block]), model[:, np.concatenate([a for _, a, _ in block])].T)
+    for (i, _, _), share in zip(block, shares):
+        pairs = sorted(((langs[c], float(share[c])) for c in np.flatnonzero(share > 0)), key=lambda x: (-x[1], x[0]))
+        out[i] = (pairs[0][0], min(1.0, pairs[0][1]), pairs)
+
+
+def _select(n: np.ndarray, sizes: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Shares (document, language) of the chosen sets: n counts, sizes trigrams of each document, logs (trigram, language)."""
+    docs, k = len(sizes), logs.shape[1]
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    logs = model[:, np.concatenate(at)].T
-    alone = np.add.reduceat(logs * n[:, None], first, 0)
-    k = min(CANDIDATES, len(langs))
-    likely = np.argsort(-alone, 1, kind="stable")[:, :k]
-    logs = np.take_along_axis(logs, np.repeat(likely, sizes, 0), 1)
     top = logs.max(1, keepdims=True)
-    p = np.exp(logs - top)
+    p = np.exp(logs - top) + np.float32(1e-30)
     base = np.add.reduceat(n * top[:, 0], first)
-    share, best = _mixture(p, n, first, np.full((len(which), k), 1 / k, np.float32))
-    order = np.argsort(-share, 1, kind="stable")
-    cost = PENALTY / 2 * np.log(np.add.reduceat(n, first) + 1)
-    score, chosen = np.full(len(which), -np.inf), np.zeros((len(which), k), np.float32)
-    for m in range(1, k + 1):
-        if m == k:
-            s, value = share, best
-        else:
-            s = np.zeros_like(share)
-            np.put_along_axis(s, order[:, :m], np.float32(1 / m), 1)
-            s, value = _mixture(p + np.float32(1e-30), n, first, s)
-        value = value + base - cost * m
-        better = value > score
-        score, chosen = np.where(better, value, score), np.where(better[:, None], s, chosen)
-    for row, i in enumerate(which):
-        pairs = sorted(((langs[likely[row, c]], float(chosen[row, c])) for c in range(k) if chosen[row, c] > 0), key=lambda x: (-x[1], x[0]))
-        out[i] = (pairs[0][0], min(1.0, pairs[0][1]), pairs)
-    return out
+    total = np.add.reduceat(n, first)
+    cost = PENALTY / 2 * np.log(total + 1)
+
+    def rows_of(which):
+        starts = np.concatenate([[0], np.cumsum(sizes[which])[:-1]])
+        return np.repeat(first[which] - starts, sizes[which]) + np.arange(sizes[which].sum()), starts
+
+    def fit(which, sets):
+        """Shares and penalised likelihood of one set (a row of flags) for each of the documents `which`."""
+        m = sets.sum(1)
+        cols = np.argsort(~sets, 1, kind="stable")[:, :m.max()]
+        used = np.take_along_axis(sets, cols, 1)
+        rows, starts = rows_of(which)
+        some = p[rows[:, None], np.repeat(cols, sizes[which], 0)]
+        s, value = _mixture(some, n[rows], starts, (used / m[:, None]).astype(np.float32))
+        share = np.zeros(sets.shape, np.float32)
+        np.put_along_axis(share, cols, s, 1)
+        return share, value + base[which] - cost[which] * m
+
+    def slope(which, share):
+        """Derivative of the likelihood by each share, less its mean: no shares over some languages are better than
+        `share` by more than the largest of theirs."""
+        rows, starts = rows_of(which)
+        q = p[rows]
+        weight = n[rows] / (q * np.repeat(share, sizes[which], 0)).sum(1)
+        return np.add.reduceat(q * weight[:, None], starts, 0) - total[which][:, None]
+
+    every = np.arange(docs)
+    share, value = fit(every, np.ones((docs, k), bool))
+    best, chosen = value, share
+    most = np.minimum(base, value + cost * k + slope(every, share).max(1))
+    rank = np.argsort(np.argsort(-share, 1, kind="stable"), 1)
+    for m in range(1, k):
+        which = np.flatnonzero(most - cost * m > best)
+        if not len(which):
+            break
+        s, value = fit(which, rank[which] < m)
+        better = value >= best[which]
+        best[which[better]], chosen[which[better]] = value[better], s[better]
+    sets, active = chosen > 0, every
+    while len(active):
+        room = slope(active, chosen[active])
+        inside = np.where(sets[active], room, -np.inf).max(1)
+        add = ~sets[active] & (np.maximum(room, inside[:, None]) > cost[active][:, None])
+        drop = sets[active] & (sets[active].sum(1) > 1)[:, None]
+        moved = np.zeros(docs, bool)
+        now = sets.copy()
+        for j in range(k):
+            which = active[add[:, j] | drop[:, j]]
+            if not len(which):
+                continue
+            trial = now[which]
+            trial[:, j] = ~trial[:, j]
+            s, value = fit(which, trial)
+            better = value > best[which] + 1e-3
+            at = which[better]
+            best[at], chosen[at], sets[at], moved[at] = value[better], s[better], trial[better], True
+        active = np.flatnonzero(moved)
+    return chosen
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:

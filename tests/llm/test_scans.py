@@ -160,6 +160,22 @@ def test_language(spark):
     assert [(by[i].lang_pred, by[i].score) for i in (3, 4, 5)] == [("und", 0.0)] * 3
 
 
+def test_language_of_many(spark):
+    """A minority language behind five related ones, and six languages in one text."""
+    rng = random.Random(4)
+    common = ["ka", "to", "mi", "ra", "lo", "se", "pa", "nu"]
+    sounds = {f"r{i}": [*common, x] for i, x in enumerate(["ve", "vi", "vo", "vu", "va"])}
+    sounds |= {"ff": ["yy", "äk", "hö", "jj"], "gg": ["sch", "ung", "ein", "ß"], "hh": ["ção", "que", "lh", "am"], "ii": ["wz", "czy", "ć", "dł"], "jj": ["gh", "bth", "dd", "ff"], "kk": ["ox", "qi", "xu", "zz"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(3)) for _ in range(n))
+    df = spark.createDataFrame([(text(x, 300), x) for x in sounds for _ in range(8)], "text string, lang string")
+    six = ["ff", "gg", "hh", "ii", "jj", "kk"]
+    docs = [(1, text("r0", 210) + " " + text("ff", 90)), (2, " ".join(text(x, 60) for x in six)), (3, text("kk", 50))]
+    by = {r.doc_id: r for r in language.identify(spark.createDataFrame(docs, "doc_id long, text string"), language.train(df)).collect()}
+    assert {x.lang for x in by[1].mixture} == {"r0", "ff"} and by[1].lang_pred == "r0" and 0.6 < by[1].score < 0.85
+    assert {x.lang for x in by[2].mixture} == set(six) and by[2].score < 0.4
+    assert [x.lang for x in by[3].mixture] == ["kk"]
+
+
 def test_language_edge(edge):
     none = language.train(edge.limit(0))
     assert {r.lang_pred for r in language.identify(edge, none).collect()} == {"und"}
