@@ -6,6 +6,10 @@ position). Votes are added up per diagonal, neighbouring diagonals (up to `SLACK
 merged, and the spans of merged diagonals are verified: phrases have to stand word by word, longer texts have to keep
 a share of `COVER` of their K-grams in order within a span not much longer than the template.
 
+A notice that repeats closely chains its diagonals to a group longer than that. Such a group is cut: a diagonal that
+has the share by itself is a span of its own; another one counts with those up to 2 * `SLACK` after it, where no other
+such span within 2 * `SLACK` has as large a share (of equal ones the first counts).
+
 Defined results: null and empty texts have no words and no license; repeated rows get the same result each; an empty
 table stays empty.
 """
@@ -66,14 +70,36 @@ def spans(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     # copies of a text vote for the same positions, hence sets; a set has no more entries than the template
     order = W.partitionBy(key, "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("base"), 0).otherwise(SLACK), F.lit(True))
-    groups = diagonals.withColumn("group", F.sum(far.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))) \
-        .groupBy(key, "template", "label", "base", "grams", "group") \
+    numbered = diagonals.withColumn("group", F.sum(far.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    group = W.partitionBy(key, "template", "group")
+    numbered = numbered.withColumn("long", (F.max("diagonal").over(group) - F.min("diagonal").over(group) > 2 * SLACK) & ~F.col("base"))
+    groups = numbered.groupBy(key, "template", "label", "base", "grams", "group") \
         .agg(F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"),
-             F.min(F.col("diagonal") + F.array_min("votes")).alias("first"), (F.max(F.col("diagonal") + F.array_max("votes")) + K).alias("last"))
+             F.min(F.col("diagonal") + F.array_min("votes")).alias("first"), (F.max(F.col("diagonal") + F.array_max("votes")) + K).alias("last"),
+             F.first("long").alias("long"))
     score = F.size("votes") / F.col("grams")
     whole = F.when(F.col("base"), F.size("votes") == F.col("grams")) \
         .otherwise((score >= COVER) & (F.col("last") - F.col("first") <= F.col("grams") + K - 1 + SLACK * 2))
-    return groups.where(whole).select(key, "template", "label", "base", F.col("first").cast("long"), F.col("last").cast("long"), score.alias("score"))
+    fits = groups.where(whole)
+    # cut what is too long: a span of at most 2 * SLACK diagonals is never longer than allowed
+    place = group.orderBy("diagonal")
+    after = place.rangeBetween(0, 2 * SLACK)
+    alone = F.size("votes") / F.col("grams") >= COVER
+    spots = F.struct((F.col("diagonal") + F.array_min("votes")).alias("low"), (F.col("diagonal") + F.array_max("votes")).alias("high"))
+    cut = numbered.where("long").withColumns({"alone": alone, "spots": spots}) \
+        .withColumns({"near": F.array_distinct(F.flatten(F.collect_list("votes").over(after))), "low": F.min("spots.low").over(after), "high": F.max("spots.high").over(after)}) \
+        .select(key, "template", "label", "base", "grams", "group", "diagonal", "alone", F.when(F.col("alone"), F.col("votes")).otherwise(F.col("near")).alias("votes"),
+                F.when(F.col("alone"), F.col("spots.low")).otherwise(F.col("low")).alias("first"), (F.when(F.col("alone"), F.col("spots.high")).otherwise(F.col("high")) + K).alias("last")) \
+        .withColumn("score", score)
+    before, behind, around = place.rangeBetween(-2 * SLACK, -1), place.rangeBetween(1, 2 * SLACK), place.rangeBetween(-2 * SLACK, 2 * SLACK)
+    none = F.lit(0.0)
+    best = F.col("alone") | ((F.col("score") >= COVER) & (F.col("score") > F.coalesce(F.max("score").over(before), none)) & (F.col("score") >= F.coalesce(F.max("score").over(behind), none))
+                             & (F.col("score") > F.coalesce(F.max(F.when(F.col("alone"), F.col("score"))).over(around), none)))
+    cut = cut.withColumn("best", best).where("best")
+    # a long group may still fit as a whole where its outer diagonals have few votes
+    cut = cut.join(fits.where("long").select(key, "template", "group"), [key, "template", "group"], "left_anti")
+    listed = lambda df, value: df.select(key, "template", "label", "base", F.col("first").cast("long"), F.col("last").cast("long"), value.alias("score"))
+    return listed(fits, score).unionByName(listed(cut, F.col("score")))
 
 
 def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:

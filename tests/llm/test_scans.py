@@ -32,6 +32,16 @@ def test_licenses(spark):
     assert got[7].licenses[0].score == 1.0 > got[8].licenses[0].score
 
 
+def test_licenses_repeated(spark):
+    """Notices that follow one another closely, word by word or each with a word put in."""
+    texts = ["All rights reserved. " * 4, "see " + "Mozilla Public License " * 7 + "end", "all rights reserved " * 3, "x " + "gnu lesser big general public license " * 5, "all public rights mozilla reserved license " * 5]
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(x.first, x.last, x.label, x.score) for x in got[0]] == [(i, i + 3, "proprietary", 1.0) for i in range(0, 12, 3)]
+    assert [(x.first, x.label) for x in got[1]] == [(i, "mpl") for i in range(1, 22, 3)]
+    assert {x.label for x in got[2]} == {"proprietary"} and not got[4]
+    assert "lgpl" in {x.label for x in got[3]}
+
+
 def test_licenses_edge(edge):
     assert licenses.license_scan(edge).count() == edge.count() and licenses.license_scan(edge.limit(0)).count() == 0
 
