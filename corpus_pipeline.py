@@ -15,8 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, rid of the boilerplate lines of their source; n_chars follows the text."""
-    kept = lines.without_boilerplate(docs)
+    """All documents, rid of the boilerplate lines of their source, in which exact copies count as one page; n_chars follows the text."""
+    kept = lines.without_boilerplate(docs, copies=False)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 

@@ -5,8 +5,11 @@ boilerplate where at least `least_pages` pages and more than `ratio` of all page
 stands on that host. A host has fewer than (lines of its mean page) / ratio such lines, so they travel as one array per
 host: by broadcast where all arrays together stay under `broadcast_bytes`, else by a join that splits hot hosts.
 
+With `copies` false, pages of a host that have one text count as one page, in the line's pages as in all pages: the
+lines of a group of exact copies are then no boilerplate for being copied.
+
 Defined results: a null text stays null and has no lines; blank lines are never boilerplate; null hosts form one host;
-repeated rows are pages of their own; a page that loses every line keeps an empty text; an empty table stays empty.
+repeated rows are pages of their own unless `copies` is false; a page that loses every line keeps an empty text; an empty table stays empty.
 Line breaks are \\n.
 """
 from __future__ import annotations
@@ -24,10 +27,13 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(F.translate(line, "\t", " ")))
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
     """host and keys: the hashes of its boilerplate lines."""
     rows = pages.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(host_col).isNull().alias("nohost"),
-                        F.array_distinct(F.transform(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.trim(F.translate(x, "\t", " ")) != ""), _key)).alias("keys"))
+                        F.array_distinct(F.transform(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.trim(F.translate(x, "\t", " ")) != ""), _key)).alias("keys"),
+                        *([] if copies else [F.sha2(F.col(text_col), 256).alias("page")]))
+    if not copies:  # a null text has no lines but is a page
+        rows = rows.groupBy("host", "nohost", "page").agg(F.first("keys").alias("keys"))
     lines = rows.select("host", "nohost", F.explode("keys").alias("key")).groupBy("host", "nohost", "key").agg(F.count(F.lit(1)).alias("n"))
     totals = rows.groupBy("host", "nohost").agg(F.count(F.lit(1)).alias("total"))
     return lines.where(F.col("n") >= least_pages).join(totals, ["host", "nohost"]).where(F.col("n") > F.col("total") * ratio) \
@@ -35,11 +41,11 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
 
 
 def without_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
-                        least_pages: int = LEAST_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                        least_pages: int = LEAST_PAGES, broadcast_bytes: int = BROADCAST_BYTES, copies: bool = True) -> DataFrame:
     """Every row with its text rid of boilerplate lines, n_lines and n_dropped."""
     inner = sealed(pages)
     host, text = (f"_c{pages.columns.index(c)}" for c in (host_col, text_col))
-    common = stored(boilerplate(inner, host, text, ratio, least_pages))
+    common = stored(boilerplate(inner, host, text, ratio, least_pages, copies))
     size = common.agg(F.sum(F.size("keys") * 8 + F.octet_length("host") + 32)).first()[0] or 0
     side = F.broadcast(common) if size <= broadcast_bytes else common
     rows = inner.withColumns({"host": F.coalesce(F.col(host).cast("string"), F.lit("")), "nohost": F.col(host).isNull()})

@@ -26,6 +26,18 @@ def test_query(spark, name):
         assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_pipeline_keeps_copies(spark):
+    """A group of exact copies keeps its text through the line stage and ends as one document; site lines still go."""
+    text = "\n".join(f"line {k} of a clean document with words of its own" for k in range(8))
+    rows = [(i, text, "en", "s", len(text)) for i in range(5)]
+    rows += [(10 + i, f"Site line.\npage {i} is about thing {i * i} and nothing else at all", "en", "s", 60) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.line_dedup(spark, docs, SF)
+    by = {r.doc_id: r.text for r in kept.collect()}
+    assert all(by[i] == text for i in range(5)) and not any("Site line." in by[10 + i] for i in range(40))
+    assert [r.doc_id for r in corpus_pipeline.jaccard_join(spark, kept, SF).where("doc_id < 10").collect()] == [0]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, {}
