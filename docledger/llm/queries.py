@@ -1,12 +1,13 @@
 """The registered query of each operator, with production parameters, and SQL where it can express one."""
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docledger.llm import decontaminate, fingerprints, jaccard, language, licenses, lines, secrets, sharding, substrings, tokens
+from docledger.llm import decontaminate, fingerprints, jaccard, language, licenses, lines, manifest, periodic, secrets, sharding, substrings, tokens, vectors
 from docledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +180,89 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, low AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x) USING (doc_id)""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_vector_search", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+             AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i]), lambda a, b: a + b) AS score
+      FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL is the exact search. At its size the vectors fill few lists, all of which are searched; tests measure recall on many lists."""
+    return vectors.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+#: Unsigned CRC-32 of a decimal number in SQL, bit by bit.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}::VARCHAR, ''), lambda c: list_transform(range(0, 8), lambda b: ((ascii(c) >> b) & 1)::BIGINT)))),
+      lambda crc, bit: xor(crc >> 1, CASE WHEN (xor(crc, bit) & 1) = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT)"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({f})::VARCHAR))::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN {CRC_SQL.format('doc_id')} % 7 = 0 THEN 1 ELSE 0 END AS tamper FROM documents),
+l AS (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql('n_chars + tamper')} AS altered FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+nodes AS (SELECT lang, 0 AS level, pos AS i, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2, n),
+subroots AS (SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS m FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, place AS i, m AS n, subroot AS h FROM subroots
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+root AS (SELECT level AS height, h AS root FROM tops WHERE n = 1),
+steps AS (SELECT v.lang, v.pos, 0 AS tree, level, xor(v.pos >> level, 1) AS i, (v.pos >> level) & 1 AS odd FROM leaves v JOIN subroots s ON s.lang IS NOT DISTINCT FROM v.lang, range(0, s.height) AS r(level)
+  UNION ALL SELECT v.lang, v.pos, 1, level, xor(s.place >> level, 1), (s.place >> level) & 1 FROM leaves v JOIN subroots s ON s.lang IS NOT DISTINCT FROM v.lang, root, range(0, root.height) AS r(level)),
+marked AS (SELECT s.lang, s.pos, list((CASE WHEN coalesce(n.h, t.h) IS NULL THEN '' WHEN odd = 1 THEN 'L' ELSE 'R' END) || coalesce(n.h, t.h, '') ORDER BY s.tree, s.level) AS proof
+  FROM steps s LEFT JOIN nodes n ON s.tree = 0 AND n.lang IS NOT DISTINCT FROM s.lang AND n.level = s.level AND n.i = s.i
+  LEFT JOIN tops t ON s.tree = 1 AND t.level = s.level AND t.i = s.i GROUP BY s.lang, s.pos),
+folded AS (SELECT v.*, subroot, root, coalesce(proof, []) AS proof, list_reduce(list_prepend(altered, coalesce(proof, [])),
+    lambda a, e: sha256(CASE WHEN e[1] = 'L' THEN e[2:] || a ELSE a || e[2:] END)) AS folded_root
+  FROM leaves v JOIN subroots s ON s.lang IS NOT DISTINCT FROM v.lang CROSS JOIN root LEFT JOIN marked m ON m.lang IS NOT DISTINCT FROM v.lang AND m.pos = v.pos)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda e: e[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    altered = F.when(tampered, manifest.leaf_hash([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text")]))
+    proofs, root = manifest.manifest(docs, docs.columns, "lang", "doc_id", {"altered": altered})
+    folded = proofs.withColumn("folded_root", manifest.fold(F.coalesce("altered", "leaf"), F.col("proof")))
+    return folded.select(F.col("id").alias("doc_id"), "leaf", "subroot", F.lit(root).alias("root"), F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document (by a hash of its id) from some place on, replaced by a repetition of the first of them."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op13_periodic_runs", f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC_SQL.format('doc_id')} AS h FROM documents),
+e AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d),
+x AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] ELSE w[i + 1] END) ELSE w END AS w FROM e),
+words AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM x),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(0, n - 4)) AS i FROM x WHERE n >= 6)),
+periods AS (SELECT DISTINCT a.doc_id, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i > a.i AND (b.i - a.i) * 4 <= a.n),
+same AS (SELECT p.doc_id, q, a.i, a.i - row_number() OVER (PARTITION BY p.doc_id, q ORDER BY a.i) AS island FROM periods p JOIN words a USING (doc_id) JOIN words b ON b.doc_id = a.doc_id AND b.i = a.i + q AND b.word = a.word),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS length FROM same GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM stretch r WHERE NOT EXISTS (SELECT 1 FROM stretch o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.length >= r.s + r.length)),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / q DESC, s, q) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, b.length::BIGINT AS length, q::BIGINT AS period, (1000 * b.length // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN listed USING (doc_id) LEFT JOIN best b ON b.doc_id = x.doc_id LEFT JOIN kept k ON k.doc_id = x.doc_id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), edit=repeated_tail)
+    lines_of = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+                        F.floor(F.lit(1000) * F.col("strongest.length") / F.col("strongest.period")).alias("exponent_milli"),
+                        F.sha2(F.when(F.size("runs") > 0, F.concat(lines_of, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
