@@ -134,13 +134,16 @@ def fit(sample: np.ndarray, norm: float, lists: int, k: int, target: float = TAR
     graph = Graph.of(_balanced(points, lists, rng), norm)
     if lists > 1:
         asked = rng.choice(len(sample), min(MEASURED, len(sample)), replace=False)
-        scores = sample[asked] @ sample.T
-        scores[np.arange(len(asked)), asked] = -np.inf
-        true = np.argsort(-scores, axis=1)[:, :min(k, len(sample) - 1)]
-        distance = np.sqrt(_squared(graph.raised(sample[asked], query=True), graph.centroids))
-        nearest = np.maximum(distance.min(1), 1e-12)
-        homes = dict(zip(np.unique(true).tolist(), graph.homes(points[np.unique(true)])))
-        need = np.array([[distance[i, homes[j]].min() / nearest[i] for j in row] for i, row in enumerate(true.tolist())])
+        need = []
+        for i in range(0, len(asked), 32):  # few rows at a time, the driver is small
+            part = asked[i:i + 32]
+            scores = sample[part] @ sample.T
+            scores[np.arange(len(part)), part] = -np.inf
+            true = np.argpartition(-scores, min(k, len(sample) - 1) - 1, axis=1)[:, :min(k, len(sample) - 1)]
+            distance = np.sqrt(_squared(graph.raised(sample[part], query=True), graph.centroids))
+            ids = np.unique(true)
+            homes = dict(zip(ids.tolist(), graph.homes(points[ids])))
+            need += [d[homes[j]].min() / max(d.min(), 1e-12) for d, row in zip(distance, true.tolist()) for j in row]
         graph.ratio = max(1.0, float(np.quantile(need, target))) * (1 + 1e-9)
     return graph
 
