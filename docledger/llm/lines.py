@@ -5,11 +5,12 @@ boilerplate where at least `least_pages` pages and more than `ratio` of all page
 stands on that host. A host has fewer than (lines of its mean page) / ratio such lines, so they travel as one array per
 host: by broadcast where all arrays together stay under `broadcast_bytes`, else by a join that splits hot hosts.
 
-With `copies` false, pages of a host that have one text count as one page, in the line's pages as in all pages: the
-lines of a group of exact copies are then no boilerplate for being copied.
+Copies of a document must not make it boilerplate. Lines that many pages carry are candidates first; a page of which
+candidates make more than `REPEAT_SHARE` of the characters repeats other pages, exactly or nearly. All such pages of a host
+count as one, in a line's pages as in all pages, so that a line is boilerplate for the different pages that carry it.
 
 Defined results: a null text stays null and has no lines; blank lines are never boilerplate; null hosts form one host;
-repeated rows are pages of their own unless `copies` is false; a page that loses every line keeps an empty text; an empty table stays empty.
+repeated rows are pages of their own; a page that loses every line keeps an empty text; an empty table stays empty.
 Line breaks are \\n.
 """
 from __future__ import annotations
@@ -23,34 +24,50 @@ LEAST_PAGES = 3
 BROADCAST_BYTES = 16 << 20
 
 
-def _key(line: Column) -> Column:
-    return F.xxhash64(F.trim(F.translate(line, "\t", " ")))
+#: Share of a page's characters above which common lines make it a repetition of other pages.
+REPEAT_SHARE = 0.5
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
-    """host and keys: the hashes of its boilerplate lines."""
-    rows = pages.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(host_col).isNull().alias("nohost"),
-                        F.array_distinct(F.transform(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.trim(F.translate(x, "\t", " ")) != ""), _key)).alias("keys"),
-                        *([] if copies else [F.sha2(F.col(text_col), 256).alias("page")]))
-    if not copies:  # a null text has no lines but is a page
-        rows = rows.groupBy("host", "nohost", "page").agg(F.first("keys").alias("keys"))
-    lines = rows.select("host", "nohost", F.explode("keys").alias("key")).groupBy("host", "nohost", "key").agg(F.count(F.lit(1)).alias("n"))
-    totals = rows.groupBy("host", "nohost").agg(F.count(F.lit(1)).alias("total"))
-    return lines.where(F.col("n") >= least_pages).join(totals, ["host", "nohost"]).where(F.col("n") > F.col("total") * ratio) \
-        .groupBy("host", "nohost").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+def _trimmed(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t", " "))
+
+
+def _side(common: DataFrame, broadcast_bytes: int) -> DataFrame:
+    size = common.agg(F.sum(F.size("keys") * 8 + F.octet_length("host") + 32)).first()[0] or 0
+    return F.broadcast(common) if size <= broadcast_bytes else common
+
+
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """host, nohost and keys: the hashes of the host's boilerplate lines."""
+    site = ["host", "nohost"]
+    trimmed = F.filter(F.transform(F.split(F.col(text_col), "\n"), _trimmed), lambda x: x != "")
+    rows = stored(pages.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(host_col).isNull().alias("nohost"),
+                               F.array_distinct(F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("key"), F.length(x).alias("size")))).alias("lines")))
+
+    def frequent(counts: DataFrame, totals: DataFrame) -> DataFrame:
+        return counts.where(F.col("n") >= least_pages).join(totals, site).where(F.col("n") > F.col("total") * ratio) \
+            .groupBy(*site).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+    counts = rows.select(*site, F.explode("lines.key").alias("key")).groupBy(*site, "key").agg(F.count(F.lit(1)).alias("n"))
+    candidates = stored(frequent(counts, rows.groupBy(*site).agg(F.count(F.lit(1)).alias("total"))))
+    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    marked = rows.join(_side(candidates, broadcast_bytes), site, "left") \
+        .withColumn("common", F.when(F.col("keys").isNotNull(), F.filter("lines", lambda x: F.array_contains(F.col("keys"), x["key"])))) \
+        .select(*site, "common.key", F.coalesce(chars(F.col("common")) > chars(F.col("lines")) * REPEAT_SHARE, F.lit(False)).alias("repeats"))
+    as_one = F.count_if(~F.col("repeats")) + F.max(F.col("repeats").cast("int"))
+    own = marked.groupBy(*site).agg(as_one.alias("total"))
+    return frequent(marked.select(*site, "repeats", F.explode("key").alias("key")).groupBy(*site, "key").agg(as_one.alias("n")), own)
 
 
 def without_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
-                        least_pages: int = LEAST_PAGES, broadcast_bytes: int = BROADCAST_BYTES, copies: bool = True) -> DataFrame:
+                        least_pages: int = LEAST_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every row with its text rid of boilerplate lines, n_lines and n_dropped."""
     inner = sealed(pages)
     host, text = (f"_c{pages.columns.index(c)}" for c in (host_col, text_col))
-    common = stored(boilerplate(inner, host, text, ratio, least_pages, copies))
-    size = common.agg(F.sum(F.size("keys") * 8 + F.octet_length("host") + 32)).first()[0] or 0
-    side = F.broadcast(common) if size <= broadcast_bytes else common
+    side = _side(stored(boilerplate(inner, host, text, ratio, least_pages, broadcast_bytes)), broadcast_bytes)
     rows = inner.withColumns({"host": F.coalesce(F.col(host).cast("string"), F.lit("")), "nohost": F.col(host).isNull()})
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("keys"), _key(x)))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("keys"), F.xxhash64(_trimmed(x))))
     out = rows.join(side, ["host", "nohost"], "left") \
         .withColumn("kept", F.when(F.col("keys").isNull(), lines).otherwise(kept)) \
         .withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_kept": F.coalesce(F.size("kept"), F.lit(0)).cast("long")}) \

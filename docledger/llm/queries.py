@@ -58,14 +58,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return tokens.encode(docs, path, public_tokenizers.PATTERN, with_ids=False).drop("text")
+    return tokens.encode(docs, path, public_tokenizers.PATTERN, with_ids=False, keep_text=False)
 
 
 @query("op4_line_dedup", """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, source IS NULL AS nohost, string_split(text, chr(10)) AS lines, row_number() OVER () AS page FROM documents),
 t AS (SELECT host, nohost, count(*) AS total FROM d GROUP BY ALL),
-l AS (SELECT DISTINCT page, host, nohost, trim(translate(line, chr(9), ' ')) AS line FROM (SELECT page, host, nohost, unnest(lines) AS line FROM d)),
-bad AS (SELECT host, nohost, line FROM l JOIN t USING (host, nohost) WHERE line <> '' GROUP BY host, nohost, line, total HAVING count(*) >= 3 AND count(*) > total * 0.02),
+l AS (SELECT DISTINCT page, host, nohost, trim(translate(line, chr(9), ' ')) AS line FROM (SELECT page, host, nohost, unnest(lines) AS line FROM d) WHERE trim(translate(line, chr(9), ' ')) <> ''),
+many AS (SELECT host, nohost, line FROM l JOIN t USING (host, nohost) GROUP BY host, nohost, line, total HAVING count(*) >= 3 AND count(*) > total * 0.02),
+r AS (SELECT page, sum(CASE WHEN many.line IS NULL THEN 0 ELSE length(l.line) END) > 0.5 * sum(length(l.line)) AS repeats FROM l LEFT JOIN many USING (host, nohost, line) GROUP BY page),
+own AS (SELECT host, nohost, count(*) FILTER (NOT coalesce(repeats, false)) + max(coalesce(repeats, false)::INT) AS total FROM d LEFT JOIN r USING (page) GROUP BY host, nohost),
+bad AS (SELECT host, nohost, line FROM l JOIN many USING (host, nohost, line) JOIN r USING (page) JOIN own USING (host, nohost) GROUP BY host, nohost, line, total
+        HAVING count(*) FILTER (NOT repeats) + max(repeats::INT) >= 3 AND count(*) FILTER (NOT repeats) + max(repeats::INT) > total * 0.02),
 arrays AS (SELECT host, nohost, list(line) AS gone FROM bad GROUP BY ALL),
 k AS (SELECT doc_id, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(gone, trim(translate(x, chr(9), ' ')))) END AS kept
       FROM d LEFT JOIN arrays USING (host, nohost))
@@ -78,7 +82,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan(docs, secrets.train(docs))
+    found = secrets.scan(docs, secrets.train(docs), keep_text=False)
     listed = lambda kinds: F.array_join(F.transform(F.filter("found", lambda x: x["kind"].isin(*kinds)),
                                                     lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")

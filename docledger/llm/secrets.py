@@ -3,8 +3,9 @@
 Fixed patterns give the base spans. The field tags each token as begin, inside or outside of a secret from its shape,
 the shapes and keywords of its neighbours and the density of digits in the document; Viterbi decodes the best
 sequence. It is trained here by maximum likelihood on tokens that the base patterns mark in a bounded sample
-(`SAMPLE_DOCS` documents in expectation, `SAMPLE_CHARS` characters each); half of them hide keywords and half whole shapes, so that
-each clue has to carry weight by itself. Spans of the field that overlap no base span are added with the kind `crf`.
+(windows of `SAMPLE_DOCS` documents in expectation); half of them hide keywords and half whole shapes, so that each clue
+has to carry weight by itself. Spans of the field are added with the kind `crf`; where they overlap base spans, what is
+left of them is added if it has `LEAST["assign"]` characters.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; with nothing to learn from
 (no base span in the sample) the field adds nothing. Positions count code points, ends are exclusive.
@@ -12,12 +13,13 @@ Defined results: null and empty texts have no spans; repeated rows are scanned o
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docledger.llm.common import sealed, slices, unsealed
+from docledger.llm.common import sealed, slices, stored
 
 #: The base patterns, in the order in which ties are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -27,8 +29,13 @@ KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 SAMPLE_DOCS = 600
-SAMPLE_CHARS = 20_000
+#: Characters that a window shows on both sides of a base span, and characters that the windows of a document have at most.
+WINDOW, SAMPLE_CHARS = 1_000, 20_000
+#: Documents drawn at first for each one wanted; more are drawn as long as too few of them have a keyword or a long hex run.
+DRAWN = 8
 STEPS = 40
+#: Tokens of a training sequence.
+SEQUENCE = 200
 TAGS = 3  # begin, inside, outside
 OUTSIDE = 2
 SHAPES = 6 * 32
@@ -194,7 +201,8 @@ def fit(features: np.ndarray, tags: np.ndarray, first: np.ndarray) -> tuple[np.n
         marginal = np.exp(marginal - _soft(marginal, 1)[:, None]) - eye[tags]
         gradient = np.zeros_like(weights)
         for column in range(features.shape[1]):
-            np.add.at(gradient, features[:, column], marginal)
+            for tag in range(TAGS):
+                gradient[:, tag] += np.bincount(features[:, column], marginal[:, tag], FEATURES)
         for x, g, m, v in ((weights, gradient / n_tokens + 1e-6 * weights, *state[:2]), (change, pair / n_tokens, *state[2:])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -202,20 +210,77 @@ def fit(features: np.ndarray, tags: np.ndarray, first: np.ndarray) -> tuple[np.n
     return weights, change
 
 
+def cut_sequences(first: np.ndarray, tags: np.ndarray, length: int = SEQUENCE) -> np.ndarray:
+    """Starts of sequences of about `length` tokens, never cut within a secret; a step of `fit` goes token by token through the longest."""
+    starts = []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        starts.append(a)
+        while starts[-1] + 2 * length < b:
+            cut = starts[-1] + length
+            while cut < b and tags[cut] == 1:
+                cut += 1
+            if cut == b:
+                break
+            starts.append(cut)
+    return np.array([*starts, int(first[-1])])
+
+
 def _core(tokens: Tokens, a: int, b: int) -> tuple[int, int]:
     inner = np.flatnonzero(tokens.core[a:b])
     return (a + int(inner[0]), a + int(inner[-1]) + 1) if len(inner) else (a, a)
 
 
+def windows(text: str) -> str:
+    """The text if it is short, else its stretches around base spans (or, without any, some stretch of it), taken from anywhere in it."""
+    if len(text) <= SAMPLE_CHARS:
+        return text
+    spans = base_spans(text, np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    if not spans:
+        at = zlib.crc32(text.encode()) % (len(text) - SAMPLE_CHARS + 1)
+        return text[at:at + SAMPLE_CHARS]
+    turn = zlib.crc32(text.encode()) % len(spans)
+    taken, size = [], 0
+    for start, _, end in spans[turn:] + spans[:turn]:
+        if size and size + end - start + 2 * WINDOW > SAMPLE_CHARS:
+            break
+        taken.append((max(start - WINDOW, 0), min(end + WINDOW, len(text))))
+        size += taken[-1][1] - taken[-1][0]
+    merged: list[list[int]] = []
+    for start, end in sorted(taken):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    return "\n".join([text[start:end] for start, end in merged])
+
+
+def _sample(docs: DataFrame, text_col: str, sample_docs: int) -> list[str]:
+    """Windows of `sample_docs` different documents in expectation, half of them with a keyword or a long hex run."""
+    scale = 1 << 40
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(scale)))
+    marked = F.col("text").rlike(r"[0-9a-f]{32}|AKIA[A-Z0-9]{12}|(?i:password|passwd|secret|token|api_?key)")
+    total, share = docs.count(), DRAWN * sample_docs
+    while True:
+        limit = scale if share >= total else scale * share // total
+        # the pattern is tried on the drawn texts only
+        drawn = stored(rows.where(F.col("draw") < limit).withColumn("marked", marked), 1)
+        counts = {r.marked: r["count"] for r in drawn.groupBy("marked").count().collect()}
+        if limit == scale or counts.get(True, 0) >= sample_docs // 2 <= counts.get(False, 0):
+            break
+        share *= 8
+    bound = {m: int(limit * min(1.0, sample_docs / 2 / n)) for m, n in counts.items()}
+    chosen = drawn.where(F.when(F.col("marked"), F.col("draw") < bound.get(True, 0)).otherwise(F.col("draw") < bound.get(False, 0)))
+
+    def cut(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([windows(t) for t in batch.column("text").to_pylist()], pa.string())], ["text"])
+
+    return sorted({r.text for r in chosen.select("text").mapInArrow(cut, "text string").collect()})
+
+
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights from a sample of `sample_docs` documents in expectation, half of them with a keyword or a long hex run."""
-    rows = docs.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text")).where(F.col("text").isNotNull()) \
-        .withColumn("marked", F.col("text").rlike(r"[0-9a-f]{32}|AKIA[A-Z0-9]{12}|(?i:password|passwd|secret|token|api_?key)"))
-    counts = {r.marked: r["count"] for r in rows.groupBy("marked").count().collect()}
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    limit = {m: int((1 << 20) * min(1.0, sample_docs / 2 / n)) for m, n in counts.items()}
-    chosen = rows.where(F.when(F.col("marked"), draw < limit.get(True, 0)).otherwise(draw < limit.get(False, 0))).distinct()
-    texts = sorted(r.text for r in chosen.select("text").collect())
+    """Weights from windows of `sample_docs` documents in expectation, half of them with a keyword or a long hex run."""
+    texts = _sample(docs, text_col, sample_docs)
     if not texts:
         return None
     tokens = Tokens(texts)
@@ -231,12 +296,25 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
             tags[a:a + 1] = 0
     if (tags == OUTSIDE).all():
         return None
-    return fit(tokens.features(training=True), tags, tokens.first)
+    return fit(tokens.features(training=True), tags, cut_sequences(tokens.first, tags))
 
 
-def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col: str = "text") -> DataFrame:
-    """Every row with `found`: start, end and kind of each span in order of start, then kind."""
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of start..end without the spans."""
+    left = []
+    for s, e in sorted(spans):
+        if s < end and start < e:
+            if start < s:
+                left.append((start, s))
+            start = max(start, e)
+    return left + ([(start, end)] if start < end else [])
+
+
+def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """Every row (without its text unless `keep_text` is set) with `found`: start, end and kind of each span in order of start, then kind."""
     text = f"_c{docs.columns.index(text_col)}"
+    inner = sealed(docs.withColumn(text_col, F.col(text_col).cast("string")))
+    others = [c for c in inner.columns if keep_text or c != text]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -260,14 +338,16 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text_col:
                     while last + 1 < b and tags[last + 1] != OUTSIDE and tokens.doc[last + 1] == tokens.doc[a]:
                         last += 1
                     d = int(tokens.doc[a])
+                    base, shift = [(s, e) for s, k, e in spans[d] if k < 3], int(tokens.begin[d])
                     start, end = _core(tokens, int(tokens.start[a]), int(tokens.end[last]))
-                    start, end = start - int(tokens.begin[d]), end - int(tokens.begin[d])
-                    if start < end and not any(s < end and start < e for s, k, e in spans[d] if k < 3):
-                        spans[d].append((start, 3, end))
+                    parts = outside(start - shift, end - shift, base) if start < end else []
+                    if len(parts) != 1 or parts[0] != (start - shift, end - shift):  # cut by base spans
+                        parts = [(s - shift, e - shift) for s, e in (_core(tokens, s + shift, e + shift) for s, e in parts) if e - s >= LEAST["assign"]]
+                    spans[d] += [(s, 3, e) for s, e in parts]
             found = [[{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in sorted(x)] for x in spans]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(found, kind)], [*others, "found"])
 
-    inner = sealed(docs.withColumn(text_col, F.col(text_col).cast("string")))
-    schema = inner.withColumn("found", F.array().cast("array<struct<start:long,end:long,kind:string>>")).schema
-    return unsealed(inner.mapInArrow(run, schema), docs.columns, "found")
+    schema = inner.select(*others).withColumn("found", F.array().cast("array<struct<start:long,end:long,kind:string>>")).schema
+    own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if f"_c{i}" in others and c != "found"]
+    return inner.mapInArrow(run, schema).select(*own, "found")

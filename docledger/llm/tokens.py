@@ -13,6 +13,8 @@ Defined results: null and empty texts have no tokens; repeated rows are encoded
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
 import heapq
 
@@ -95,6 +97,7 @@ class Coder:
         self.db.register("v", words)
         self.db.execute("CREATE TABLE merges AS FROM m; CREATE TABLE vocabulary AS FROM v")
         self.known = np.fromiter(ranks.values(), np.int64)
+        self.token = {r: t for t, r in ranks.items()}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.forget()
 
@@ -122,7 +125,7 @@ class Coder:
                     continue
                 raw = p.encode()
                 if raw in self.ranks:
-                    self._keep(p, str(self.ranks[raw]), raw, raw)
+                    self._keep(p, str(self.ranks[raw]), raw, self.token[self.ranks[raw]])
                 elif len(raw) > LONG_PIECE:
                     ids = _merged(raw, self.ranks)
                     self._keep(p, ",".join(map(str, ids)), raw, self.decode([ids])[0])
@@ -143,7 +146,7 @@ class Coder:
                 self._keep(p, ids, raw, bytes.fromhex(token))
 
     def bytes_of(self, pieces: list[str]) -> bytes:
-        """What the ids of the pieces decode to."""
+        """What the ids of the pieces decode to; only pieces whose ids decode to other bytes are kept with them."""
         return b"".join([self.other[p] if p in self.other else p.encode() for p in pieces]) if self.other else "".join(pieces).encode()
 
     def decode(self, lists: list[list[int]]) -> list[bytes]:
@@ -163,6 +166,12 @@ def _coder(shared) -> Coder:
     digest, ranks, merges = shared.value
     cache = worker_cache(digest)
     if "coder" not in cache:
+        # what the operators before have left in this worker goes back to the system first
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
         cache["coder"] = Coder(ranks, merges, digest)
     return cache["coder"]
 
@@ -173,17 +182,21 @@ def _shared(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast((digest, ranks, merge_table(ranks)))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True, kept_pieces: int = KEPT_PIECES) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True, kept_pieces: int = KEPT_PIECES,
+           keep_text: bool = True) -> DataFrame:
     """Every row with n_tokens, token_ids (where asked for), ids_sha256 and decoded_sha256.
 
     `path` is the rank file and `pattern` the split pattern of the tokenizer. The hashes are those of the decimal
-    ids joined by commas and of the bytes that the ids decode to. A worker keeps up to twice `kept_pieces` pieces.
+    ids joined by commas and of the bytes that the ids decode to. A worker keeps up to twice `kept_pieces` pieces. The
+    text itself is left out of the result unless `keep_text` is set.
     """
     text, shared = f"_c{docs.columns.index(text_col)}", _shared(docs, path)
     added = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
     if with_ids:
         added["token_ids"] = F.array().cast("array<int>")
     names = list(added)
+    inner = sealed(docs.withColumn(text_col, F.col(text_col).cast("string")))
+    others = [c for c in inner.columns if keep_text or c != text]
 
     def run(batches):
         import regex
@@ -200,11 +213,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", wit
                 decoded.append(hashlib.sha256(coder.bytes_of(pieces)).hexdigest())
                 if with_ids:
                     ids.append(np.fromstring(line, np.int32, sep=",") if line else np.zeros(0, np.int32))
-            columns = [*batch.columns, pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), [*batch.schema.names, *names])
+            columns = [*[batch.column(c) for c in others], pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), [*others, *names])
 
-    inner = sealed(docs.withColumn(text_col, F.col(text_col).cast("string")))
-    return unsealed(inner.mapInArrow(run, inner.withColumns(added).schema), docs.columns, *names)
+    found = inner.mapInArrow(run, inner.select(*others).withColumns(added).schema)
+    own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if f"_c{i}" in others and c not in names]
+    return found.select(*own, *names)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:

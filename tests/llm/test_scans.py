@@ -1,8 +1,10 @@
 """Licenses, benchmark passages, secrets, shards, languages and tokens against brute force."""
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 import tiktoken
@@ -121,8 +123,63 @@ def test_viterbi_against_enumeration():
         assert tuple(tags[a:b]) == max(itertools.product(range(3), repeat=b - a), key=value)
 
 
+def test_secrets_windows():
+    """The sample sees base spans anywhere in a long text, and what is left of a span beside base spans is kept."""
+    long = "word " * 30_000 + "password = hunter2hunter2 " + "word " * 30_000
+    assert "password = hunter2hunter2" in secrets.windows(long) and len(secrets.windows(long)) <= secrets.SAMPLE_CHARS
+    assert len(secrets.windows("a b " * 30_000)) == secrets.SAMPLE_CHARS and secrets.windows("short") == "short"
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 4)))]
+        start = rng.randint(0, 30)
+        end = start + rng.randint(1, 20)
+        left = set(range(start, end)) - {i for a, b in spans for i in range(a, b)}
+        assert {i for a, b in secrets.outside(start, end, spans) for i in range(a, b)} == left
+
+
+def test_secrets_sequences():
+    tags = np.full(100, secrets.OUTSIDE)
+    tags[18:24] = 1
+    tags[18] = 0
+    assert secrets.cut_sequences(np.array([0, 70, 70, 75, 100]), tags, 20).tolist() == [0, 24, 44, 70, 70, 75, 100]
+
+
+def test_secrets_gradient():
+    """One step of fit moves each weight against the sign of the likelihood's numeric gradient."""
+    rng = np.random.default_rng(1)
+    first, n = np.array([0, 3, 3, 7]), 7
+    features = rng.integers(0, secrets.FEATURES, (n, 2))
+    tags = np.array([0, 1, 2, 2, 0, 1, 1])
+    change = np.zeros((3, 3))
+    change[secrets.OUTSIDE, 1] = -8.0
+
+    def loss(weights):
+        total = 0.0
+        for a, b in zip(first, first[1:]):
+            if a == b:
+                continue
+            emission = weights[features[a:b]].sum(1)
+            score = lambda ys: sum(emission[t, y] + change[secrets.OUTSIDE if t == 0 else ys[t - 1], y] for t, y in enumerate(ys))
+            total += np.log(sum(np.exp(score(ys)) for ys in itertools.product(range(3), repeat=int(b - a)))) - score(tags[a:b].tolist())
+        return total
+
+    steps, secrets.STEPS = secrets.STEPS, 1
+    try:
+        weights, _ = secrets.fit(features, tags, first)
+    finally:
+        secrets.STEPS = steps
+    for f in np.unique(features):
+        for tag in range(3):
+            up = np.zeros((secrets.FEATURES, 3))
+            up[f, tag] = 1e-5
+            numeric = (loss(up) - loss(-up)) / 2e-5
+            assert abs(numeric) < 1e-6 or np.sign(weights[f, tag]) == -np.sign(numeric)
+
+
 def test_secrets_edge(edge):
-    assert secrets.scan(edge, secrets.train(edge)).count() == edge.count()
+    got = secrets.scan(edge, secrets.train(edge))
+    assert got.columns == [*edge.columns, "found"] and sorted(str(r.text) for r in got.collect()) == sorted(str(r.text) for r in edge.collect())
+    assert all(not any(x.kind != "crf" for x in r.found) for r in got.collect())
     assert secrets.train(edge.limit(0)) is None and secrets.scan(edge.limit(0), None).count() == 0
 
 
