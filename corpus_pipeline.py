@@ -15,8 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, rid of the boilerplate lines of their source, in which exact copies count as one page; n_chars follows the text."""
-    kept = lines.without_boilerplate(docs, copies=False)
+    """All documents, rid of the boilerplate lines of their source; n_chars follows the text."""
+    kept = lines.without_boilerplate(docs)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
@@ -34,7 +34,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the token ids of each document, with the hashes of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     # executors that ran the stages before have less memory to spare, so workers keep fewer pieces and merge more of them anew
-    return tokens.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, kept_pieces=150_000).drop("text")
+    return tokens.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, kept_pieces=150_000, keep_text=False)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
