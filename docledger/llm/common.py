@@ -1,6 +1,8 @@
 """Helpers shared by the corpus operators: words and their hashes, bounded slices, shared tables."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -76,6 +78,15 @@ def worker_cache(owner: str | None) -> dict:
     return held.cache if owner else {}
 
 
+def trim() -> None:
+    """Give memory that this worker has freed back to the system, so that idle workers of an executor stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about `limit` bytes of text at most; a longer text is a slice of its own."""
     worker_cache(owner)
@@ -88,6 +99,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20,
                 yield batch.slice(a, b - a)
             del batch
             pa.default_memory_pool().release_unused()
+    trim()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

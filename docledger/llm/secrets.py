@@ -263,7 +263,7 @@ def _sample(docs: DataFrame, text_col: str, sample_docs: int) -> list[str]:
     while True:
         limit = scale if share >= total else scale * share // total
         # the pattern is tried on the drawn texts only
-        drawn = stored(rows.where(F.col("draw") < limit).withColumn("marked", marked), 1)
+        drawn = stored(rows.where(F.col("draw") < limit).withColumn("marked", marked))
         counts = {r.marked: r["count"] for r in drawn.groupBy("marked").count().collect()}
         if limit == scale or counts.get(True, 0) >= sample_docs // 2 <= counts.get(False, 0):
             break

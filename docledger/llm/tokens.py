@@ -13,8 +13,6 @@ Defined results: null and empty texts have no tokens; repeated rows are encoded
 from __future__ import annotations
 
 import base64
-import ctypes
-import gc
 import hashlib
 import heapq
 
@@ -22,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docledger.llm.common import sealed, slices, unsealed, worker_cache
+from docledger.llm.common import sealed, slices, trim, unsealed, worker_cache
 
 LONG_PIECE = 256
 #: Pieces that a worker keeps in each of two generations.
@@ -166,12 +164,7 @@ def _coder(shared) -> Coder:
     digest, ranks, merges = shared.value
     cache = worker_cache(digest)
     if "coder" not in cache:
-        # what the operators before have left in this worker goes back to the system first
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        trim()  # what the operators before have left in this worker goes back to the system first
         cache["coder"] = Coder(ranks, merges, digest)
     return cache["coder"]
 
