@@ -83,12 +83,13 @@ def dedup_decision(incoming: DataFrame, library: DataFrame, links: DataFrame) ->
         F.max("version").alias("same_version"), F.max_by("id", "version").alias("same_id"))
     # read three times below: keep the narrow joined rows instead of joining again
     rows = skew.pinned(rows.join(heads, "policy_key", "left").join(same, ["policy_key", "content_sha256"], "left"))
-    founders = rows.where("lib_version IS NULL AND _stays").groupBy("policy_key").agg(F.min("arrival").alias("founded_at"))
+    # written before they are joined: an aggregate of the same key would keep its exchange, which the skew split can't cut
+    founders = skew.pinned(rows.where("lib_version IS NULL AND _stays").groupBy("policy_key").agg(F.min("arrival").alias("founded_at")))
     rows = rows.join(founders, "policy_key", "left").withColumn(
         "adds", F.col("_stays") & F.col("same_version").isNull() & F.when(F.col("lib_version").isNull(),
                                                         F.coalesce(F.col("arrival") == F.col("founded_at"), F.lit(False)))
         .otherwise(F.col("origin_key").isNotNull()))
-    first = rows.where("adds").groupBy("policy_key", "content_sha256").agg(F.min("arrival").alias("first_at"))
+    first = skew.pinned(rows.where("adds").groupBy("policy_key", "content_sha256").agg(F.min("arrival").alias("first_at")))
     rows = rows.join(first, ["policy_key", "content_sha256"], "left").withColumn(
         "repeat", F.col("same_version").isNotNull() | F.coalesce(F.col("first_at") < F.col("arrival"), F.lit(False)))
     decision = F.when(F.col("repeat"), "duplicate_skip").when(~F.col("_stays"), "excluded") \

@@ -10,7 +10,7 @@ from docledger.plans.classify import RULES, VERDICT_SQL
 from docledger.plans.registry import query
 from docledger.session import ensure_checkpoint_dir
 from docledger.sources import sinks as K
-from docledger.streaming import streams as T
+from docledger.streaming import answers as A, streams as T
 
 
 def _scratch(spark) -> str:
@@ -147,3 +147,35 @@ def late_repost(spark, sf):
         T.ingest_batch(f"{root}/ledger", RULES)(now, turn)
     out = K.read_committed(spark, f"{root}/ledger", "fetch_records")
     return out.select((F.col("id") % 10**9).alias("id"), (F.floor(F.col("id") / 10**9) + 1).cast("int").alias("turn"), "outcome")
+
+
+#: Pages by id: 2 mod 4 are answered yes, 3 no; 0 get no answer and 1 one that comes a day late, so both fall back on the rules.
+_ANSWERED_SQL = INGEST_SQL.replace("judged AS (SELECT *, todo_type", "ruled AS (SELECT *, todo_type").replace(", k AS (SELECT j.*", """, judged AS (SELECT ruled.* REPLACE (
+    CASE id % 4 WHEN 2 THEN 'yes' WHEN 3 THEN 'no' ELSE CASE is_investment_policy WHEN 'no' THEN 'pending' ELSE is_investment_policy END END AS is_investment_policy,
+    CASE id % 4 WHEN 2 THEN 'review' WHEN 3 THEN 'none' ELSE 'system' END AS todo_type, id % 4 = 2 AS need_review, CASE id % 4 WHEN 3 THEN 'out of scope' ELSE reason END AS reason) FROM ruled), k AS (SELECT j.*""")
+
+
+def _answers(pages):
+    """Model answers derived from the pages: one chunk each, prompt or a day late."""
+    kind = F.col("page_id") % 4
+    yes = F.to_json(F.struct(F.lit("yes").alias("is_investment_policy"), F.array(F.lit("guide")).alias("category"), F.lit("").alias("evidence"), F.lit(False).alias("need_review"), F.lit(0.9).alias("confidence")))
+    no = F.to_json(F.struct(F.lit("no").alias("is_investment_policy"), F.array().cast("array<string>").alias("category"), F.lit("out of scope").alias("category_reason"), F.lit("正文").alias("evidence"),
+                            F.lit(False).alias("need_review"), F.lit(0.9).alias("confidence")))
+    at = F.when(kind == 1, F.lit("2026-01-02 00:00:00")).otherwise(F.lit("2026-01-01 00:20:00")).cast("timestamp")
+    return pages.where(kind > 0).select(F.col("page_id").alias("id"), F.lit(0).alias("chunk"), at.alias("at"), F.when(kind == 3, no).otherwise(yes).alias("body"))
+
+
+@query("str_model_answers", f"""WITH {_ANSWERED_SQL}, fin AS (SELECT *, outcome IN ('ingested', 'suspected_duplicate') AS stored FROM ledger)
+  SELECT id, outcome, CASE WHEN outcome = 'excluded' THEN reason ELSE '' END AS reason, CASE WHEN stored THEN policy_key END AS policy_key, CASE WHEN stored THEN todo_type END AS todo_type,
+    CASE WHEN stored THEN CASE WHEN need_review OR suspected OR is_investment_policy = 'pending' THEN 'pending' ELSE 'confirmed_auto' END END AS review_status,
+    CASE WHEN stored THEN CASE WHEN id % 4 < 2 THEN 'rule_fallback' ELSE 'llm' END END AS method, stored AND id % 4 = 1 AS retry FROM fin""")
+def model_answers(spark, sf):
+    """Pages wait for their answers (STR-1, CLS-11 to CLS-14) and end in the ledger; late answers are candidates for a retry (CLS-18)."""
+    root, chunk = _scratch(spark), 100_000
+    pages = fetched_pages(_stream(spark, sf, "pages"))
+    ended = A.ended_pages(A.questions(pages, F.lit("2026-01-01 00:00:00").cast("timestamp"), chunk), _answers(_stream(spark, sf, "pages")), 4 * 3600)
+    _batches(spark, ended, A.ended_batch(root, fetched_pages(B.table(spark, sf, "pages")), RULES, chunk_size=chunk))
+    ledger, stored = K.read_committed(spark, f"{root}/ledger", "fetch_records"), K.read_committed(spark, f"{root}/ledger", "policies")
+    retry = A.retry_candidates(spark, root).select("id", F.lit(True).alias("retry"))
+    return ledger.join(stored.select("id", "policy_key", "todo_type", "review_status", F.col("classification_method").alias("method")), "id", "left").join(retry, "id", "left") \
+        .select("id", "outcome", "reason", "policy_key", "todo_type", "review_status", "method", F.coalesce("retry", F.lit(False)).alias("retry"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from docledger.functions import skew, text as X
-from docledger.operators import identity as I, pages as G, rules as C
+from docledger.operators import identity as I, pages as G, responses as R, rules as C
+from docledger.operators.library import CATEGORY_NAMES, mapped
 from docledger.operators.ruleset import DEFAULT, RuleSet
 from docledger.sources import sinks as K
 
@@ -33,59 +34,100 @@ VARIANT_HINT = "同文号的其他来源内容不同，请核对转载或修订
 ATTACHMENT = "policy_id LONG, id LONG, name STRING, url STRING, sha256 STRING, parse_status STRING, parsed_text STRING, error STRING"
 
 
-def judged_pages(pages: DataFrame, attachments: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
+#: Characters of a chunk that a model answers for.
+CHUNK_SIZE = 10_000
+JUDGED_BY = ["classification_method", "fallback_reason"]
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """Documents of fetched pages under the page's id; a page without a title gets one that says so."""
+    return G.parse_pages(pages).withColumn("id", F.col("page_id")).withColumn("title", X.first_filled(X.text("title"), F.lit("待核实标题")))
+
+
+def model_verdicts(texts: DataFrame, answers: DataFrame, rules: RuleSet = DEFAULT, chunk_size: int = CHUNK_SIZE) -> DataFrame:
+    """Verdict of each document (id, title, content, parse_error, analysis_text): merged from its checked answers (id, chunk,
+    body), else by the rules and marked as fallback (CLS-11 to CLS-14)."""
+    chunks = R.chunk_text(texts.join(answers.select("id").distinct(), "id", "left_semi"), chunk_size, "analysis_text")
+    merged = skew.pinned(R.merge_chunks(R.validate_responses(answers, chunks)))
+    ruled = C.fallback_state(C.classify(texts.join(merged.select("id"), "id", "left_anti"), rules, "analysis_text"), merged.select("id"))
+    names = F.array_join(F.transform(F.filter(F.split("category", ","), lambda k: k != ""), lambda k: mapped(k, CATEGORY_NAMES, k)), ",")
+    said = texts.join(merged.withColumn("category_names", names).withColumn("fallback_reason", F.lit("")), "id")
+    columns = [*texts.columns, *C.VERDICT, "method", "fallback_reason"]
+    return ruled.select(*columns).unionByName(said.select(*columns))
+
+
+def judged_pages(pages: DataFrame, attachments: DataFrame, rules: RuleSet, answers: DataFrame | None = None, chunk_size: int = CHUNK_SIZE) -> tuple[DataFrame, DataFrame]:
     """Fetched pages to documents with verdict, gate and fingerprint, and the pages that gave none with the reason.
 
     `attachments` carry the page id as policy_id. Analysed is the body with the attachment texts (EXT-10).
     """
-    docs = skew.pinned(G.parse_pages(pages).withColumn("id", F.col("page_id")).withColumn("title", X.first_filled(X.text("title"), F.lit("待核实标题"))))
+    docs = skew.pinned(parsed_pages(pages))
     own = skew.pinned(attachments.join(docs.select(F.col("id").alias("policy_id")), "policy_id", "left_semi"))
     with_files = own.select(F.col("policy_id").alias("id")).distinct().withColumn("_files", F.lit(True))
     rows = docs.join(with_files, "id", "left").withColumn("_empty", (X.strip(X.text("content")) == "") & F.col("_files").isNull())
     failed = rows.where("_empty").select("id", "page_url", X.first_filled(X.text("parse_error"), F.lit(FAILED_EMPTY)).alias("reason"))
     docs = I.content_fingerprint(I.policy_key(rows.where("NOT _empty").drop("_empty", "_files")), own)
-    texts = G.analysis_text(docs, own)
-    verdict = C.classify(texts.select("id", "title", "content", "parse_error", "analysis_text"), rules, "analysis_text")
-    gated = C.review_status(C.material_gate(verdict, own)).select("id", *C.VERDICT, "review_status")
-    return docs.join(gated, "id"), failed
+    texts = G.analysis_text(docs, own).select("id", "title", "content", "parse_error", "analysis_text")
+    if answers is None:
+        verdict = C.classify(texts, rules, "analysis_text").withColumn("fallback_reason", F.lit(""))
+    else:
+        verdict = model_verdicts(skew.pinned(texts), answers, rules, chunk_size)
+    gated = C.review_status(C.material_gate(verdict, own)).withColumnRenamed("method", "classification_method")
+    return docs.join(gated.select("id", *C.VERDICT, *JUDGED_BY, "review_status"), "id"), failed
 
 
-def ingest_batch(root: str, rules: RuleSet = DEFAULT, attachments: DataFrame | None = None):
+def speaking_order(docs: DataFrame) -> DataFrame:
+    """Column `turn`: 1 for the page that speaks first for its URL in a batch, the first eligible one by id (without any, the
+    first one), and 2 for all others. The aggregate is written before it is joined, so that a URL with very many pages is dealt
+    over several tasks."""
+    speaker = skew.pinned(docs.groupBy("page_url").agg(F.min(F.struct((~F.col("eligible")).alias("last"), F.col("id").alias("id"))).alias("s")).select("page_url", F.col("s.id").alias("_speaker")))
+    return docs.join(speaker, "page_url").withColumn("turn", F.when(F.col("id") == F.col("_speaker"), 1).otherwise(2)).drop("_speaker")
+
+
+def decided_batch(docs: DataFrame, policies: DataFrame, links: DataFrame) -> DataFrame:
+    """Decisions (VER-5 to VER-7) for all pages of a batch in two passes, however often a URL repeats.
+
+    The speakers of all URLs go first and tie each URL to a key. In the second pass every page belongs to the key of its URL:
+    the first eligible page of a (key, hash) in id order is stored, versions follow in that order, the rest are repeats.
+    """
+    done = None
+    for turn in (1, 2):
+        now = docs.where(F.col("turn") == turn).select("id", "page_url", "policy_key", "content_sha256", "arrival", "eligible")
+        decided = skew.pinned(I.variant_key(I.dedup_decision(now, policies, links)))
+        fresh = decided.where("decision IN ('ingested', 'updated', 'suspected_duplicate')")
+        policies = policies.unionByName(fresh.select("id", "policy_key", "version", "content_sha256"))
+        # repeats of a document of this batch find it by key and hash
+        match = skew.pinned(policies.groupBy("policy_key", "content_sha256").agg(F.max_by("id", "version").alias("_same")))
+        repeats = decided.where("decision = 'duplicate_skip'").join(match, ["policy_key", "content_sha256"], "left") \
+            .withColumn("matched_id", F.coalesce("matched_id", "_same")).drop("_same")
+        decided = repeats.unionByName(decided.where("decision <> 'duplicate_skip'"))
+        links = links.unionByName(repeats.select(F.col("matched_id").alias("policy_id"), "page_url")) \
+            .unionByName(fresh.select(F.col("id").alias("policy_id"), "page_url"))
+        done = decided if done is None else done.unionByName(decided)
+    return done
+
+
+def ingest_batch(root: str, rules: RuleSet = DEFAULT, attachments: DataFrame | None = None, chunk_size: int = CHUNK_SIZE):
     """foreachBatch function: fetched pages (page_id, page_url, html, source_name) to the stored ledger (STR-1, STR-6).
 
     Every page gets one ledger row with its outcome and reason: failed, excluded, duplicate, suspected_duplicate,
     updated or ingested. The verdict and the material gate come first; only documents that are kept found keys and
     take versions. Several pages of one URL in a batch are taken in order of their ids, after the first pages of all
-    URLs. Suspected duplicates and new versions wait for review whatever the verdict. Hashes are looked up among all
-    stored versions, so a late repost of old content never becomes a new current version. A repeated batch id
-    rewrites the same partitions.
+    URLs that can be kept (`speaking_order`). Suspected duplicates and new versions wait for review whatever the verdict.
+    Hashes are looked up among all stored versions, so a late repost of old content never becomes a new current version.
+    A repeated batch id rewrites the same partitions.
+
+    With `answers` (id, chunk, body) pages are judged by their model answers, and pages that have none fall back on the
+    rules (CLS-11 to CLS-14).
     """
-    def ingest(pages: DataFrame, batch_id: int) -> None:
+    def ingest(pages: DataFrame, batch_id: int, answers: DataFrame | None = None) -> None:
         spark = pages.sparkSession
         files = spark.createDataFrame([], ATTACHMENT) if attachments is None else attachments
-        order = W.partitionBy("page_url").orderBy("page_id")
-        docs, failed = judged_pages(pages, files, rules)
-        docs = skew.pinned(docs.withColumn("turn", F.row_number().over(order)).withColumn("arrival", F.col("page_id"))
-                           .withColumn("eligible", F.col("is_investment_policy") != "no"))
+        docs, failed = judged_pages(pages, files, rules, answers, chunk_size)
+        docs = skew.pinned(docs.withColumn("arrival", F.col("page_id")).withColumn("eligible", F.col("is_investment_policy") != "no"))
         failed = skew.pinned(failed)
-        policies, links = library(spark, root)
-        done = None
-        for turn in range(1, (docs.agg(F.max("turn")).first()[0] or 0) + 1):
-            now = docs.where(F.col("turn") == turn).select("id", "page_url", "policy_key", "content_sha256", "arrival", "eligible")
-            decided = skew.pinned(I.variant_key(I.dedup_decision(now, policies, links)))
-            fresh = decided.where("decision IN ('ingested', 'updated', 'suspected_duplicate')")
-            policies = policies.unionByName(fresh.select("id", "policy_key", "version", "content_sha256"))
-            # repeats of a document of this batch find it by key and hash
-            match = policies.groupBy("policy_key", "content_sha256").agg(F.max_by("id", "version").alias("_same"))
-            repeats = decided.where("decision = 'duplicate_skip'").join(match, ["policy_key", "content_sha256"], "left") \
-                .withColumn("matched_id", F.coalesce("matched_id", "_same")).drop("_same")
-            decided = repeats.unionByName(decided.where("decision <> 'duplicate_skip'"))
-            links = links.unionByName(repeats.select(F.col("matched_id").alias("policy_id"), "page_url")) \
-                .unionByName(fresh.select(F.col("id").alias("policy_id"), "page_url"))
-            done = decided if done is None else done.unionByName(decided)
-        if done is None:
-            done = I.variant_key(I.dedup_decision(docs.select("id", "page_url", "policy_key", "content_sha256", "arrival", "eligible"), policies, links))
-        own = docs.select("id", "title", "content", "wenhao", "page_date", "parse_error", *C.VERDICT, "review_status")
+        done = decided_batch(skew.pinned(speaking_order(docs.select("id", "page_url", "policy_key", "content_sha256", "arrival", "eligible"))), *library(spark, root))
+        own = docs.select("id", "title", "content", "wenhao", "page_date", "parse_error", *C.VERDICT, *JUDGED_BY, "review_status")
         rows = skew.pinned(done.join(own, "id"))
         suspected, again = F.col("decision") == "suspected_duplicate", F.col("decision") == "updated"
         stored = rows.where("decision IN ('ingested', 'updated', 'suspected_duplicate')").withColumns({
@@ -100,7 +142,7 @@ def ingest_batch(root: str, rules: RuleSet = DEFAULT, attachments: DataFrame | N
             .unionByName(failed.select("id", "page_url", F.lit("failed").alias("outcome"), "reason"))
         K.store_batch(root, batch_id, {
             "policies": stored.select("id", "policy_key", "version", "content_sha256", "page_url", "title", "content", "wenhao", "page_date", "parse_error",
-                                      "related_policy_key", *C.VERDICT, "review_status"),
+                                      "related_policy_key", *C.VERDICT, *JUDGED_BY, "review_status"),
             "attachments": files.join(stored.select(F.col("id").alias("policy_id")), "policy_id", "left_semi"),
             "policy_sources": linked.distinct(), "fetch_records": ledger})
     return ingest
