@@ -224,7 +224,7 @@ def refresh_analysis(old: DataFrame, new: DataFrame):
         elif c in given:
             base = F.when(touched & ~human, F.col(f"_{c}")).otherwise(base)
         if c in ("parse_requires_review", "need_review"):
-            base = F.when(flag, F.lit(1)).otherwise(base)
+            base = F.when(flag, F.lit(1).cast(old.schema[c].dataType)).otherwise(base)
         return base.alias(c)
 
     old_text = X.first_filled(X.text("analysis_sha256"), X.sha256(X.text("content")))

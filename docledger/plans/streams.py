@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from docledger.functions import skew
 from docledger.plans import binding as B
 from docledger.plans.classify import RULES, VERDICT_SQL
 from docledger.plans.registry import query
@@ -179,3 +180,35 @@ def model_answers(spark, sf):
     retry = A.retry_candidates(spark, root).select("id", F.lit(True).alias("retry"))
     return ledger.join(stored.select("id", "policy_key", "todo_type", "review_status", F.col("classification_method").alias("method")), "id", "left").join(retry, "id", "left") \
         .select("id", "outcome", "reason", "policy_key", "todo_type", "review_status", "method", F.coalesce("retry", F.lit(False)).alias("retry"))
+
+
+@query("str_refetch", f"""WITH {INGEST_SQL}, kept AS (SELECT *, outcome IN ('ingested', 'suspected_duplicate') AS stored, CASE WHEN need_review OR suspected OR is_investment_policy = 'pending' THEN 'pending' ELSE 'confirmed_auto' END AS auto FROM ledger)
+  SELECT id, turn, CASE turn WHEN 1 THEN outcome WHEN 2 THEN CASE WHEN stored THEN 'duplicate' ELSE outcome END ELSE CASE WHEN stored THEN 'updated' ELSE outcome END END AS outcome,
+    CASE WHEN NOT stored THEN NULL WHEN turn = 3 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN stored THEN CASE WHEN turn > 1 THEN '2026-09-01' ELSE '' END END AS page_date,
+    CASE WHEN stored THEN CASE WHEN turn = 3 THEN 'pending' WHEN turn = 2 AND id % 3 = 0 THEN 'adjusted' ELSE auto END END AS review_status,
+    CASE WHEN stored AND turn = 2 THEN 'metadata_backfill' END AS action
+  FROM kept, (VALUES (1), (2), (3)) AS t(turn) WHERE stored OR turn = 1""")
+def refetch(spark, sf):
+    """Each page, the same page with a date (no version, human decisions stay, VER-12 to VER-14), and a revision of it (a version)."""
+    root, turns = _scratch(spark), None
+    pages = fetched_pages(B.table(spark, sf, "pages"))
+    for turn in (1, 2, 3):
+        html = F.col("html") if turn == 1 else F.replace("html", F.lit("<head>"), F.lit('<head><meta name="PubDate" content="2026-09-01">'))
+        html = F.replace(html, F.lit("</article>"), F.lit("<p>(rev)</p></article>")) if turn == 3 else html
+        now = pages.withColumn("html", html).withColumn("page_id", F.col("page_id") + (turn - 1) * 10**9)
+        if turn > 1:
+            # pages that were stored are fetched again; a person has adjusted every third policy in the meantime
+            own = T.current_policies(spark, f"{root}/ledger")
+            now = now.join(own.where("id < 1000000000").select("page_url"), "page_url", "left_semi")
+            if turn == 2:
+                K.store_batch(f"{root}/ledger", 11, {"policies": own.where("id % 3 = 0").withColumn("review_status", F.lit("adjusted"))})
+        T.ingest_batch(f"{root}/ledger", RULES)(now, turn * 10)
+        fetched = K.read_committed(spark, f"{root}/ledger", "fetch_records").where(F.col("batch_id") == turn * 10).drop("batch_id")
+        events = K.read_committed(spark, f"{root}/ledger", "review_events").where(F.col("batch_id") == turn * 10).select("policy_id", "action")
+        # pages of the second turn stand for the policies of the first
+        policy = F.when(F.lit(turn) == 2, F.col("id") % 10**9).otherwise(F.col("id"))
+        state = T.current_policies(spark, f"{root}/ledger").select(F.col("id").alias("policy_id"), "version", "page_date", "review_status")
+        rows = skew.pinned(fetched.withColumn("policy_id", policy).join(state, "policy_id", "left").join(events, "policy_id", "left")
+                           .select((F.col("id") % 10**9).alias("id"), F.lit(turn).alias("turn"), "outcome", "version", "page_date", "review_status", "action"))
+        turns = rows if turns is None else turns.unionByName(rows)
+    return turns

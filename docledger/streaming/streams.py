@@ -18,15 +18,35 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def library(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Committed policies and links; empty before the first batch."""
-    keys = "id LONG, policy_key STRING, version LONG, content_sha256 STRING"
-    links = "policy_id LONG, page_url STRING"
+def has_commits(spark: SparkSession, root: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_commits")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], keys), spark.createDataFrame([], links)
-    policies = K.read_committed(spark, root, "policies").select("id", "policy_key", "version", "content_sha256")
-    return policies, K.read_committed(spark, root, "policy_sources").select("policy_id", "page_url")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def committed(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame:
+    """Committed rows of a table; a batch that is run again must not see its own, so it reads those before it."""
+    rows = K.read_committed(spark, root, name)
+    return rows if before is None else rows.where(F.col("batch_id") < before)
+
+
+def current_policies(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """Committed policies as they stand: a later batch's row of an id replaces the earlier ones."""
+    return skew.newest(committed(spark, root, "policies", before), ["id"], [F.desc("batch_id")]).drop("batch_id")
+
+
+def current_attachments(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """Committed attachments as they stand: a later batch's rows of a policy replace all its earlier ones."""
+    rows = committed(spark, root, "attachments", before)
+    last = rows.groupBy("policy_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["policy_id", "batch_id"], "left_semi").drop("batch_id")
+
+
+def library(spark: SparkSession, root: str, before: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Keys and hashes of the current policies, and all links; empty before the first batch."""
+    if not has_commits(spark, root):
+        return spark.createDataFrame([], "id LONG, policy_key STRING, version LONG, content_sha256 STRING"), spark.createDataFrame([], "policy_id LONG, page_url STRING")
+    policies = current_policies(spark, root, before).select("id", "policy_key", "version", "content_sha256")
+    return policies, committed(spark, root, "policy_sources", before).select("policy_id", "page_url")
 
 
 FAILED_EMPTY = "正文解析为空"
@@ -41,7 +61,7 @@ JUDGED_BY = ["classification_method", "fallback_reason"]
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """Documents of fetched pages under the page's id; a page without a title gets one that says so."""
-    return G.parse_pages(pages).withColumn("id", F.col("page_id")).withColumn("title", X.first_filled(X.text("title"), F.lit("待核实标题")))
+    return G.parse_pages(pages.withColumn("raw_page_sha256", X.sha256(F.col("html")))).withColumn("id", F.col("page_id")).withColumn("title", X.first_filled(X.text("title"), F.lit("待核实标题")))
 
 
 def model_verdicts(texts: DataFrame, answers: DataFrame, rules: RuleSet = DEFAULT, chunk_size: int = CHUNK_SIZE) -> DataFrame:
@@ -72,8 +92,55 @@ def judged_pages(pages: DataFrame, attachments: DataFrame, rules: RuleSet, answe
         verdict = C.classify(texts, rules, "analysis_text").withColumn("fallback_reason", F.lit(""))
     else:
         verdict = model_verdicts(skew.pinned(texts), answers, rules, chunk_size)
-    gated = C.review_status(C.material_gate(verdict, own)).withColumnRenamed("method", "classification_method")
-    return docs.join(gated.select("id", *C.VERDICT, *JUDGED_BY, "review_status"), "id"), failed
+    gated = C.review_status(C.material_gate(verdict, own)).withColumnRenamed("method", "classification_method").withColumn("analysis_sha256", X.sha256(F.col("analysis_text")))
+    return docs.join(gated.select("id", "analysis_sha256", *C.VERDICT, *JUDGED_BY, "review_status"), "id"), failed
+
+
+#: What a stored policy keeps of its page's extraction, and what of its verdict.
+EXTRACTED = ["content", "content_sha256", "analysis_sha256", "parse_error", "raw_page_sha256"]
+JUDGED = [*C.VERDICT, *JUDGED_BY, "review_status"]
+KEPT_VERSION = "附件下载失败，保留已有政策版本并等待补采"
+
+
+def refetched(docs: DataFrame, files: DataFrame, root: str, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages whose URL belongs to a stored policy and that show the same original again (VER-12 to VER-14).
+
+    Returns what became of them (id, page_url, outcome, reason), the policies to replace, their attachments to replace and
+    the review events. The same original makes no version: the better of both extractions stays, blank metadata are
+    filled, and a row that a human decided keeps its decision and takes the content only. Of several such pages of one
+    policy in a batch the last one counts, the others are duplicates. A page that is another original but misses an
+    attachment fails and leaves the stored version alone.
+    """
+    spark = docs.sparkSession
+    old, links = current_policies(spark, root, batch_id), library(spark, root, batch_id)[1]
+    linked = I.policy_for_url(links, old).select("page_url", F.col("policy_id"))
+    own_hash = old.select(F.col("id").alias("policy_id"), F.col("raw_page_sha256").alias("_raw"), F.col("content_sha256").alias("_hash"))
+    pages = skew.pinned(docs.join(linked, "page_url").join(own_hash, "policy_id")
+                        .withColumn("_again", (F.col("raw_page_sha256") == F.col("_raw")) | (F.col("content_sha256") == F.col("_hash"))).drop("_raw", "_hash"))
+    again = pages.where("_again")
+    last = skew.pinned(again.groupBy("policy_id").agg(F.max("id").alias("id")))
+    new = skew.pinned(again.join(last, ["policy_id", "id"], "left_semi"))
+    old = skew.pinned(old.join(new.select(F.col("policy_id").alias("id")), "id", "left_semi"))
+    by_policy = new.select(F.col("id").alias("_page"), "policy_id")
+    new_files = files.withColumnRenamed("policy_id", "_page").join(by_policy, "_page").drop("_page")
+    old_files = current_attachments(spark, root, batch_id).join(old.select(F.col("id").alias("policy_id")), "policy_id", "left_semi")
+    fresh = new.drop("id").withColumnRenamed("policy_id", "id")
+    same, kept = I.reconcile_same_original(old, fresh, old_files, new_files)
+    same = skew.pinned(same.where("same_original").select("id", "changed", F.col("content").alias("_content"), F.col("parse_error").alias("_error")))
+    better = fresh.join(same, "id").withColumn("content_sha256", F.when(F.col("content") == F.col("_content"), F.col("content_sha256"))) \
+        .join(old.select("id", F.col("content_sha256").alias("_hash")), "id").withColumn("content_sha256", F.coalesce("content_sha256", "_hash")) \
+        .withColumn("content", F.col("_content")).withColumn("parse_error", F.col("_error"))
+    changed = skew.pinned(better.where("changed").select("id", "changed", *EXTRACTED, *I.METADATA, *JUDGED))
+    refreshed, reparses = I.refresh_analysis(old.join(changed.select("id"), "id", "left_semi"), changed)
+    filled, fills = I.backfill_metadata(old.join(same.where("NOT changed").select("id"), "id", "left_semi"), better)
+    fills = skew.pinned(fills)
+    rows = refreshed.unionByName(filled.join(fills.select(F.col("policy_id").alias("id")), "id", "left_semi"))
+    moved = new_files.drop(*I.ATTACHMENT_STATE).join(kept, ["policy_id", "url"]).join(changed.select(F.col("id").alias("policy_id")), "policy_id", "left_semi")
+    ended = again.join(same.select(F.col("id").alias("policy_id"), "changed"), "policy_id").join(last.withColumnRenamed("id", "_last"), "policy_id") \
+        .select("id", "page_url", F.when(F.col("changed") & (F.col("id") == F.col("_last")), "reparsed").otherwise("duplicate").alias("outcome"), F.lit("").alias("reason"))
+    lost = files.where(F.col("parse_status") == "failed").select(F.col("policy_id").alias("id")).distinct()
+    failed = pages.join(ended.select("id"), "id", "left_anti").join(lost, "id", "left_semi").select("id", "page_url", F.lit("failed").alias("outcome"), F.lit(KEPT_VERSION).alias("reason"))
+    return skew.pinned(ended.unionByName(failed)), rows, moved.select(*files.columns), reparses.unionByName(fills)
 
 
 def speaking_order(docs: DataFrame) -> DataFrame:
@@ -117,6 +184,9 @@ def ingest_batch(root: str, rules: RuleSet = DEFAULT, attachments: DataFrame | N
     Hashes are looked up among all stored versions, so a late repost of old content never becomes a new current version.
     A repeated batch id rewrites the same partitions.
 
+    Pages that show a stored original again refresh its row and make no version (`refetched`); their outcome is reparsed or
+    duplicate. `current_policies` reads the rows as they stand.
+
     With `answers` (id, chunk, body) pages are judged by their model answers, and pages that have none fall back on the
     rules (CLS-11 to CLS-14).
     """
@@ -125,9 +195,15 @@ def ingest_batch(root: str, rules: RuleSet = DEFAULT, attachments: DataFrame | N
         files = spark.createDataFrame([], ATTACHMENT) if attachments is None else attachments
         docs, failed = judged_pages(pages, files, rules, answers, chunk_size)
         docs = skew.pinned(docs.withColumn("arrival", F.col("page_id")).withColumn("eligible", F.col("is_investment_policy") != "no"))
-        failed = skew.pinned(failed)
-        done = decided_batch(skew.pinned(speaking_order(docs.select("id", "page_url", "policy_key", "content_sha256", "arrival", "eligible"))), *library(spark, root))
-        own = docs.select("id", "title", "content", "wenhao", "page_date", "parse_error", *C.VERDICT, *JUDGED_BY, "review_status")
+        failed = skew.pinned(failed).select("id", "page_url", F.lit("failed").alias("outcome"), "reason")
+        refreshed = replaced = None
+        events = spark.createDataFrame([], "policy_id LONG, action STRING, before_json STRING, after_json STRING")
+        if has_commits(spark, root):
+            refreshed, replaced, moved, events = refetched(docs, files, root, batch_id)
+            docs = skew.pinned(docs.join(refreshed.select("id"), "id", "left_anti"))
+            failed = failed.unionByName(refreshed)
+        done = decided_batch(skew.pinned(speaking_order(docs.select("id", "page_url", "policy_key", "content_sha256", "arrival", "eligible"))), *library(spark, root, batch_id))
+        own = docs.select("id", "title", *EXTRACTED[:1], *EXTRACTED[2:], *I.METADATA, *JUDGED)
         rows = skew.pinned(done.join(own, "id"))
         suspected, again = F.col("decision") == "suspected_duplicate", F.col("decision") == "updated"
         stored = rows.where("decision IN ('ingested', 'updated', 'suspected_duplicate')").withColumns({
@@ -139,12 +215,12 @@ def ingest_batch(root: str, rules: RuleSet = DEFAULT, attachments: DataFrame | N
         outcome = F.when(F.col("decision") == "duplicate_skip", "duplicate").otherwise(F.col("decision"))
         reason = F.when(F.col("decision") == "excluded", F.col("reason")).otherwise(X.text("parse_error"))
         ledger = rows.select("id", "page_url", outcome.alias("outcome"), reason.alias("reason")) \
-            .unionByName(failed.select("id", "page_url", F.lit("failed").alias("outcome"), "reason"))
-        K.store_batch(root, batch_id, {
-            "policies": stored.select("id", "policy_key", "version", "content_sha256", "page_url", "title", "content", "wenhao", "page_date", "parse_error",
-                                      "related_policy_key", *C.VERDICT, *JUDGED_BY, "review_status"),
-            "attachments": files.join(stored.select(F.col("id").alias("policy_id")), "policy_id", "left_semi"),
-            "policy_sources": linked.distinct(), "fetch_records": ledger})
+            .unionByName(failed)
+        policies = stored.select("id", "policy_key", "version", "page_url", "title", *EXTRACTED, *I.METADATA, "related_policy_key", *JUDGED)
+        own_files = files.join(stored.select(F.col("id").alias("policy_id")), "policy_id", "left_semi").select(*files.columns)
+        if refreshed is not None:
+            policies, own_files = policies.unionByName(replaced), own_files.unionByName(moved)
+        K.store_batch(root, batch_id, {"policies": policies, "attachments": own_files, "policy_sources": linked.distinct(), "fetch_records": ledger, "review_events": events})
     return ingest
 
 
