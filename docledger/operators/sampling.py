@@ -1,7 +1,7 @@
 """Auditable sampling (EVA-8 to EVA-13)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docledger.functions import skew, text as X
 
@@ -70,6 +70,63 @@ def frozen_sample_check(sample: DataFrame, manifest: DataFrame) -> DataFrame:
     return now.join(then, "sample_id", "full").select("sample_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+#: Sums of row hashes are taken modulo this, in two lanes.
+LANE = 1 << 60
+
+
+def _row_lanes(corpus: DataFrame) -> list[Column]:
+    """Two 60-bit numbers from the hash of a row's fields in order of their names; null and empty differ."""
+    part = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    digest = X.sha256(F.concat(*[part(c) for c in sorted(corpus.columns)]))
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 17)]
+
+
+def _sums() -> list[Column]:
+    """Count and lane sums; sums of parts add up to the sums of the whole, and a row that occurs twice counts twice."""
+    return [F.count(F.lit(1)).alias("n"), *[(F.sum(F.col(lane).cast("decimal(20,0)")) % F.lit(LANE).cast("decimal(20,0)")).cast("long").alias(lane) for lane in ("low", "high")]]
+
+
 def corpus_hash(corpus: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a corpus: rows and the XOR of their 64-bit hashes (EVA-13)."""
-    return corpus.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*sorted(corpus.columns))).alias("fingerprint"))
+    """Order-free fingerprint of a multiset of rows (EVA-13): rows and the sums of their hashes."""
+    low, high = _row_lanes(corpus)
+    sums = corpus.select(low.alias("low"), high.alias("high")).agg(*_sums())
+    return sums.select("n", F.concat_ws(":", F.lpad(F.lower(F.hex(F.coalesce("low", F.lit(0)))), 15, "0"), F.lpad(F.lower(F.hex(F.coalesce("high", F.lit(0)))), 15, "0")).alias("fingerprint"))
+
+
+def range_sums(corpus: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    """Count and sums for each range of the key's hash (its first hex digits); ranges without rows are left out.
+
+    A map-side aggregate: only 16**digits numbers leave a task. Sums of parts of a corpus are merged by `merged_sums`.
+    """
+    low, high = _row_lanes(corpus)
+    name = F.substring(X.sha256(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, digits)
+    return corpus.select(name.alias("range"), low.alias("low"), high.alias("high")).groupBy("range").agg(*_sums())
+
+
+def merged_sums(*parts: DataFrame) -> DataFrame:
+    """Sums of a corpus from the sums of its parts."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    _, low, high = _sums()
+    return rows.groupBy("range").agg(F.sum("n").alias("n"), low, high)
+
+
+def range_tree(sums: DataFrame, digits: int = 2) -> DataFrame:
+    """Ranges hashed upwards (EVA-13): range, n, digest of every level; the range "" is the whole corpus."""
+    level = sums.select("range", "n", X.sha256(F.concat_ws(":", "n", "low", "high")).alias("digest"))
+    out = level
+    for size in range(digits - 1, -1, -1):
+        level = level.groupBy(F.substring("range", 1, size).alias("up")).agg(
+            F.sum("n").alias("n"), X.sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "digest"))), lambda x: F.concat(x["range"], x["digest"])), "")).alias("digest"))
+        level = level.withColumnRenamed("up", "range")
+        out = out.unionByName(level)
+    return out
+
+
+def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Ranges whose rows differ between two tables of sums: range, n_before, n_after."""
+    then = before.select("range", F.struct("n", "low", "high").alias("b"))
+    now = after.select("range", F.struct("n", "low", "high").alias("a"))
+    return then.join(now, "range", "full").where(~F.col("a").eqNullSafe(F.col("b"))) \
+        .select("range", F.coalesce("b.n", F.lit(0)).alias("n_before"), F.coalesce("a.n", F.lit(0)).alias("n_after"))

@@ -281,3 +281,27 @@ def metric_differences(spark, sf):
   SELECT tp AS true_positive, p AS predicted, e AS expected, {_r('tp', 'p')} AS precision, {_r('tp', 'e')} AS recall FROM n""")
 def metric_score(spark, sf):
     return E.metric_score(*_metrics(spark, sf))
+
+
+_RANGE_SQL = """rows AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 2) AS range, sha256(concat({fields})) AS d FROM {source}),
+sums AS (SELECT range, count(*) AS n, (sum(('0x' || substr(d, 1, 15))::HUGEINT) % 1152921504606846976)::BIGINT AS low, (sum(('0x' || substr(d, 17, 15))::HUGEINT) % 1152921504606846976)::BIGINT AS high FROM rows GROUP BY 1)""".format(
+    fields=", ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "lang", "n_chars", "source", "text")), source="documents")
+
+
+@query("eva_corpus_tree", f"""WITH {_RANGE_SQL}, two AS (SELECT range, n, sha256(n || ':' || low || ':' || high) AS digest FROM sums),
+  one AS (SELECT substr(range, 1, 1) AS up, sum(n)::BIGINT AS n, sha256(string_agg(range || digest, '' ORDER BY range)) AS digest FROM two GROUP BY 1),
+  top AS (SELECT '' AS range, sum(n)::BIGINT AS n, sha256(string_agg(up || digest, '' ORDER BY up)) AS digest FROM one)
+  SELECT range, n, digest FROM two UNION ALL SELECT up, n, digest FROM one UNION ALL SELECT range, n, digest FROM top""")
+def corpus_tree(spark, sf):
+    """Sums of halves of the corpus add up to those of the whole."""
+    d = B.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "source", "text")
+    return S.range_tree(S.merged_sums(S.range_sums(d.where("doc_id % 2 = 0"), "doc_id"), S.range_sums(d.where("doc_id % 2 = 1"), "doc_id")))
+
+
+@query("eva_changed_ranges", """WITH r AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 2) AS range, doc_id FROM documents)
+  SELECT range, count(*) AS n_before, (count(*) + count(*) FILTER (doc_id % 97 = 0))::BIGINT AS n_after FROM r GROUP BY 1 HAVING count(*) FILTER (doc_id % 97 = 0 OR doc_id % 50 = 0) > 0""")
+def changed_ranges(spark, sf):
+    """Rows that change or occur twice are told by their ranges."""
+    d = B.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "source", "text")
+    later = d.withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return S.changed_ranges(S.range_sums(d, "doc_id"), S.range_sums(later.unionByName(later.where("doc_id % 97 = 0")), "doc_id"))

@@ -196,3 +196,16 @@ def test_review_actions_of_one_instant(rows):
     out, events, refused = RV.apply_review(p, acts)
     assert [r["review_status"] for r in out.collect()] == ["confirmed"] and [r["action"] for r in events.collect()] == ["confirm"]
     assert sorted(r["action"] for r in refused.collect()) == ["adjust", "confirm", "reject"]
+
+
+def test_corpus_hash_counts_repeats(rows):
+    """Rows that occur twice count twice, sums of parts merge, and a change is told by its range."""
+    from docledger.operators import sampling as S
+    of = lambda values: rows("id LONG, t STRING", values)
+    x, y, z = (1, "x"), (2, None), (3, "")
+    value = lambda values: S.corpus_hash(of(values)).first()
+    assert value([x, x, y]) != value([z, z, y]) and value([x, y, x]) == value([x, x, y]) and value([x, y]) != value([x, x, y])
+    whole, parts = S.range_sums(of([x, y, z, x]), "id"), S.merged_sums(S.range_sums(of([x, y]), "id"), S.range_sums(of([z, x]), "id"))
+    assert S.changed_ranges(whole, parts).count() == 0 and S.range_tree(whole).where("range = ''").first() == S.range_tree(parts).where("range = ''").first()
+    changed = S.changed_ranges(whole, S.range_sums(of([x, y, (3, "w")]), "id")).collect()
+    assert sorted((r.n_before, r.n_after) for r in changed) == [(1, 1), (2, 1)]
