@@ -87,7 +87,7 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int], merges: np.ndarray, digest: str = ""):
         import duckdb
-        self.ranks, self.digest, self.kept = ranks, digest, KEPT_PIECES
+        self.ranks, self.digest, self.kept, self.rows = ranks, digest, KEPT_PIECES, QUERY_ROWS
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "merged": merges[:, 2]})
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "token": [t.hex() for t in ranks]})
@@ -129,7 +129,7 @@ class Coder:
                     self._keep(p, ",".join(map(str, ids)), raw, self.decode([ids])[0])
                 else:
                     short.append((p, raw))
-        cost = np.cumsum([len(raw) * (len(raw) + 1) // 2 for _, raw in short]) // QUERY_ROWS
+        cost = np.cumsum([len(raw) * (len(raw) + 1) // 2 for _, raw in short]) // self.rows
         edges = np.flatnonzero(np.diff(cost, prepend=-1, append=np.inf)) if short else []
         for a, b in zip(edges[:-1], edges[1:]):
             part = short[a:b]
@@ -176,12 +176,12 @@ def _shared(df: DataFrame, path: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True, kept_pieces: int = KEPT_PIECES,
-           keep_text: bool = True) -> DataFrame:
+           keep_text: bool = True, query_rows: int = QUERY_ROWS, slice_bytes: int = 2 << 20) -> DataFrame:
     """Every row with n_tokens, token_ids (where asked for), ids_sha256 and decoded_sha256.
 
     `path` is the rank file and `pattern` the split pattern of the tokenizer. The hashes are those of the decimal
     ids joined by commas and of the bytes that the ids decode to. A worker keeps up to twice `kept_pieces` pieces. The
-    text itself is left out of the result unless `keep_text` is set.
+    text itself is left out of the result unless `keep_text` is set. `query_rows` and `slice_bytes` bound its memory.
     """
     text, shared = f"_c{docs.columns.index(text_col)}", _shared(docs, path)
     added = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
@@ -194,8 +194,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", wit
     def run(batches):
         import regex
         find, coder = regex.compile(pattern).findall, _coder(shared)
-        coder.kept = kept_pieces
-        for batch in slices(batches, text, 2 << 20, coder.digest):
+        coder.kept, coder.rows = kept_pieces, query_rows
+        for batch in slices(batches, text, slice_bytes, coder.digest):
             lists = [find(t) if t else [] for t in batch.column(text).to_pylist()]
             coder.learn(set().union(*lists))
             n, ids, said, decoded = [], [], [], []
