@@ -27,6 +27,8 @@ LONG_PIECE = 256
 KEPT_PIECES = 600_000
 #: Rows that one recursive query makes at most, about half the squared length of each piece.
 QUERY_ROWS = 1_000_000
+#: Slices after which a worker gives freed memory back.
+TRIM_AFTER = 32
 
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -195,7 +197,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", wit
         import regex
         find, coder = regex.compile(pattern).findall, _coder(shared)
         coder.kept, coder.rows = kept_pieces, query_rows
-        for batch in slices(batches, text, slice_bytes, coder.digest):
+        for turn, batch in enumerate(slices(batches, text, slice_bytes, coder.digest)):
+            if turn % TRIM_AFTER == TRIM_AFTER - 1:
+                trim()
             lists = [find(t) if t else [] for t in batch.column(text).to_pylist()]
             coder.learn(set().union(*lists))
             n, ids, said, decoded = [], [], [], []
