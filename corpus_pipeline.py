@@ -34,8 +34,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the token ids of each document, with the hashes of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     # executors that ran the stages before have less memory to spare, so workers keep fewer pieces, merge more of them anew and ask smaller queries
-    return tokens.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, kept_pieces=150_000, keep_text=False,
-                         query_rows=250_000, slice_bytes=1 << 20)
+    return tokens.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, kept_pieces=40_000, keep_text=False,
+                         query_rows=120_000, slice_bytes=512 << 10)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
