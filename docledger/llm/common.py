@@ -69,6 +69,20 @@ def stored(df: DataFrame, rows: int | None = None, rows_per_file: int = 100_000)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's own bound of an Arrow batch.
+SPARK_BATCH = "67108864b"
+
+
+def small_batches(spark: SparkSession, limit: str = "8MB") -> None:
+    """Bound the Arrow batches of this session to `limit` bytes, where it names no bound of its own.
+
+    Batches of long texts otherwise reach 64 MB, and a running task holds several in the JVM and in its worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, SPARK_BATCH):
+        spark.conf.set(name, limit)
+
+
 def worker_cache(owner: str | None) -> dict:
     """A dictionary that outlives the task in its Python worker, so that tasks of one operator (`owner`) reuse what is
     dear to build. A worker that turns to another operator lets it go."""

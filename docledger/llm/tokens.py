@@ -90,7 +90,8 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], merges: np.ndarray, digest: str = ""):
         import duckdb
         self.ranks, self.digest, self.kept, self.rows = ranks, digest, KEPT_PIECES, QUERY_ROWS
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": "",
+                                                       "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"})
         table = pa.table({"l": merges[:, 0], "r": merges[:, 1], "merged": merges[:, 2]})
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "token": [t.hex() for t in ranks]})
         self.db.register("m", table)
