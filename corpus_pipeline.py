@@ -1,15 +1,19 @@
-"""The corpus pipeline: language, boilerplate lines, near duplicates, benchmark passages, tokens."""
+"""The corpus pipeline: language, boilerplate lines, near duplicates, benchmark passages, tokens.
+
+Its stages run one after the other in the same executors, so Arrow batches of the session are bounded to 8 MB (see `small_batches`).
+"""
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docledger.llm import decontaminate, jaccard, language, lines, tokens
-from docledger.llm.common import stored, table
+from docledger.llm.common import small_batches, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter go."""
+    small_batches(spark)
     model = language.train(docs.where(~language.held_out() & F.col("doc_id").isNotNull()))
     return language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
@@ -22,16 +26,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    small_batches(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the token ids of each document, with the hashes of ids and decoded bytes."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     # executors that ran the stages before have less memory to spare, so workers keep fewer pieces, merge more of them anew and ask smaller queries
     return tokens.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, kept_pieces=40_000, keep_text=False,
