@@ -16,9 +16,11 @@ from docledger.session import ensure_checkpoint_dir
 PIECE = "_piece"
 
 
-def pinned(df: DataFrame) -> DataFrame:
+def pinned(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write an intermediate that several branches read as a table in the shared checkpoint folder.
 
+    Branches that each read one value of the column `by` read that part of the table only.
+
     It is computed once, cuts the lineage, survives lost executors, and is read back column by column. The folder is
     removed when the driver ends. Without a shared folder (on a cluster, when spark.checkpoint.dir is unset) it raises.
     """
@@ -28,7 +30,7 @@ def pinned(df: DataFrame) -> DataFrame:
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = f"{root}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

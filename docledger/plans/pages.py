@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docledger.functions import html as H, text as X
-from docledger.operators import discover as D, pages as G
+from docledger.operators import discover as D, listing as T, pages as G
 from docledger.plans import binding as B
 from docledger.plans.registry import query
 
@@ -172,6 +172,23 @@ def paged_list(spark, sf):
     return D.parse_paged_list(rows)
 
 
+@query("dsc_list_parsers", f"""WITH {PAGES_SQL} SELECT page_id AS source_id, 2 AS parser, CAST(pos AS BIGINT) AS pos, url, title FROM links WHERE page_id % 3 = 2
+  UNION ALL SELECT page_id, CASE page_id % 3 WHEN 0 THEN 0 ELSE 1 END, i, CASE page_id % 3 WHEN 0 THEN 'https://h.org/d' || page_id || '/' || i || '.html' ELSE 'https://h.org/zc/content/content_' || (page_id * 10 + i) || '.html' END, 'T' || i
+    FROM (SELECT page_id, unnest(range(0, 1 + page_id % 5)) AS i FROM pages) WHERE page_id % 3 < 2""")
+def list_parsers(spark, sf):
+    """Feeds, paged answers and HTML lists in one table of fetched pages, each parsed by what is registered for its source."""
+    p, kind = _pages(spark, sf), F.col("page_id") % 3
+    each = F.sequence(F.lit(0), (F.col("page_id") % 5).cast("int"))
+    items = F.transform(each, lambda i: F.struct(F.concat(F.lit("/d"), "page_id", F.lit("/"), i, F.lit(".html")).alias("URL"), F.concat(F.lit(" T"), i).alias("TITLE")))
+    results = F.transform(each, lambda i: F.struct(F.struct((F.col("page_id") * 10 + i).cast("string").alias("id"), F.concat(F.lit("T"), i).alias("title")).alias("source")))
+    api = F.to_json(F.struct(F.struct(results.alias("results")).alias("data")))
+    pages = p.select(F.col("page_id").alias("source_id"), F.when(kind == 0, "feed").when(kind == 1, "api").otherwise("site").alias("source"),
+                     F.when(kind < 2, "https://h.org/list").otherwise(F.col("page_url")).alias("page_url"), F.lit("/zc").alias("prefix"),
+                     F.when(kind == 0, F.to_json(items)).when(kind == 1, api).otherwise(F.col("html")).alias("body"))
+    parsers = T.ListParsers().register(F.col("source") == "feed", T.feed).register(F.col("source") == "api", T.paged)
+    return parsers.parse(pages).select("source_id", "parser", F.col("pos").cast("long").alias("pos"), "url", "title")
+
+
 @query("ext_page_meta", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, false AS blocked FROM pages""")
 def page_meta(spark, sf):
     return G.page_meta(_pages(spark, sf)).select("page_id", "title", "blocked")
