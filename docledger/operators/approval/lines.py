@@ -18,18 +18,44 @@ def line_order() -> Column:
     return F.col("page").cast("long") * (1 << 32) + F.col("n")
 
 
+def _kept(raw: DataFrame) -> DataFrame:
+    """Lines without blanks, watermarks and page numbers, with their band and x."""
+    # an exploded array of one: filters on a plain projection would repeat its pattern in each of their terms
+    rows = raw.select(*[c for c in raw.columns if c != "text"], F.explode(F.array(X.without_space(X.text("text")))).alias("text"))
+    y, digits = F.get("bbox", F.lit(1)), F.regexp_replace("text", "[—-]", "")
+    edge = (digits == "") | (y < F.col("page_height") * 0.08) | ((y > F.col("page_height") * 0.8) & (digits.try_cast("int") == F.col("page")))
+    number = F.col("text").rlike(r"^[—\-]*\d*[—\-]*$") & F.coalesce(edge, F.lit(False))
+    rows = rows.where((F.col("text") != "") & ~number & ~F.col("text").isin(*WATERMARKS))
+    return rows.withColumns({"_band": F.bround(F.get("bbox", F.lit(1)) / 3, 0), "_x": F.get("bbox", F.lit(0))})
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    return rows.drop("_band", "_x").withColumn("id", F.concat(F.lit("p"), "page", F.lit("-l"), "n"))
+
+
 def clean_lines(raw: DataFrame) -> DataFrame:
     """Drop blanks, watermarks and page numbers; number the lines of a page by band and x (APR-1).
 
     `raw`: doc_id, page, text, bbox, page_height, method. A page bounds each numbering window.
     """
-    rows = raw.withColumn("text", X.without_space(X.text("text")))
-    y, digits = F.get("bbox", F.lit(1)), F.regexp_replace("text", "[—-]", "")
-    edge = (digits == "") | (y < F.col("page_height") * 0.08) | ((y > F.col("page_height") * 0.8) & (digits.try_cast("int") == F.col("page")))
-    number = F.col("text").rlike(r"^[—\-]*\d*[—\-]*$") & F.coalesce(edge, F.lit(False))
-    rows = rows.where((F.col("text") != "") & ~number & ~F.col("text").isin(*WATERMARKS))
-    n = F.row_number().over(W.partitionBy("doc_id", "page").orderBy(F.bround(F.get("bbox", F.lit(1)) / 3, 0), F.get("bbox", F.lit(0)), "text"))
-    return rows.withColumn("n", n).withColumn("id", F.concat(F.lit("p"), "page", F.lit("-l"), "n"))
+    return _identified(_kept(raw).withColumn("n", F.row_number().over(W.partitionBy("doc_id", "page").orderBy("_band", "_x", "text"))))
+
+
+def placed_lines(raw: DataFrame) -> DataFrame:
+    """Clean lines with their offsets (APR-1 and APR-2 in one pass), written once for the operators that read them.
+
+    The lines are shuffled and sorted once, by (document, piece of pages): both windows follow that order. What travels across
+    pieces is one length per piece of a document; documents of one piece need none.
+    """
+    rows = _kept(raw).withColumn("_piece", _piece()).repartition("doc_id", "_piece")
+    n = F.row_number().over(W.partitionBy("doc_id", "_piece", "page").orderBy("_band", "_x", "text"))
+    upto = F.sum(F.length("text").cast("long")).over(W.partitionBy("doc_id", "_piece").orderBy("page", "_band", "_x", "text").rowsBetween(W.unboundedPreceding, 0))
+    local = skew.pinned(_identified(rows.withColumn("n", n).withColumn("_end", upto)))
+    lengths = local.groupBy("doc_id", "_piece").agg(F.max("_end").alias("_length"))
+    earlier = F.sum("_length").over(W.partitionBy("doc_id").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
+    before = lengths.withColumn("_before", earlier).where("_before > 0").select("doc_id", "_piece", "_before")
+    out = local.join(before, ["doc_id", "_piece"], "left").withColumn("end", F.col("_end") + F.coalesce("_before", F.lit(0)))
+    return out.withColumn("start", F.col("end") - F.length("text")).drop("_piece", "_end", "_before")
 
 
 def _order():
@@ -96,6 +122,10 @@ def sections(lines: DataFrame) -> DataFrame:
     rows = skew.carried(rows, ["doc_id"], "_ord", piece, mark, "sec").where("sec IS NOT NULL")
     own = F.when(F.col("start") == F.col("sec.at"), F.col("text").substr((F.col("sec.from") - F.col("start")).cast("int") + 1, F.length("text"))).otherwise(F.col("text"))
     rows = rows.withColumn("_own", own).withColumn("_at", F.col("sec.at"))
-    bounds = rows.groupBy("doc_id", "_at").agg(F.min("sec").alias("sec"), F.max("end").alias("end"))
-    body = skew.joined(rows.select("doc_id", "_at", "page", "n", "_own"), ["doc_id", "_at"], _order(), _piece(), "_own", "", "text")
-    return bounds.join(body, ["doc_id", "_at"]).select("doc_id", F.col("_at").alias("heading_start"), "sec.heading", F.col("sec.from").alias("start"), "end", "text")
+    # bounds and text of a section in one pass over its lines: first within each piece, then piece by piece
+    line = F.struct("page", "n", F.col("_own").alias("t"))
+    in_piece = rows.groupBy("doc_id", "_at", piece.alias("_p")).agg(
+        F.first("sec").alias("sec"), F.max("end").alias("end"), F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda s: s["t"]), "").alias("t"))
+    whole = in_piece.groupBy("doc_id", "_at").agg(F.first("sec").alias("sec"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("_p", "t"))).alias("_l"))
+    return whole.select("doc_id", F.col("_at").alias("heading_start"), "sec.heading", F.col("sec.from").alias("start"), "end",
+                        F.array_join(F.transform("_l", lambda p: p["t"]), "").alias("text"))

@@ -13,7 +13,7 @@ S = "WITH " + B.APPROVAL_SQL
 
 def lines(spark, sf):
     """Lines with offsets, written once for the branches that read them."""
-    return skew.pinned(L.line_offsets(L.clean_lines(B.approval_raw_lines(spark, sf))))
+    return L.placed_lines(B.approval_raw_lines(spark, sf))
 
 
 def parts(spark, sf):

@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from docledger import schemas
+from docledger.functions import skew
 from docledger.operators import sampling as E
 from docledger.plans import binding as B
 from docledger.plans.registry import query
@@ -32,14 +33,36 @@ def read_table(spark, sf):
 
 @query("src_load_sources", "SELECT row_number() OVER (ORDER BY s_name) AS id, s_name AS name, 'R' || s_nationkey AS region, CAST(s_acctbal > 0 AS INTEGER) AS enabled FROM supplier")
 def load_sources(spark, sf):
-    """A registry file of all suppliers (SRC-2): configuration, so one file."""
-    path = f"{_folder(spark)}.json"
-    row = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("R"), "s_nationkey").alias("region"), (F.col("s_acctbal") > 0).alias("enabled"), F.lit("x").alias("unknown_key"))
-    items = B.table(spark, sf, "supplier").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
-    items.coalesce(1).write.text(path)
+    """A registry of all suppliers (SRC-2), written as JSON lines in name order and read in parallel."""
+    path = f"{_folder(spark)}.jsonl"
+    rows = B.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("R"), "s_nationkey").alias("region"), (F.col("s_acctbal") > 0).alias("enabled"), F.lit("x").alias("unknown_key"))
+    rows.repartitionByRange(8, "name").sortWithinPartitions("name").write.json(path)
     return S.load_sources(spark, path).select("id", "name", "region", "enabled")
 
 
+@query("src_read_approval_docs", """WITH o AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 1000 AS part, CAST(o_totalprice AS DECIMAL(15,2)) AS price FROM orders)
+  SELECT md5(o_custkey || '-' || part) AS id, count(*) AS n_metrics, 'S' || min(o_orderstatus) AS stage, 'K' || o_custkey AS project_key,
+         max(price)::VARCHAR AS investment, string_agg(o_orderkey || '=' || price, ',' ORDER BY o_orderkey) AS metrics FROM o GROUP BY o_custkey, part""")
+def read_approval_docs(spark, sf):
+    """Approval documents stored as one JSON file each under a 32-hex name (SRC-7): the orders of a customer are the metrics
+    of its documents, 1,000 at most in one. The folder also holds a file of another name, which the reader has to leave out."""
+    root = _folder(spark)
+    o = B.table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", F.col("o_orderkey").cast("string").alias("name"), F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("value"),
+        F.lit("extracted").alias("status"), F.lit("rule").alias("method"), F.col("o_orderstatus").alias("scope"))
+    parts = skew.listed(o, ["o_custkey"], [F.col("o_orderkey")], skew.piece_of("o_orderkey"), ["name", "value", "status", "method", "scope"], "metrics")
+    top = F.array_max(F.transform("metrics", lambda m: m["value"].cast("decimal(15,2)"))).cast("string")
+    docs = parts.select(
+        F.md5(F.concat_ws("-", "o_custkey", "part")).alias("id"), F.concat(F.lit("S"), F.array_min("metrics.scope")).alias("stage"), F.concat(F.lit("K"), "o_custkey").alias("project_key"),
+        F.create_map(F.lit("总投资"), F.struct(top.alias("value"), F.lit("extracted").alias("status"))).alias("fields"), "metrics")
+    files = docs.select(F.col("id").alias("name"), F.to_json(F.struct(*docs.columns)).alias("json"))
+    foreign = spark.range(1).select(F.lit("index").alias("name"), F.lit('{"id": "index", "stage": "S", "metrics": []}').alias("json"))
+    K.store_json_files(files.unionByName(foreign), root)
+    found = S.read_approval_docs(spark, root)
+    pair = F.transform("metrics", lambda m: F.concat(m["name"], F.lit("="), m["value"]))
+    return found.select("id", F.size("metrics").cast("long").alias("n_metrics"), "stage", "project_key", F.col("fields")["总投资"]["value"].alias("investment"), F.array_join(pair, ",").alias("metrics"))
+
+
 @query("src_read_originals", """SELECT item_id AS id, 'txt' AS fmt, sha256(text || chr(10)) AS sha256, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size FROM benchmark""")
 def read_originals(spark, sf):
     """Stored files with size, format and hash (SRC-3): one text file for each benchmark item."""

@@ -1,8 +1,10 @@
 """Sinks (SNK): exports, comparison relations, idempotent batch stores, maintenance."""
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docledger import schemas
@@ -80,6 +82,28 @@ def export_project(docs: DataFrame, path: str, project_key: str | None = None) -
     rows.write.mode("overwrite").json(path)
 
 
+def store_json_files(rows: DataFrame, root: str) -> int:
+    """One file `<name>.json` a row (name, json) under `root`, the form `read_approval_docs` reads; returns how many were written.
+
+    Tasks write the files of their rows. A file is put in place under its name when it is complete, so a task that runs again
+    leaves the same files. `root` is a folder or address that driver and executors share.
+    """
+    def write(batches):
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("json").to_pylist()):
+                if not name or "/" in name:
+                    raise ValueError(f"not a file name: {name!r}")
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(text.encode())
+                store.move(part, f"{base}/{name}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+    return rows.select("name", "json").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def store_batch(root: str, batch_id: int, tables: dict[str, DataFrame]) -> None:
     """Write the tables of one batch together (SNK-6).
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from docledger import schemas
-from docledger.functions import text as X
+from docledger.functions import skew, text as X
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -16,7 +16,14 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Source registry from a YAML or JSON list; unknown keys are dropped (SRC-2). A registry is tens of rows."""
+    """Source registry; unknown keys are dropped, ids follow the order of the items (SRC-2).
+
+    JSON lines (`.jsonl`, a file or a folder) are read in parallel and may be any number. A YAML or JSON list is one
+    configuration file of some tens of items and is parsed on the driver.
+    """
+    shape = schemas.schema("source_configs")
+    if path.rstrip("/").endswith(".jsonl"):
+        return _source_lines(spark, path, shape)
     raw = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     if path.endswith((".yaml", ".yml")):
         import yaml
@@ -24,7 +31,6 @@ def load_sources(spark: SparkSession, path: str) -> DataFrame:
     else:
         items = json.loads(raw)
     items = items.get("sources", items) if isinstance(items, dict) else items
-    shape = schemas.schema("source_configs")
     known = {f.name for f in shape.fields} - {"id"}
     rows = [{"id": i, **{k: v for k, v in item.items() if k in known}} for i, item in enumerate(items, 1)]
     for row in rows:
@@ -32,6 +38,19 @@ def load_sources(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f.name) for f in shape.fields) for r in rows], shape)
 
 
+def _source_lines(spark: SparkSession, path: str, shape: T.StructType) -> DataFrame:
+    """Sources of JSON lines, numbered by file and place in it: a count per partition of a file travels, the lines stay."""
+    # enabled comes as true, 1 or "1"; a malformed line fails the read, as a malformed list does
+    given = T.StructType([T.StructField(f.name, T.StringType() if f.name == "enabled" else f.dataType) for f in shape.fields if f.name != "id"])
+    rows = spark.read.schema(given).option("mode", "FAILFAST").json(path) \
+        .select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    rows = skew.pinned(rows)  # places are taken once: the numbers below are read from the same table as the rows
+    piece = F.struct("_file", "_block")
+    numbered = skew.numbered(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col("_at")], piece, "id")
+    enabled = F.coalesce(~F.lower("enabled").isin("false", "0", "", "0.0"), F.lit(True)).cast("int")
+    return numbered.select(*[(enabled if f.name == "enabled" else F.col(f.name)).alias(f.name) for f in shape.fields])
+
+
 def merge_sources(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by name: new values win where given, ids of known names stay, new names get the next ids (SRC-2)."""
     shared = [c for c in existing.columns if c not in ("id", "name")]
