@@ -10,8 +10,8 @@ is dropped only when both its ends carry one label (or were both replicated from
 At home are members that have an end of every other pair: those outside the label that most of the region carries, or
 those of the slice itself if they are fewer. The region recurses with pivots among them. By the triangle inequality
 another member y can reach a member u at home only if d(u, pivot) - d(y, pivot) <= radius for every pivot, d(u, pivot)
-taken no larger and d(y, pivot) no smaller than it is; members in that window stay, the rest leave. Regions of at most
-`LEAF` squared pairs are joined directly. The recursion ends when no region is left.
+taken no larger and d(y, pivot) no smaller than it is; members in that window stay, the rest leave. What is left of two
+members (at most `LEAF` squared pairs) has nothing to divide and is measured. The recursion ends when no region is left.
 
 The global order puts shingles that are frequent in the corpus last, the most frequent at the end (a statistic over all documents, bounded to
 `FREQUENT` shingles); the order decides how much is compared, never what links. Pairs whose shared prefix leaves no
@@ -34,7 +34,7 @@ from docledger.llm.common import LAST, Rolling, flatten, hash_words, identity, m
 WORDS = 5
 #: A link needs SHARED * intersection >= UNION * union, that is a similarity of 0.8.
 UNION, SHARED = 4, 5
-LEAF = 128
+LEAF = 2
 FREQUENT = 200_000
 FREQUENT_FROM = 20
 BROADCAST_SETS = 2_000_000
