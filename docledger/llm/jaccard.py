@@ -11,7 +11,8 @@ At home are members that have an end of every other pair: those outside the labe
 those of the slice itself if they are fewer. The region recurses with pivots among them. By the triangle inequality
 another member y can reach a member u at home only if d(u, pivot) - d(y, pivot) <= radius for every pivot, d(u, pivot)
 taken no larger and d(y, pivot) no smaller than it is; members in that window stay, the rest leave. What is left of two
-members (at most `LEAF` squared pairs) has nothing to divide and is measured. The recursion ends when no region is left.
+members (at most `PAIR` squared pairs) has nothing to divide and is measured. The recursion ends when no region is left.
+In regions of at most `LEAF` squared pairs the bound below is tried first; members that it leaves no partner need no pivot.
 
 The global order puts shingles that are frequent in the corpus last, the most frequent at the end (a statistic over all documents, bounded to
 `FREQUENT` shingles); the order decides how much is compared, never what links. Pairs whose shared prefix leaves no
@@ -34,7 +35,8 @@ from docledger.llm.common import LAST, Rolling, flatten, hash_words, identity, m
 WORDS = 5
 #: A link needs SHARED * intersection >= UNION * union, that is a similarity of 0.8.
 UNION, SHARED = 4, 5
-LEAF = 2
+LEAF = 128
+PAIR = 2
 FREQUENT = 200_000
 FREQUENT_FROM = 20
 BROADCAST_SETS = 2_000_000
@@ -159,13 +161,14 @@ def _shared(batches):
 def _settled(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs (x, p) that the shared prefix leaves room for, with the least distance it allows (all pairs)."""
     side = lambda end: facts.select(F.col("c").alias(end), *[F.col(v).alias(f"{v}_{end}") for v in ("n", "length", "last", "keys")])
+    more = [c for c in pairs.columns if c not in ("x", "p")]
     both = pairs.join(side("x"), "x").join(side("p"), "p")
     upto = F.least("last_x", "last_p")
     common = F.size(F.filter(F.array_intersect("keys_x", "keys_p"), lambda k: k <= upto))
     rest = F.when(F.col("last_x") <= F.col("last_p"), F.col("n_x") - F.col("length_x")).otherwise(F.col("n_p") - F.col("length_p"))
     most = F.least(common + rest, F.col("n_x"), F.col("n_p"))
     total = F.col("n_x") + F.col("n_p")
-    return both.select("x", "p", "n_x", "n_p", (most * (UNION + SHARED) >= UNION * total).alias("open"), (1 - most / (total - most)).alias("d"))
+    return both.select("x", "p", *more, "n_x", "n_p", (most * (UNION + SHARED) >= UNION * total).alias("open"), (1 - most / (total - most)).alias("d"))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,19 +214,20 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     slice_of = lambda d: F.struct(F.xxhash64("key", size + d).alias("key"), F.lit(d == 0).alias("own"))
     slices_of = F.when(F.col("_m") > leaf, F.array(slice_of(0), slice_of(1))).otherwise(F.array(F.struct("key", F.lit(True).alias("own"))))
     state = state.select("c", "n", "share", "most", F.explode(slices_of).alias("at")).select(F.col("at.key").alias("key"), "c", F.col("c").alias("label"), F.col("at.own").alias("own"), "n", "share", "most")
+    sized = stored(_homes(state, True), met, 200_000)
+    few = F.col("m") * F.col("h") <= leaf * leaf
+    # of small regions only members that the bound leaves a partner go on, each pair in one of its regions
+    rooms = stored(_settled(_near(sized.where(few)).groupBy("x", "p").agg(F.min("key").alias("key")), facts).where("open").select("key", F.explode(F.array("x", "p")).alias("c")).distinct(), met)
+    columns = state.columns
+    state = sized.where(few).join(rooms, ["key", "c"], "left_semi").select(*columns).unionByName(sized.where(~few).select(*columns))
     sets, found, radius, pivots = None, None, 1 - UNION / SHARED, 1
     while True:
         sized = stored(_homes(state, found is None), met, 200_000)
         met = sized.count()
         if not met:
             break
-        few = F.col("m") * F.col("h") <= leaf * leaf
-        small = sized.where(few).select("key", "c", "label", "own", "home", "n", "most")
-        other = small.select("key", F.col("c").alias("p"), *[F.col(v).alias(f"{v}_p") for v in ("label", "own", "home", "n", "most")])
-        near = small.where("home").withColumnRenamed("c", "x").join(other, "key").where("x > p or (x < p and not home_p)") \
-            .where("label <> label_p and (own or own_p)") \
-            .where((F.col("n") * SHARED >= F.col("n_p") * UNION) & (F.col("n_p") * SHARED >= F.col("n") * UNION)).where("n <= most_p and n_p <= most") \
-            .select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))
+        few = F.col("m") * F.col("h") <= PAIR * PAIR
+        near = _near(sized.where(few)).select("x", "p")
         large = sized.where(~few)
         # pivots are the members at home whose prefix is shared most: what copies have in common, not one with edits of its own
         rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("share"), "c"))
@@ -262,6 +266,16 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     return docs.select("id", "tag", "n", "c"), empty if found is None else found
 
 
+def _near(regions: DataFrame) -> DataFrame:
+    """Pairs (key, x, p) that a region has to settle and that sizes and places in the prefix allow to link."""
+    one = regions.select("key", "c", "label", "own", "home", "n", "most")
+    other = one.select("key", F.col("c").alias("p"), *[F.col(v).alias(f"{v}_p") for v in ("label", "own", "home", "n", "most")])
+    return one.where("home").withColumnRenamed("c", "x").join(other, "key").where("x > p or (x < p and not home_p)") \
+        .where("label <> label_p and (own or own_p)") \
+        .where((F.col("n") * SHARED >= F.col("n_p") * UNION) & (F.col("n_p") * SHARED >= F.col("n") * UNION)).where("n <= most_p and n_p <= most") \
+        .select("key", F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))
+
+
 def _homes(state: DataFrame, alone: bool) -> DataFrame:
     """Members of regions that still have pairs to settle, with members (m) and members at home (h) of the region, and
     whether each is at home. A pair is to be settled if its labels differ and one end at least is `own`; one end at least

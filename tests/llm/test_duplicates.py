@@ -67,7 +67,7 @@ def _components(texts: dict[int, str]) -> dict[int, tuple[int, int]]:
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize("leaf", [64, 2])
+@pytest.mark.parametrize("leaf", [jaccard.LEAF, 2])
 def test_jaccard(documents, leaf):
     texts = {r.doc_id: r.text for r in documents.collect()}
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(documents, leaf=leaf).collect()}
@@ -84,7 +84,8 @@ def test_jaccard_large_group_and_chains(spark, documents):
     assert got == _components(dict(rows))
 
 
-def test_jaccard_truncated_copy(spark):
+@pytest.mark.parametrize("leaf", [jaccard.LEAF, 4])
+def test_jaccard_truncated_copy(spark, leaf):
     """A copy without the footer is in the next smaller slice and links with the shortest of the copies only, not with a pivot."""
     rows = []
     for v in range(3):
@@ -95,7 +96,7 @@ def test_jaccard_truncated_copy(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = _components(dict(rows))
     assert want[100][1] == 1 and want[200][1] == 200
-    assert {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, leaf=4).collect()} == want
+    assert {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, leaf=leaf).collect()} == want
 
 
 def test_jaccard_edge(edge):
