@@ -20,7 +20,8 @@ def _scratch(spark) -> str:
 
 
 def _stream(spark, sf, name):
-    return spark.readStream.schema(B.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a pattern for the one table: it can be a file, which is no base path of a stream, or a folder of files
+    return spark.readStream.schema(B.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _run(spark, rows, keys, order):
