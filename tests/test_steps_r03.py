@@ -10,6 +10,13 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_quantity_key_parses_a_text_once(spark):
+    rows = spark.createDataFrame([("约5公里",), ("none",), ("3公里-2公里",), ("2公里-3000米",)], "raw string")
+    keys = rows.select(F.explode(F.array(Q.quantity_key(Q.quantity(F.col("raw"))))).alias("k")).where("k IS NOT NULL").select("k.*")
+    assert _plan(keys).count("regexp_extract(") == 1
+    assert {(float(r.number), r.upper and float(r.upper), r.unit, r.qualifier) for r in keys.collect()} == {(5000.0, None, "米", "约"), (2000.0, 3000.0, "米", "")}
+
+
 def test_issues_read_off_the_facts(spark):
     texts = spark.createDataFrame([(1, "总投资为5万元。"), (2, "工期为3个月。"), (3, "无")], "doc_id long, text string")
     sections = spark.createDataFrame([(1, 0, "一、建设规模", 0, 9, "x"), (2, 0, "一、建设规模", 0, 9, "x"), (3, 0, "一、其他", 0, 1, "x")], "doc_id long, heading_start long, heading string, start long, end long, text string")
