@@ -17,6 +17,29 @@ def test_quantity_key_parses_a_text_once(spark):
     assert {(float(r.number), r.upper and float(r.upper), r.unit, r.qualifier) for r in keys.collect()} == {(5000.0, None, "米", "约"), (2000.0, 3000.0, "米", "")}
 
 
+def test_metric_cells_are_one_aggregate(spark):
+    rows = spark.createDataFrame(
+        [("K", "m", 1, 1, 200_005, "2米", "reviewed"), ("K", "m", 1, 1, 7, "1米", "reviewed"), ("K", "m", 2, 2, 1, "3米", "extracted"), ("K", "e", 1, 1, 2, "4米", "reviewed"), ("K", "e", 1, 1, 1, "4米", "reviewed"),
+         (None, "m", 3, 1, 1, "5米", "extracted"), (None, "m", 3, 1, 2, "6米", "extracted"), ("K", "z", 3, 3, 1, None, "reviewed"), ("K", "z", 3, 3, 2, "7米", "reviewed")],
+        "project_key string, name string, doc_id long, doc_rank long, idx long, value string, status string")
+    out = C.metric_cells(rows)
+    assert "Join" not in _plan(out)
+    assert {(r.project_key, r.name, r.doc_id, r.value, r.status) for r in out.collect()} == {
+        ("K", "m", 1, "1米；2米", "conflict"), ("K", "m", 2, "3米", "extracted"), ("K", "e", 1, "4米；4米", "reviewed"), (None, "m", 3, None, "conflict"), ("K", "z", 3, "；7米", "conflict")}
+
+
+def test_deltas_of_one_and_of_several_pieces_agree(spark):
+    cells = [("K", "m", d, d, f"{d * d}米", "extracted") for d in range(1, 6)]
+    shape = "project_key string, name string, doc_id long, doc_rank long, value string, status string"
+    docs = spark.createDataFrame([("K", d, "初步设计") for d in range(1, 6)] + [("L", 200_001, "初步设计"), ("L", 200_002, "初步设计")], "project_key string, doc_id long, stage string")
+    statuses = spark.createDataFrame([("K", "m", True), ("L", "m", True)], "project_key string, name string, comparable boolean")
+    far = [("L", "m", 200_001, 99_999, "1米", "extracted"), ("L", "m", 200_002, 100_000, "9米", "extracted")]
+    short, long = (C.metric_deltas(spark.createDataFrame(rows, shape), statuses, docs) for rows in (cells, cells + far))
+    take = lambda df: sorted((r.project_key, r.doc_rank, float(r.delta)) for r in df.collect())
+    assert take(short) == [("K", 2, 3.0), ("K", 3, 5.0), ("K", 4, 7.0), ("K", 5, 9.0)]
+    assert take(long) == take(short) + [("L", 100_000, 8.0)]
+
+
 def test_issues_read_off_the_facts(spark):
     texts = spark.createDataFrame([(1, "总投资为5万元。"), (2, "工期为3个月。"), (3, "无")], "doc_id long, text string")
     sections = spark.createDataFrame([(1, 0, "一、建设规模", 0, 9, "x"), (2, 0, "一、建设规模", 0, 9, "x"), (3, 0, "一、其他", 0, 1, "x")], "doc_id long, heading_start long, heading string, start long, end long, text string")
