@@ -10,6 +10,28 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_text_of_a_refused_edit_takes_no_part_in_the_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "K", 3, "初步设计", "n", "f"), (2, "K", 3, "初步设计", "n", "f")], "doc_id long, project_key string, revision int, stage string, project_name string, filename string")
+    cells = spark.createDataFrame([(1, "标题", "a", "extracted", "rule"), (2, "标题", "b", "extracted", "rule")], "doc_id long, name string, value string, status string, method string")
+    metrics = spark.createDataFrame([(1, 0, "长", "1米", "extracted", "rule")], "doc_id long, idx long, name string, value string, status string, method string")
+    lines = spark.createDataFrame([(1, "p1-l1")], "doc_id long, id string")
+    edits = spark.createDataFrame(
+        [(11, 1, 3, "fixed", "标题", None, "x" * 15001, None, [], ""), (12, 1, 3, "fixed", "标题", None, " 新 ", None, [], ""), (13, 9, 3, "fixed", "标题", None, "y" * 15001, None, [], ""),
+         (14, 2, 2, "stage", "", None, "z" * 15001, None, [], ""), (15, 2, 3, "fixed", "项目代码", None, "2024-1", None, [], "")],
+        "edit_id long, doc_id long, revision int, kind string, name string, idx long, value string, metric_name string, evidence_ids array<string>, reason string")
+    written, pinned = [], R.skew.pinned
+
+    def spy(df, by=None):
+        written.append(pinned(df, by))
+        return written[-1]
+    monkeypatch.setattr(R.skew, "pinned", spy)
+    _, new_cells, _, _, refused = R.apply_corrections(docs, cells, metrics, lines, edits)
+    assert {(r.edit_id, r.why) for r in refused.collect()} == {
+        (11, "字段内容无效"), (13, "文件不存在"), (14, "文件已被修改，请刷新后再试"), (15, "项目代码须为四位-六位-两位-两位-六位数字")}
+    assert {(r.doc_id, r.value) for r in new_cells.collect()} == {(1, "新"), (2, "b")}
+    assert written[0].agg(F.sum(F.length("value"))).first()[0] == 1
+
+
 def test_quantity_key_parses_a_text_once(spark):
     rows = spark.createDataFrame([("约5公里",), ("none",), ("3公里-2公里",), ("2公里-3000米",)], "raw string")
     keys = rows.select(F.explode(F.array(Q.quantity_key(Q.quantity(F.col("raw"))))).alias("k")).where("k IS NOT NULL").select("k.*")
