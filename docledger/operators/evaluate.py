@@ -246,9 +246,12 @@ def field_summary(checked: DataFrame) -> DataFrame:
 def metric_differences(gold: DataFrame, extracted: DataFrame) -> DataFrame:
     """Metrics on one side only: extra or missing; both sides filename, name, value (EVA-18)."""
     key = ["filename", "name", "value"]
-    g = gold.select("filename", "name", X.without_space(F.col("value")).alias("value")).distinct()
-    x = extracted.select("filename", "name", X.without_space(F.col("value")).alias("value")).distinct()
-    return x.join(g, key, "left_anti").withColumn("kind", F.lit("extra")).unionByName(g.join(x, key, "left_anti").withColumn("kind", F.lit("missing")))
+    side = lambda rows, extra: rows.select("filename", "name", X.without_space(F.col("value")).alias("value"), F.lit(extra).alias("_x"), F.lit(not extra).alias("_g"))
+    # both sides meet once, as two flags of a metric; one with a NULL equals none of the other side
+    rows = side(gold, False).unionByName(side(extracted, True)).groupBy(*key).agg(F.bool_or("_x").alias("_x"), F.bool_or("_g").alias("_g"))
+    alone = F.col("filename").isNull() | F.col("name").isNull() | F.col("value").isNull()
+    kinds = F.array(F.when(F.col("_x") & (~F.col("_g") | alone), "extra"), F.when(F.col("_g") & (~F.col("_x") | alone), "missing"))
+    return rows.select(*key, F.explode(F.array_compact(kinds)).alias("kind"))
 
 
 def metric_score(gold: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -39,6 +39,16 @@ def test_quantity_key_parses_a_text_once(spark):
     assert {(float(r.number), r.upper and float(r.upper), r.unit, r.qualifier) for r in keys.collect()} == {(5000.0, None, "米", "约"), (2000.0, 3000.0, "米", "")}
 
 
+def test_metric_differences_meet_once(spark):
+    shape = "filename string, name string, value string"
+    gold = spark.createDataFrame([("a", "n", "1米"), ("a", "n", "1 米"), ("b", "n", "2米"), (None, "n", "3米"), ("c", "n", None)], shape)
+    found = spark.createDataFrame([("a", "n", "1 米"), ("d", "n", "4米"), ("d", "n", "4米"), (None, "n", "3米")], shape)
+    out = E.metric_differences(gold, found)
+    assert "Join" not in _plan(out)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [("b", "n", "2米", "missing"), (None, "n", "3米", "missing"), ("c", "n", None, "missing"), ("d", "n", "4米", "extra"), (None, "n", "3米", "extra")], key=str)
+
+
 def test_metric_cells_are_one_aggregate(spark):
     rows = spark.createDataFrame(
         [("K", "m", 1, 1, 200_005, "2米", "reviewed"), ("K", "m", 1, 1, 7, "1米", "reviewed"), ("K", "m", 2, 2, 1, "3米", "extracted"), ("K", "e", 1, 1, 2, "4米", "reviewed"), ("K", "e", 1, 1, 1, "4米", "reviewed"),
