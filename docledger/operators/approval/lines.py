@@ -156,6 +156,54 @@ def _short_sections(lines: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.transform("_heads", section)).alias("s")).select("doc_id", "s.*")
 
 
+def raw_sections(raw: DataFrame) -> DataFrame:
+    """Sections of raw lines: cleaned, put in order, placed and cut as `sections(placed_lines(raw))` does (APR-1, APR-2 and APR-4).
+
+    For callers that read no lines. Lines meet once, by (document, piece of pages); one row per piece, its text and its headings, is
+    written. What travels across pieces are lengths and the place of the last heading.
+    """
+    piece = F.coalesce(_piece(), F.lit(-(1 << 40))).alias("_piece")  # lines without a page come first
+    line = F.struct("page", "_band", "_x", F.col("text").alias("t"), _title_length().alias("title"))
+    docs = _kept(raw).where("doc_id IS NOT NULL").groupBy("doc_id", piece).agg(F.sort_array(F.collect_list(line)).alias("_l"))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at: long, t: string, title: int>>").alias("heads"))
+
+    def place(upto, l):
+        head = F.array(F.struct(upto["at"].alias("at"), l["t"].alias("t"), l["title"].alias("title")))
+        return F.struct((upto["at"] + F.length(l["t"])).alias("at"), F.when(l["title"].isNull(), upto["heads"]).otherwise(F.concat(upto["heads"], head)).alias("heads"))
+    placed = docs.select("doc_id", "_piece", F.array_join(F.transform("_l", lambda s: s["t"]), "").alias("_t"), F.aggregate("_l", none, place).alias("_h"))
+    pieces = skew.pinned(placed.select("doc_id", "_piece", "_t", F.col("_h.at").alias("_length"), F.col("_h.heads").alias("_heads")))
+    if not pieces.where("_piece <> 0").head(1):
+        return _cut(pieces)
+    more = skew.pinned(pieces.where("_piece <> 0").select("doc_id").distinct())
+    return _cut(pieces.join(more, "doc_id", "left_anti")).unionByName(_cut_across(pieces.join(more, "doc_id", "left_semi")))
+
+
+def _cut(pieces: DataFrame, *more: str) -> DataFrame:
+    """The stretches from heading to heading of each piece; places count from the start of the piece."""
+    def section(h, i):
+        titled = h["title"] > 0
+        start = h["at"] + F.when(titled, h["title"]).otherwise(F.length(h["t"]))
+        end = F.coalesce(F.get("_heads", i + 1)["at"], F.col("_length"))
+        return F.struct(h["at"].alias("heading_start"), F.when(titled, F.substr(h["t"], F.lit(1), h["title"] - 1)).otherwise(h["t"]).alias("heading"), start.alias("start"), end.alias("end"),
+                        F.substr("_t", (start + 1).cast("int"), (end - start).cast("int")).alias("text"))
+    return pieces.where(F.size("_heads") > 0).select("doc_id", *more, F.explode(F.transform("_heads", section)).alias("s")).select("doc_id", "s.*", *more)
+
+
+def _cut_across(pieces: DataFrame) -> DataFrame:
+    """Sections of documents of several pieces: what stands before the first heading of a piece belongs to the last one before."""
+    earlier = W.partitionBy("doc_id").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    totals = pieces.select("doc_id", "_piece", "_length", F.get("_heads", F.size("_heads") - 1)["at"].alias("_last")).withColumn("_before", F.coalesce(F.sum("_length").over(earlier), F.lit(0)))
+    totals = totals.withColumn("_open", F.last(F.col("_before") + F.col("_last"), ignorenulls=True).over(earlier))
+    rows = pieces.join(totals.select("doc_id", "_piece", "_before", "_open"), ["doc_id", "_piece"])
+    own = _cut(rows, "_piece", "_before").withColumns({c: F.col(c) + F.col("_before") for c in ("heading_start", "start", "end")}).drop("_before")
+    lead = F.coalesce(F.get("_heads", F.lit(0))["at"], F.col("_length"))
+    carried = rows.where(F.col("_open").isNotNull() & (lead > 0)).select(
+        "doc_id", F.col("_open").alias("heading_start"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("long").alias("start"), (F.col("_before") + lead).alias("end"),
+        F.substr("_t", F.lit(1), lead.cast("int")).alias("text"), "_piece")
+    whole = own.unionByName(carried).groupBy("doc_id", "heading_start").agg(F.max("heading").alias("heading"), F.max("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("_piece", "text"))).alias("_l"))
+    return whole.select("doc_id", "heading_start", "heading", "start", "end", F.array_join(F.transform("_l", lambda p: p["text"]), "").alias("text"))
+
+
 def _long_sections(lines: DataFrame) -> DataFrame:
     titled = F.col("_title")
     mark = F.when(titled.isNotNull(), F.struct(F.col("start").alias("at"), F.when(titled > 0, F.substr("text", F.lit(1), titled - 1)).otherwise(F.col("text")).alias("heading"),

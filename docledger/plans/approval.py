@@ -22,6 +22,11 @@ def parts(spark, sf):
     return l, skew.pinned(L.document_text(l)), skew.pinned(L.sections(l))
 
 
+def sections_alone(spark, sf):
+    """Sections for queries that read nothing else of the lines."""
+    return L.raw_sections(B.approval_raw_lines(spark, sf))
+
+
 @query("apr_clean_lines", f"{S} SELECT doc_id, id, page, text FROM lines")
 def clean_lines(spark, sf):
     return L.clean_lines(B.approval_raw_lines(spark, sf)).select("doc_id", "id", "page", "text")
@@ -55,7 +60,7 @@ secs AS (SELECT doc_id, CAST(hat AS BIGINT) AS heading_start, max(CASE WHEN head
 
 @query("apr_sections", f"WITH {SECTIONS_SQL} SELECT doc_id, heading_start, heading, start, end_ AS \"end\", text FROM secs")
 def sections(spark, sf):
-    return L.sections(lines(spark, sf))
+    return sections_alone(spark, sf)
 
 
 _FOUND_SQL = f"""{S}, f AS (SELECT doc_id, text, '标题' AS name, '关于' || seg || '工程' || matter || '的批复' AS value FROM ap JOIN texts USING (doc_id) UNION ALL SELECT doc_id, text, '项目代码', '2024-' || cust || '-04-01-' || cust FROM ap JOIN texts USING (doc_id)
@@ -105,18 +110,18 @@ def addressee(spark, sf):
 
 @query("apr_section_fields", f"""WITH {SECTIONS_SQL} SELECT doc_id, '建设内容' AS name, text AS value, start FROM secs WHERE heading LIKE '%建设内容%' AND text <> '' UNION ALL SELECT doc_id, '建设地点', text, start FROM secs WHERE heading LIKE '%建设地点%'""")
 def section_fields(spark, sf):
-    return A.section_fields(L.sections(lines(spark, sf))).select("doc_id", "name", "value", "start")
+    return A.section_fields(sections_alone(spark, sf)).select("doc_id", "name", "value", "start")
 
 
 @query("apr_known_metrics", f"""WITH {SECTIONS_SQL} SELECT i.doc_id, '总建筑面积' AS name, q || '平方米' AS value, CASE prio WHEN '2-HIGH' THEN 'design' ELSE 'construction' END AS scope, count(*) AS n
   FROM items i JOIN ap USING (doc_id) WHERE f = 'A' AND prio <> '1-URGENT' GROUP BY 1, 2, 3, 4""")
 def known_metrics(spark, sf):
-    return M.known_metrics(L.sections(lines(spark, sf))).groupBy("doc_id", "name", "value", "scope").agg(F.count(F.lit(1)).alias("n"))
+    return M.known_metrics(sections_alone(spark, sf)).groupBy("doc_id", "name", "value", "scope").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("apr_open_metrics", f"""WITH {SECTIONS_SQL} SELECT i.doc_id, '号管线长度' AS name, '约' || q || '公里' AS value, count(*) AS n FROM items i JOIN ap USING (doc_id) WHERE f = 'N' AND prio <> '1-URGENT' GROUP BY 1, 2, 3""")
 def open_metrics(spark, sf):
-    return M.open_metrics(L.sections(lines(spark, sf))).groupBy("doc_id", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return M.open_metrics(sections_alone(spark, sf)).groupBy("doc_id", "name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 METRICS_SQL = SECTIONS_SQL + """, mt AS (SELECT DISTINCT i.doc_id, CASE f WHEN 'A' THEN '总建筑面积' ELSE '号管线长度' END AS name, CASE f WHEN 'A' THEN q || '平方米' ELSE '约' || q || '公里' END AS value FROM items i JOIN ap USING (doc_id) WHERE f <> 'R' AND prio <> '1-URGENT'),
@@ -125,12 +130,12 @@ mt2 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY doc_id, name) > 1 THEN '
 
 @query("apr_metrics", f"WITH {METRICS_SQL} SELECT doc_id, name, value, status FROM mt2")
 def metrics(spark, sf):
-    return M.metrics(L.sections(lines(spark, sf))).select("doc_id", "name", "value", "status")
+    return M.metrics(sections_alone(spark, sf)).select("doc_id", "name", "value", "status")
 
 
 @query("apr_mark_conflicts", f"WITH {METRICS_SQL} SELECT DISTINCT doc_id, '指标“' || name || '”存在多个值，请核对统计范围。' AS warning FROM mt2 WHERE status = 'conflict'")
 def mark_conflicts(spark, sf):
-    return M.conflict_warnings(M.metrics(L.sections(lines(spark, sf))))
+    return M.conflict_warnings(M.metrics(sections_alone(spark, sf)))
 
 
 CELLS_SQL = METRICS_SQL + """, cl AS (SELECT doc_id, unnest(['发文字号', '标题', '印发机关', '印发日期', '项目名称', '项目代码', '项目单位', '建设地点', '建设周期']) AS name FROM ap UNION ALL SELECT doc_id, '建设内容' FROM ap WHERE prio IN ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') AND EXISTS (SELECT 1 FROM items i WHERE i.doc_id = ap.doc_id)
@@ -183,14 +188,14 @@ def self_check(spark, sf):
 @query("apr_widen_metrics", f"""WITH {METRICS_SQL} SELECT DISTINCT i.doc_id, CASE f WHEN 'A' THEN '总建筑面积' ELSE '新建泵站' || s || '号管线长度' END AS name, CASE f WHEN 'A' THEN q || '平方米' ELSE '约' || q || '公里' END AS value
   FROM items i JOIN ap USING (doc_id) WHERE prio = '2-HIGH' AND f <> 'R'""")
 def widen_metrics(spark, sf):
-    s = skew.pinned(L.sections(lines(spark, sf)))
+    s = skew.pinned(sections_alone(spark, sf))
     return M.widen_metrics(s, s.select("doc_id").distinct(), M.BASELINE_SECTIONS).select("doc_id", "name", "value")
 
 
 @query("apr_alt_form_metrics", f"""WITH {METRICS_SQL} SELECT DISTINCT i.doc_id, CASE f WHEN 'A' THEN '总建筑面积' WHEN 'N' THEN '号管线长度' ELSE '栽植乔木' END AS name, CASE f WHEN 'A' THEN q || '平方米' WHEN 'N' THEN '约' || q || '公里' ELSE q || '株' END AS value
   FROM items i JOIN ap USING (doc_id) WHERE prio = '2-HIGH' AND f <> 'N'""")
 def alt_form_metrics(spark, sf):
-    s = skew.pinned(L.sections(lines(spark, sf)))
+    s = skew.pinned(sections_alone(spark, sf))
     gate = s.where("heading LIKE '%工程任务%'").select("doc_id")
     return M.alt_form_metrics(s, gate).select("doc_id", "name", "value")
 

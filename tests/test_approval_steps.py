@@ -65,3 +65,25 @@ def test_proposals_join_lines_once(rows):
     out = A.ground_proposals(p, l)
     assert {r.name: r.reason for r in out.collect()} == {"工期": "not a quantity", "标题": "unknown evidence id"}
     assert _plan(out).count("Join ") == 2
+
+
+def _raw(rows, *pages):
+    """Raw lines (doc_id, page, text) one below the other, in no order."""
+    return rows("doc_id LONG, page INT, text STRING, bbox ARRAY<DOUBLE>, page_height DOUBLE, method STRING",
+                [(d, p, t, [0.0, 100.0 + 20.0 * i, 1.0, 1.0], 8000.0, "text") for i, (d, p, t) in enumerate(pages)][::-1])
+
+
+def test_raw_lines_meet_once_on_the_way_to_sections(rows, monkeypatch):
+    one = ("前言", "一、建设内容：道 路", "长5米", "浙江政务服务网", "二、无冒号标题", "正文", "—1—")
+    spread = [(2, p, t) for p, t in zip((1, 1, 60, 60, 120, 320, 320), one)]
+    alone = [(4, 70, "一、建设规模：甲"), (4, 130, "乙"), (4, 190, "丙"), (4, 191, "二、其他"), (5, 80, "没有"), (5, 140, "标题")]
+    for pages in ([(1, 1, t) for t in one] + [(3, 1, "没有标题"), (None, 1, "一、建设内容：无号")], spread + alone + [(1, 1, t) for t in one]):
+        raw = _raw(rows, *pages)
+        written, pinned = [], L.skew.pinned
+        monkeypatch.setattr(L.skew, "pinned", lambda df, by=None: written.append(df) or pinned(df, by))  # noqa: B023
+        got = L.raw_sections(raw)
+        assert _plan(written[0]).count("Aggregate [") == 1 and "Window" not in _plan(written[0]) and "Join" not in _plan(written[0])
+        monkeypatch.undo()
+        want = L.sections(L.placed_lines(raw))
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() >= 2
