@@ -11,7 +11,8 @@ At home are members that have an end of every other pair: those outside the labe
 those of the slice itself if they are fewer. The region recurses with pivots among them. By the triangle inequality
 another member y can reach a member u at home only if d(u, pivot) - d(y, pivot) <= radius for every pivot, d(u, pivot)
 taken no larger and d(y, pivot) no smaller than it is; members in that window stay, the rest leave. What is left of two
-members (at most `PAIR` squared pairs) has nothing to divide and is measured. The recursion ends when no region is left.
+members (at most `PAIR` squared pairs) has nothing to divide and is measured, and so is a region whose members at home would
+all be pivots of the round. The recursion ends when no region is left.
 In regions of at most `LEAF` squared pairs the bound below is tried first; members that it leaves no partner need no pivot.
 
 The global order puts shingles that are frequent in the corpus last, the most frequent at the end (a statistic over all documents, bounded to
@@ -226,7 +227,7 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         met = sized.count()
         if not met:
             break
-        few = F.col("m") * F.col("h") <= PAIR * PAIR
+        few = (F.col("m") * F.col("h") <= PAIR * PAIR) | (F.col("h") <= pivots)
         near = _near(sized.where(few)).select("x", "p")
         large = sized.where(~few)
         # pivots are the members at home whose prefix is shared most: what copies have in common, not one with edits of its own
@@ -234,6 +235,7 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         chosen = stored(large.where("home").select("key", "c", rank.alias("rank")).where(F.col("rank") <= pivots).select("key", F.col("c").alias("pivot")), met, 200_000)
         ends = F.greatest("c", "pivot").alias("x"), F.least("c", "pivot").alias("p")
         toward = large.join(chosen, "key").where(F.col("c") != F.col("pivot")).select("key", "c", "pivot", *ends, "own", "n", "share", "most")
+        toward = stored(toward, met * pivots, 200_000)  # read for the pairs and for the windows
         bound = stored(_settled(near.unionByName(toward.select("x", "p")).distinct(), facts), met)
         pairs = bound.count()
         if sets is None:

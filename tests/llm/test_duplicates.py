@@ -84,6 +84,24 @@ def test_jaccard_large_group_and_chains(spark, documents):
     assert got == _components(dict(rows))
 
 
+def test_jaccard_members_meet_pivots_once(spark, monkeypatch):
+    """Members of a region are joined with its pivots in one table, and a region with no more members at home than pivots needs none."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:i % 60] + [f"x{i}"] + base[i % 60 + 1:])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, stored = [], jaccard.stored
+
+    def spy(one, *args):
+        plans.append(one._jdf.queryExecution().optimizedPlan().toString())
+        return stored(one, *args)
+    monkeypatch.setattr(jaccard, "stored", spy)
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, leaf=4).collect()}
+    assert got == _components(dict(rows))
+    joined = [p for p in plans if "NOT (c" in p and "= pivot" in p]
+    rounds = [p for p in plans if "AS pivot" in p and "rank" in p]
+    assert joined and len(joined) <= len(rounds)
+
+
 @pytest.mark.parametrize("leaf", [jaccard.LEAF, 4])
 def test_jaccard_truncated_copy(spark, leaf):
     """A copy without the footer is in the next smaller slice and links with the shortest of the copies only, not with a pivot."""
