@@ -10,7 +10,8 @@ is dropped only when both its ends carry one label (or were both replicated from
 At home are members that have an end of every other pair: those outside the label that most of the region carries, or
 those of the slice itself if they are fewer. The region recurses with pivots among them. By the triangle inequality
 another member y can reach a member u at home only if d(u, pivot) - d(y, pivot) <= radius for every pivot, d(u, pivot)
-taken no larger and d(y, pivot) no smaller than it is; members in that window stay, the rest leave. What is left of two
+taken no larger and d(y, pivot) no smaller than it is; members in that window stay, the rest leave. So do members whose size, place
+and label leave them no partner now that the members at home are fewer. What is left of two
 members (at most `PAIR` squared pairs) has nothing to divide and is measured, and so is a region whose members at home would
 all be pivots of the round. The recursion ends when no region is left.
 In regions of at most `LEAF` squared pairs the bound below is tried first; members that it leaves no partner need no pivot.
@@ -224,6 +225,8 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     sets, found, radius, pivots = None, None, 1 - UNION / SHARED, 1
     while True:
         sized = stored(_homes(state, found is None), met, 200_000)
+        if found is not None:  # labels and homes have changed since members were last compared by size and place
+            sized = stored(_homes(_partnered(sized).select(*columns), False), met, 200_000)
         met = sized.count()
         if not met:
             break
@@ -260,9 +263,9 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
         left = stored(toward.join(known, ["x", "p"]).join(rest, ["key", "c"]), pairs, 200_000)
         away = left.where("home").groupBy("key", "pivot").agg(F.min("least").alias("reach"))
         # those at home stay; others only if, by every pivot, a member at home may be within reach
-        state = left.join(away, ["key", "pivot"]).groupBy("key", "c").agg(
+        state = stored(left.join(away, ["key", "pivot"]).groupBy("key", "c").agg(
             *[F.first(v).alias(v) for v in ("label", "own", "home", "n", "share", "most")],
-            F.bool_and(F.col("most_d") >= F.col("reach") - radius - 1e-9).alias("near")).where("home or near").drop("home", "near")
+            F.bool_and(F.col("most_d") >= F.col("reach") - radius - 1e-9).alias("near")).where("home or near").drop("home", "near"), met, 200_000)
         pivots *= 4  # few pivots where one finds a whole group, more where the distances leave nothing to skip
     empty = spark.createDataFrame([], "x long, p long")
     return docs.select("id", "tag", "n", "c"), empty if found is None else found
@@ -278,6 +281,20 @@ def _near(regions: DataFrame) -> DataFrame:
         .select("key", F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))
 
 
+def _partnered(regions: DataFrame) -> DataFrame:
+    """Members of regions that sizes, places in the prefix and labels may leave a pair of `_near`; none with such a pair leaves.
+
+    Members are compared with the ends of size classes of one in a hundred: in a slice of a large region at most 47 of them,
+    each split by `home` and `own`; an uncut region has no more of them than members.
+    """
+    ends = regions.groupBy("key", "home", "own", F.floor(F.log("n") * 100).alias("class")).agg(
+        *[f(v).alias(f"{f.__name__}_{v}") for f, v in ((F.min, "n"), (F.max, "n"), (F.max, "most"), (F.min, "label"), (F.max, "label"))])
+    ends = ends.groupBy("key").agg(F.collect_list(F.struct(*[c for c in ends.columns if c not in ("key", "class")])).alias("ends"))
+    partner = F.expr(f"""exists(ends, e -> (home or e.home) and (own or e.own) and (e.min_label <> label or e.max_label <> label)
+        and e.min_n <= most and n <= e.max_most and n * {SHARED} >= e.min_n * {UNION} and e.max_n * {SHARED} >= n * {UNION})""")
+    return regions.join(ends, "key").where(partner).drop("ends")
+
+
 def _homes(state: DataFrame, alone: bool) -> DataFrame:
     """Members of regions that still have pairs to settle, with members (m) and members at home (h) of the region, and
     whether each is at home. A pair is to be settled if its labels differ and one end at least is `own`; one end at least

@@ -102,6 +102,27 @@ def test_jaccard_members_meet_pivots_once(spark, monkeypatch):
     assert joined and len(joined) <= len(rounds)
 
 
+def test_jaccard_members_without_partner_meet_no_pivots(spark, monkeypatch):
+    """Edited copies link with none of a large group: by size and place they can only link with its shortest copy, so the group
+    does not meet them as pivots."""
+    base = [f"w{i}" for i in range(120)]
+    edited = lambda *at: " ".join(f"x{at[0]}y{at[-1]}" if i in at else w for i, w in enumerate(base))
+    rows = [(i, edited(5 + i % 110, 5 + i % 110 + i // 110)) for i in range(200)] + [(500, " ".join(base[:116]))]
+    rows += [(600 + i, edited(3, 20 + i, 60 + i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tables, stored = [], jaccard.stored
+
+    def spy(one, *args):
+        out = stored(one, *args)
+        if {"pivot", "x", "most"} <= {*out.columns} and "home" not in out.columns:
+            tables.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "stored", spy)
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, leaf=4).collect()}
+    assert got == _components(dict(rows)) and got[600][1] == 600
+    assert len(rows) < tables[0] and sum(tables[1:]) < len(rows), tables
+
+
 @pytest.mark.parametrize("leaf", [jaccard.LEAF, 4])
 def test_jaccard_truncated_copy(spark, leaf):
     """A copy without the footer is in the next smaller slice and links with the shortest of the copies only, not with a pivot."""
