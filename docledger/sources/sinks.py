@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docledger import schemas
 from docledger.functions import skew, text as X
 from docledger.operators import library as L
+from docledger.sources import tables as S
 
 LIBRARY_TABLES = ("review_events", "attachment_attempts", "attachments", "policy_sources", "policies")
 LOG_TABLES = ("run_logs", "agent_events")
@@ -83,23 +84,27 @@ def export_project(docs: DataFrame, path: str, project_key: str | None = None) -
 
 
 def store_json_files(rows: DataFrame, root: str) -> int:
-    """One file `<name>.json` a row (name, json) under `root`, the form `read_approval_docs` reads; returns how many were written.
+    """One file `<name>.json` a row (name, json) in the folders of `root`, the form `read_approval_docs` reads; returns how many were written.
 
-    Tasks write the files of their rows. A file is put in place under its name when it is complete, so a task that runs again
+    Files are spread over 256 folders by their names (`tables.folder_of`), so that no folder has to be listed in one piece. Tasks write
+    the files of their rows. A file is put in place under its name when it is complete, so a task that runs again
     leaves the same files. `root` is a folder or address that driver and executors share.
     """
     def write(batches):
-        from pyarrow import fs
-        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-        store.create_dir(base, recursive=True)
+        store, base = S.shared_folder(root)
+        made = set()
         for batch in batches:
             for name, text in zip(batch.column("name").to_pylist(), batch.column("json").to_pylist()):
                 if not name or "/" in name:
                     raise ValueError(f"not a file name: {name!r}")
-                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                folder = f"{base}/{S.folder_of(name)}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(text.encode())
-                store.move(part, f"{base}/{name}.json")
+                store.move(part, f"{folder}/{name}.json")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
     return rows.select("name", "json").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 

@@ -1,8 +1,12 @@
 """Sources (SRC): ledger tables, registry files, originals, labels and approval documents."""
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -99,10 +103,94 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.schema("labels")).option("mode", "FAILFAST").json(path)
 
 
+FOLDERS = 256
+_DOCUMENT = re.compile(r"[0-9a-f]{32}\.json")
+
+
+def folder_of(name: str) -> str:
+    """Of the 256 folders `00` to `ff` of a root the one that holds `<name>.json`."""
+    return hashlib.md5(name.encode()).hexdigest()[:2]
+
+
+def shared_folder(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or address, and the folder in it."""
+    if "://" in root or root.startswith("file:"):
+        store, base = fs.FileSystem.from_uri(root)
+        return store, base.rstrip("/")
+    return fs.LocalFileSystem(), root.rstrip("/")
+
+
+def _opens(root: str) -> bool:
+    """Whether tasks can list the folder by themselves: not where it is a pattern, a file, or in a store that only Spark opens."""
+    if re.search(r"[*?\[{\\]", root):
+        return False
+    try:
+        store, base = shared_folder(root)
+        return store.get_file_info(base).type == fs.FileType.Directory
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
 def read_approval_docs(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON per approval document; only 32-hex file names are documents (SRC-7)."""
-    rows = spark.read.schema(T.StructType.fromDDL(schemas.APPROVAL_DOC)).option("multiLine", "true").json(path)
-    return rows.where(F.col("_metadata.file_name").rlike(r"^[0-9a-f]{32}\.json$"))
+    """One JSON per approval document; only 32-hex file names are documents (SRC-7).
+
+    Documents lie in `path` itself or in the folder that `folder_of` names. Tasks list the folders and read the files, so neither
+    names nor files pass through the driver; only names are shuffled. Stores that only Spark opens, and patterns, are read by Spark.
+    """
+    shape = T.StructType.fromDDL(schemas.APPROVAL_DOC)
+    if not _opens(path):
+        rows = spark.read.schema(shape).option("multiLine", "true").json(path)
+        return rows.where(F.col("_metadata.file_name").rlike(r"^[0-9a-f]{32}\.json$"))
+    numbers = spark.range(-1, FOLDERS, 1, min(FOLDERS + 1, 4 * spark.sparkContext.defaultParallelism))  # -1: the folder itself
+    files = numbers.mapInArrow(_listed_documents(path), "file string").repartition("file")
+    text = files.mapInArrow(_whole_files(path), "text string")
+    # as Spark's reader of files has it: an array is a row an item, what is not JSON a row of nulls
+    many = F.col("text").rlike(r"^[ \t\r\n]*\[")
+    rows = F.when(many, F.from_json("text", T.ArrayType(shape))).otherwise(F.array(F.from_json("text", shape)))
+    parsed = text.select(rows.alias("rows")).where("rows IS NULL OR size(rows) > 0")
+    return parsed.select(F.explode_outer("rows").alias("row")).select("row.*")
+
+
+def _listed_documents(root: str):
+    """File names of documents, below `root`, of the folders of the given numbers."""
+    def run(batches):
+        store, base = shared_folder(root)
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                folder = "" if number < 0 else f"{number:02x}"
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}", allow_not_found=True))
+                names = [f.base_name for f in found if f.type == fs.FileType.File and _DOCUMENT.fullmatch(f.base_name)]
+                names = [f"{folder}/{n}" if folder else n for n in names if not folder or folder_of(n[:32]) == folder]
+                for i in range(0, len(names), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i:i + 10_000], pa.string())], ["file"])
+    return run
+
+
+def _whole_files(root: str, limit: int = 4 << 20):
+    """Text of each file, null where its bytes are no text; files without content are left out."""
+    def out(texts):
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+    def run(batches):
+        store, base = shared_folder(root)
+        texts, size = [], 0
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                with store.open_input_file(f"{base}/{name}") as source:
+                    data = source.read()
+                if not data.strip(b" \t\r\n"):
+                    continue
+                try:
+                    texts.append(data.decode(json.detect_encoding(data)))
+                except UnicodeDecodeError:
+                    texts.append(None)
+                size += len(data)
+                if size > limit:
+                    yield out(texts)
+                    texts, size = [], 0
+        if texts:
+            yield out(texts)
+    return run
 
 
 def conform(df: DataFrame, shape: T.StructType, defaults: dict | None = None) -> DataFrame:

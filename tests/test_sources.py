@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docledger import schemas
 from docledger.operators.approval import lines as L
 from docledger.sources import sinks as K, tables as S
 
@@ -46,6 +47,31 @@ def test_approval_files(spark, tmp_path):
         K.store_json_files(spark.createDataFrame([("../x", "{}")], "name string, json string"), root)
 
 
+def test_approval_files_of_both_layouts_are_read_by_tasks(spark, tmp_path):
+    """Files in the folders of the store and files that lie flat; forms of content as Spark's reader of files has them."""
+    flat, root, one = tmp_path / "flat", str(tmp_path / "docs"), '{"id": "%s",\n "stage": "s", "revision": %s}'
+    contents = {0: one % ("é", 1), 1: "[" + one % ("a", 2) + "," + one % ("b", 3) + "]", 2: "[]", 3: "", 4: " \n", 5: '{"id": "x", ', 6: one % ("bad", '"no"'),
+                7: "null", 8: one % ("twice", 4) + one % ("more", 5), 9: "\ufeff" + one % ("bom", 6)}
+    flat.mkdir()
+    for i, text in contents.items():
+        (flat / f"{i:032x}.json").write_text(text)
+    (flat / f"{10:032x}.json").write_bytes((one % ("wide", 7)).encode("utf-16-le"))
+    (flat / f"{11:032x}.json").write_bytes(b'{"id": "\xff"}')
+    for other in ("index.json", f"{12:031x}.json", f"{13:032x}.json.tmp", f"{0xa:032X}.json"):
+        (flat / other).write_text(one % ("foreign", 8))
+    (flat / "zz").mkdir()
+    (flat / "zz" / f"{14:032x}.json").write_text(one % ("nested", 9))
+    by_spark = spark.read.schema(schemas.APPROVAL_DOC).option("multiLine", "true").json(str(flat)).where(F.col("_metadata.file_name").rlike(r"^[0-9a-f]{32}\.json$"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(S.read_approval_docs(spark, str(flat))) == rows(by_spark) == rows(S.read_approval_docs(spark, f"{flat}/*.json"))
+    K.store_json_files(spark.createDataFrame([(f"{i:032x}", t) for i, t in contents.items()] + [("index", "{}")], "name string, json string"), root)
+    stored = S.read_approval_docs(spark, root)
+    assert sorted((r.id or "", r.revision or 0) for r in stored.collect()) == sorted([("é", 1), ("a", 2), ("b", 3), ("", 0), ("bad", 0), ("", 0), ("twice", 4), ("bom", 6)])
+    assert "FileScan json" not in stored._jdf.queryExecution().toString()  # no file passes through the driver's listing
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_approval_docs(spark, str(tmp_path / "absent")).collect()
+
+
 def test_placed_lines_equal_the_two_steps(spark):
     """Documents of many pages, ties on a line, watermarks and page numbers; the same lines and offsets as step by step."""
     raw = [(f"d{d}", p, t, [float(x), float(y), 1.0, 1.0], 800.0, "text")
