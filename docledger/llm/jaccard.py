@@ -39,6 +39,8 @@ WORDS = 5
 UNION, SHARED = 4, 5
 LEAF = 128
 PAIR = 2
+#: Members times pivots of a round from which members without a possible partner are looked for first; decides cost only.
+MEETINGS = 10_000
 FREQUENT = 200_000
 FREQUENT_FROM = 20
 BROADCAST_SETS = 2_000_000
@@ -225,9 +227,10 @@ def links(rows: DataFrame, words: int = WORDS, leaf: int = LEAF, broadcast_sets:
     sets, found, radius, pivots = None, None, 1 - UNION / SHARED, 1
     while True:
         sized = stored(_homes(state, found is None), met, 200_000)
-        if found is not None:  # labels and homes have changed since members were last compared by size and place
-            sized = stored(_homes(_partnered(sized).select(*columns), False), met, 200_000)
         met = sized.count()
+        if found is not None and met * pivots > MEETINGS:  # labels and homes have changed since sizes and places were compared
+            sized = stored(_homes(_partnered(sized).select(*columns), False), met, 200_000)
+            met = sized.count()
         if not met:
             break
         few = (F.col("m") * F.col("h") <= PAIR * PAIR) | (F.col("h") <= pivots)

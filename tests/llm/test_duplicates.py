@@ -118,6 +118,7 @@ def test_jaccard_members_without_partner_meet_no_pivots(spark, monkeypatch):
             tables.append(out.count())
         return out
     monkeypatch.setattr(jaccard, "stored", spy)
+    monkeypatch.setattr(jaccard, "MEETINGS", 500, raising=False)
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, leaf=4).collect()}
     assert got == _components(dict(rows)) and got[600][1] == 600
     assert len(rows) < tables[0] and sum(tables[1:]) < len(rows), tables
