@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docledger import schemas
 from docledger.functions import skew, text as X
 from docledger.operators import library as L
-from docledger.sources import tables as S
+from docledger.sources.tables import folder_of, shared_folder
 
 LIBRARY_TABLES = ("review_events", "attachment_attempts", "attachments", "policy_sources", "policies")
 LOG_TABLES = ("run_logs", "agent_events")
@@ -91,13 +91,13 @@ def store_json_files(rows: DataFrame, root: str) -> int:
     leaves the same files. `root` is a folder or address that driver and executors share.
     """
     def write(batches):
-        store, base = S.shared_folder(root)
+        store, base = shared_folder(root)
         made = set()
         for batch in batches:
             for name, text in zip(batch.column("name").to_pylist(), batch.column("json").to_pylist()):
                 if not name or "/" in name:
                     raise ValueError(f"not a file name: {name!r}")
-                folder = f"{base}/{S.folder_of(name)}"
+                folder = f"{base}/{folder_of(name)}"
                 if folder not in made:
                     store.create_dir(folder, recursive=True)
                     made.add(folder)
