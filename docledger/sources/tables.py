@@ -141,8 +141,10 @@ def read_approval_docs(spark: SparkSession, path: str) -> DataFrame:
     if not _opens(path):
         rows = spark.read.schema(shape).option("multiLine", "true").json(path)
         return rows.where(F.col("_metadata.file_name").rlike(r"^[0-9a-f]{32}\.json$"))
-    numbers = spark.range(-1, FOLDERS, 1, min(FOLDERS + 1, 4 * spark.sparkContext.defaultParallelism))  # -1: the folder itself
-    files = numbers.mapInArrow(_listed_documents(path), "file string").repartition("file")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    numbers = spark.range(-1, FOLDERS, 1, min(FOLDERS + 1, tasks))  # -1: the folder itself
+    # a fixed number: names are few bytes, by which Spark would give all files to a task or two
+    files = numbers.mapInArrow(_listed_documents(path), "file string").repartition(tasks, "file")
     text = files.mapInArrow(_whole_files(path), "text string")
     # as Spark's reader of files has it: an array is a row an item, what is not JSON a row of nulls
     many = F.col("text").rlike(r"^[ \t\r\n]*\[")
