@@ -249,12 +249,11 @@ def repair_audit(spark, sf):
 @query("apr_ground_proposals", f"""{S} SELECT doc_id, name, CASE k WHEN 1 THEN '' WHEN 2 THEN 'value not in evidence' WHEN 3 THEN 'unknown evidence id' WHEN 4 THEN 'protected field' WHEN 5 THEN 'not a quantity' ELSE '' END AS reason FROM ap,
   (VALUES (1, '标题'), (2, '资金来源'), (3, '建设周期'), (4, '项目代码'), (5, '面积'), (6, '工期')) v(k, name)""")
 def ground_proposals(spark, sf):
-    l = lines(spark, sf)
     p = lambda kind, name, value, *ids: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(value).alias("value"), F.array(*[F.lit(i) for i in ids]).alias("evidence_ids"))
     rows = F.array(p("field", "标题", "的批复 西湖区", "p1-l3", "p1-l2"), p("field", "资金来源", "凭空编造", "p3-l3"), p("field", "建设周期", "24个月", "p9-l9"), p("field", "项目代码", "2024", "p1-l4"),
                    p("metric", "面积", "实施周期", "p3-l4"), p("metric", "工期", "24个月", "p3-l4"))
     props = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(rows).alias("p")).select("doc_id", "p.*")
-    return A.ground_proposals(props, l).select("doc_id", "name", "reason")
+    return documents(spark, sf, lambda l, p: A.ground_proposals(p, l).select("doc_id", "name", "reason"), props)
 
 
 @query("apr_project_groups", f"""{S} SELECT doc_id, '2024-' || cust || '-04-01-' || cust AS project_key, seg || '工程' AS project_name, CASE matter WHEN '项目建议书' THEN '建议书/立项' WHEN '可行性研究报告' THEN '可行性研究' ELSE '初步设计' END AS stage, day AS issued FROM ap""")
